@@ -9,7 +9,7 @@ Only DataFrame expressions are used.  Positions come from two built-ins: ``split
 gives the text between matches and ``regexp_extract_all`` the matches, so that a running sum of their
 lengths is each match's start.
 
-Defined cases: a null text is the empty text; an empty table gives no rows; repeated rows give repeated
+Defined cases: a null id stays null; a null text is the empty text; an empty table gives no rows; repeated rows give repeated
 rows; columns other than the id and the text are not read, whatever their names.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, table
+from .scratch import Scratch, given, held, table
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ RULES = BASE + MORE
 
 def content_address(paths: DataFrame, key: str, text: str) -> DataFrame:
     """(path, blob): the digest of each path's text."""
-    return paths.select(F.col(key).alias("path"), F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256).alias("blob"))
+    return paths.select(held(key).alias("path"), F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256).alias("blob"))
 
 
 def _cuts(text: Column, rule: Rule) -> Column:
@@ -110,7 +110,7 @@ def scan_history(spark: SparkSession, paths: DataFrame, key: str, text: str, led
         todo = first.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
         todo = todo.where(F.size("todo") > 0)
     todo = scratch.table(todo.select("path", "blob", "todo"), "todo")
-    texts = paths.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = paths.select(held(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # A path may have many versions, so the digest is compared again; equal rows of one path are scanned once.
     unseen = texts.join(todo, "path").where(F.sha2(F.encode("text", "UTF-8"), 256) == F.col("blob"))
     found = scan(unseen.select("blob", "text", "todo"), rules).distinct()
@@ -136,7 +136,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = address.join(by_blob, "blob", "left").withColumn("all", spans)
     counts = [of_kind(r.kind).cast("long").alias(f"n_{r.kind}") for r in BASE]
     base = joined(F.filter("all", lambda x: x["rank"] <= len(BASE)))
-    return out.select(F.col("path").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+    return out.select(given("path").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -162,5 +162,5 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rest = F.substring(text, (F.element_at("__spans", -1)["end"] + 1).cast("int"), F.lit(2147483647))
     cleaned = F.concat(F.array_join(F.transform("__spans", piece), ""), rest)
     keyed = docs.withColumn("__blob", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    out = keyed.join(hit, (F.col("doc_id") == F.col("__id")) & (F.col("__blob") == F.col("__of")), "left")
+    out = keyed.join(hit, (held("doc_id") == F.col("__id")) & (F.col("__blob") == F.col("__of")), "left")
     return out.withColumn("text", F.when(F.col("__spans").isNotNull(), cleaned).otherwise(text)).select(docs.columns)

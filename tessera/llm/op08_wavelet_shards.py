@@ -10,7 +10,8 @@ without restoring the ids, and ``decode`` restores them all.
 The query writes the shards, reads them back, and takes its columns from what it read.
 
 Defined cases: a null text is the empty text, whose only id is the end id; an empty table gives no files and no
-rows; rows of equal id are kept, in order of their text; other columns are not read.
+rows; a null id comes first and stays
+null; rows of equal id are kept, in order of their text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .scratch import Scratch, table
+from .scratch import Scratch, given, held, table
 from .tokens import encoder, ids_crc32
 
 MAGIC = b"TWM1"
@@ -175,11 +176,11 @@ def write_shards(scratch: Scratch, docs: DataFrame, folder: str, tokenizer: str,
 
     def write(batches):
         encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        held, keys, n, seq = [], [], 0, 0
+        gathered, keys, n, seq = [], [], 0, 0
 
         def close():
-            ids = np.concatenate(held)
-            lengths = np.fromiter(map(len, held), np.int64, len(held))
+            ids = np.concatenate(gathered)
+            lengths = np.fromiter(map(len, gathered), np.int64, len(gathered))
             out = files.Output(folder, f"part-{part:06d}-{seq:06d}.twm")
             out.write(pack_shard(ids, np.array(keys, np.int64), np.cumsum(lengths) - lengths))
             name, temporary, size, digest = out.close()
@@ -188,17 +189,17 @@ def write_shards(scratch: Scratch, docs: DataFrame, folder: str, tokenizer: str,
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for key, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                held.append(np.append(ids, np.uint32(end_id)))
+                gathered.append(np.append(ids, np.uint32(end_id)))
                 keys.append(key)
-                n += len(held[-1])
+                n += len(gathered[-1])
                 if n >= shard_ids:
                     yield close()
-                    held, keys, n, seq = [], [], 0, seq + 1
-        if held:
+                    gathered, keys, n, seq = [], [], 0, seq + 1
+        if gathered:
             yield close()
 
     # As many ranges as the input has splits; a range's shards follow from its documents alone.
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(held("doc_id").alias("doc_id"), "text")
     ranged = docs.repartitionByRange(files.partitions_of(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = scratch.table(ranged.mapInArrow(write, SHARDS), "manifest", keep=True)
     return files.commit(scratch, manifest, folder)
@@ -240,4 +241,4 @@ def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> Dat
     in_part = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("part")) - F.col("all"))
     shards = manifest.withColumn("in_part", in_part).join(parts, "part").select("part", "seq", (F.col("in_part") + F.col("before")).alias("first"))
-    return found.join(shards, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(shards, ["part", "seq"]).select(given("doc_id").alias("doc_id"), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -11,7 +11,7 @@ Only DataFrame expressions are used.  The fingerprints of a document are an expr
 row; what is shuffled are distinct fingerprints (about a fifth of the words) and the texts of documents
 that have a hit.  The benchmark side is broadcast only where its measured size is below Spark's limit.
 
-Defined cases: null and wordless texts have no words and no hits, null items no windows; an empty
+Defined cases: null ids stay null; null and wordless texts have no words and no hits, null items no windows; an empty
 benchmark leaves every document clean; repeated items (id and text) count once; repeated document rows give
 repeated result rows, and rows that share an id but not the text are judged apart; other columns are not read.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, let, table
+from .scratch import Scratch, given, held, let, table
 
 #: Fixed by the contract: what is not part of a word once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,7 +109,7 @@ def decontaminate(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFr
 
     text = F.coalesce("text", F.lit(""))
     # A row is known by its id and its text's hash.
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("tag"), text.alias("text"))
+    keyed = docs.select(held("doc_id").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     marked = keyed.select("doc_id", "tag", let(words_folded(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), fingerprints(w, spans).alias("prints"))).alias("m"))
     marked = scratch.table(marked.select("doc_id", "tag", "m.n_words", "m.prints"), "marked", keep=True)
     suspects = marked.select("doc_id", "tag", F.explode("prints").alias("print")).join(prints, "print", "left_semi")
@@ -136,7 +136,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as s:
         out = decontaminate(s, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     ids = F.array_join(F.sort_array(F.transform("item_ids", lambda x: x.cast("string"))), ",")
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
+    return out.select(given("doc_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     with Scratch(spark) as s:
         judged = decontaminate(s, docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
         out = s.table(judged.where(CONTAMINATED).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "out", keep=True)
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tag"))
+    same = (held("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tag"))
     return docs.join(out, same, "left_anti")
 
 

@@ -22,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Stands for a null id inside operators, where ids are joined or stored as numbers.
+NO_ID = -(1 << 63)
+
+
+def held(key: str | Column) -> Column:
+    return F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
+
+
+def given(key: str | Column) -> Column:
+    return F.nullif(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
+
+
 class Scratch:
     """Intermediate tables of one operator call.
 
