@@ -10,6 +10,7 @@ MODULES = {
     "op8_wavelet_shards": "op08_wavelet_shards",
     "op3_vector_packing": "op03_vector_packing",
     "op1_warc_writer": "op01_warc_writer",
+    "op10_license_notices": "op10_license_notices",
     "op6_secret_ledger": "op06_secret_ledger",
 }
 _LOADED = {name: importlib.import_module(f"{__package__}.{module}") for name, module in MODULES.items()}
