@@ -11,6 +11,7 @@ MODULES = {
     "op3_vector_packing": "op03_vector_packing",
     "op1_warc_writer": "op01_warc_writer",
     "op10_license_notices": "op10_license_notices",
+    "op5_url_templates": "op05_url_templates",
     "op6_secret_ledger": "op06_secret_ledger",
 }
 _LOADED = {name: importlib.import_module(f"{__package__}.{module}") for name, module in MODULES.items()}
