@@ -129,7 +129,7 @@ def _ranges(scratch: Scratch, keys: DataFrame, parts: int) -> tuple[Column, Data
     for c in range(CELLS):
         number.append(seen // each)
         seen += counts.get(c, 0)
-    bucket = F.get(F.lit(number), cell)
+    bucket = F.get(F.split(F.lit(",".join(map(str, number))), ",").cast("array<int>"), cell)
     firsts = keys.groupBy(bucket.alias("b")).agg(F.max(F.struct("id", "tag")).alias("k")).select("b", "k.id", "k.tag").orderBy("b").collect()
     to = [(r["id"], r["tag"], firsts[(k + 1) % len(firsts)]["b"]) for k, r in enumerate(firsts)]
     return bucket, spark.createDataFrame(to, "id long, tag long, above int")
