@@ -4,7 +4,8 @@ A BPE tokenizer cuts a text into pre-tokens and merges each by itself, so a text
 between two pre-tokens.  Both vocabularies used here cut at a line feed, and before a space, that stands
 between two characters which are not white space.  Texts are cut there, each distinct piece is encoded
 once by the library, and a text's ids are put together from its pieces' ids.  Texts repeat their words,
-so this is several times as fast and gives the same ids.  A text with any other white space (doubled,
+so this is several times as fast and gives the same ids.  A piece that is a plain word is one pre-token,
+and is given to the library's merges without its cutting; that this gives the same ids is probed first.  A text with any other white space (doubled,
 leading, trailing, tabs and so on) goes to the library whole.
 """
 
@@ -13,17 +14,29 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Pieces whose ids a worker keeps from batch to batch; beyond it, the store starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 1_000_000
 #: Characters that are cut at once, which bounds the memory of the pieces.
 AT_ONCE = 2_000_000
-#: Pieces that are encoded in one call.
-JOINED = 256
-_IRREGULAR = re.compile(r"\s\s|[^\S\n ]|\x00|\A\s|\s\Z")
+#: A word of Latin letters, which is one pre-token and has a lower case of its own, and a mark that is another.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_PROBES = (" the", "the", " Straße", "Éléphant", " ñandúÿÀ", " thonatinwhst", "Qxzjkw", " WORLD", "a")
+_WHITE = re.compile(r"\s")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write the UTF-8 bytes of each Latin-1 character."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_AS_BYTES = _byte_letters()
 
 
 class PieceEncoder:
@@ -33,12 +46,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # Pieces are joined by white space with a mark of exactly one id between them, where there is such a mark.
-        self.mark, self.mark_id = "", -1
-        for mark in ("\n", " © ", " ™ ", " • "):
-            if len(ids := self.tokenizer.encode(f"a{mark}a", add_special_tokens=False).ids) == 3:
-                self.mark, self.mark_id = mark, ids[1]
-                break
+        self._probe()
         self._start_anew()
 
     def _start_anew(self) -> None:
@@ -47,42 +55,61 @@ class PieceEncoder:
         self.used = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
+        self.odd = np.zeros(1 << 16, bool)
 
-    def _store(self, piece: str, ids) -> None:
-        k, n = len(self.place), len(ids)
-        if k == len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        while self.used + n > len(self.flat):
+    def _keep(self, pieces: list[str], found: list) -> None:
+        first = len(self.place)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.first[k], self.size[k] = self.used, n
-        self.used += n
-        self.place[piece] = k
+        while first + len(pieces) > len(self.first):
+            self.first, self.size, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.odd))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.size[first : first + len(pieces)] = size
+        self.first[first : first + len(pieces)] = self.used + np.cumsum(size) - size
+        self.used += total
+        self.place.update(zip(pieces, range(first, first + len(pieces)), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
-        # A piece with the mark in it, or the mark itself, is encoded by itself.
-        own = self.mark.strip() or self.mark
-        plain = [p for p in pieces if own not in p] if own else []
-        rest = [p for p in pieces if own in p] if own else pieces
-        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self._store(p, e.ids)
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([self.mark.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            if len(ends) != len(group):  # a piece gives the mark's id by another way
-                for p in group:
-                    self._store(p, self.tokenizer.encode(p, add_special_tokens=False).ids)
-                continue
-            starts = np.append(0, ends[:-1] + 1)
-            for p, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True):
-                self._store(p, ids[a:b])
-
-    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x and not _IRREGULAR.search(x) else None for x in texts]
-        whole = [x for x, c in zip(texts, cut, strict=True) if c is None and x]
-        direct = iter(self.tokenizer.encode_batch(whole, add_special_tokens=False))
-        pieces = [p for c in cut if c for p in c]
+        """Encodes pieces that are not in the store; a plain word, with at most one mark after it, goes to the merges at once."""
+        found: list = [None] * len(pieces)
+        rest = []
+        for k, piece in enumerate(pieces):
+            if self.plain is None or not (m := _PLAIN.fullmatch(piece)):
+                rest.append(k)
+            elif m[2]:
+                at = self.place.get(m[1])
+                ids = self._merged(m[1]) if at is None else self.flat[self.first[at] : self.first[at] + self.size[at]].tolist()
+                found[k] = ids + self.marks[m[2]]
+            else:
+                found[k] = self._merged(piece)
+        for k, e in zip(rest, self.tokenizer.encode_batch([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        start = len(self.place)
+        self._keep(pieces, found)
+        odd = [k for k in rest if pieces[k] != "\n" and (not pieces[k].strip() or _WHITE.search(pieces[k], 1 if pieces[k][0] == " " else 0))]
+        self.odd[start + np.array(odd, np.int64)] = True
+
+    def _merged(self, word: str) -> list[int]:
+        lower, space = self.plain
+        word = (word.lower() if lower else word) if space else word.lstrip(" ").lower() if lower else word.lstrip(" ")
+        return [t.id for t in self.tokenizer.model.tokenize(word.translate(_AS_BYTES))]
+
+    def _probe(self) -> None:
+        """How a plain word reaches the merges: in lower case or not, with the space before it or not; None if neither fits."""
+        for self.plain in ((False, True), (True, False)):
+            if all(self._merged(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES):
+                break
+        else:
+            self.plain = None
+        self.marks = {m: self.tokenizer.encode("a" + m, add_special_tokens=False).ids[1:] for m in ".,"}
+        if any(len(self.tokenizer.encode("a" + m, add_special_tokens=False).ids) != 2 for m in ".,"):
+            self.plain = None
+
+    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in x else [""] for x in texts]
+        pieces = [*chain.from_iterable(cut)]
         if len(self.place) > KEPT_PIECES:
             self._start_anew()
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -90,18 +117,17 @@ class PieceEncoder:
             absent = [pieces[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(absent)))
             at[missing] = np.fromiter(map(self.place.__getitem__, absent), np.int64, len(absent))
+        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         size = self.size[at]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        out, counts, piece, done = [], np.zeros(len(texts), np.int64), 0, 0
-        for k, (x, c) in enumerate(zip(texts, cut, strict=True)):
-            if c:
-                piece += len(c)
-                out.append(ids[done : (done := int(ends[piece - 1]))])
-            else:
-                out.append(np.array(next(direct).ids if x else [], np.uint32))
-            counts[k] = len(out[-1])
-        return (np.concatenate(out) if out else ids), counts
+        ids = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1])]
+        stop = ends[last - 1]
+        # An odd piece (empty, or with other white space) shows a text that is not cut as said above.
+        odd = np.flatnonzero(np.add.reduceat(self.odd[at].astype(np.int64), np.append(0, last[:-1])))
+        out = np.split(ids, stop[:-1])
+        for k, e in zip(odd.tolist(), self.tokenizer.encode_batch([texts[k] for k in odd.tolist()], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32)
+        return out
 
     def encode(self, texts: list[str]):
         """Yields for each text its ids (uint32)."""
@@ -109,8 +135,7 @@ class PieceEncoder:
         for k, x in enumerate(texts):
             chars += len(x)
             if chars >= AT_ONCE or k == len(texts) - 1:
-                ids, counts = self._chunk(texts[start : k + 1])
-                yield from np.split(ids, np.cumsum(counts)[:-1])
+                yield from self._chunk(texts[start : k + 1])
                 start, chars = k + 1, 0
 
 
