@@ -14,6 +14,7 @@ MODULES = {
     "op5_url_templates": "op05_url_templates",
     "op7_nbsvm_quality": "op07_nbsvm_quality",
     "op4_multiset_hash": "op04_multiset_hash",
+    "op2_set_relation_join": "op02_set_relation_join",
     "op6_secret_ledger": "op06_secret_ledger",
 }
 _LOADED = {name: importlib.import_module(f"{__package__}.{module}") for name, module in MODULES.items()}
