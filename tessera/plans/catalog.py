@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import tessera.sources.adapters  # noqa: F401  (defines the relations)
+from tessera.operators.statements import STATEMENTS
+
+from .dialect import oracle_query, spark_query
+
+QUERIES = {name: spark_query(sql) for name, sql in STATEMENTS.items()}
+ORACLE_SQL = {name: oracle_query(sql) for name, sql in STATEMENTS.items()}
