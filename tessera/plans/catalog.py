@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tessera.sources.adapters  # noqa: F401  (defines the relations)
+from tessera.functions import text
 from tessera.operators import graph, intervals
 from tessera.operators.statements import STATEMENTS
 
@@ -10,6 +11,6 @@ from .dialect import oracle_query, spark_query
 
 QUERIES = {name: spark_query(sql) for name, sql in STATEMENTS.items()}
 ORACLE_SQL = {name: oracle_query(sql) for name, sql in STATEMENTS.items()}
-for _module in (graph, intervals):
+for _module in (graph, intervals, text):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= {name: oracle_query(sql) for name, sql in _module.ORACLES.items()}
