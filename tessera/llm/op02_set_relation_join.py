@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, given, held, table
+from .scratch import Scratch, given, held, table, unused
 from .shingles import mix, shingle_sets
 
 #: Words of a shingle, and the least Jaccard similarity of a link as a fraction.
@@ -352,12 +352,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class only the document with the smallest id stays; of its repeated rows, one."""
+    (key,) = unused(docs, "gone_id")
     with Scratch(spark) as s:
         found = similarity_classes(s, docs)
         found = s.table(found.select("doc_id", "component"), "found")
-        gone = s.table(found.where("doc_id <> component").select(F.col("doc_id").alias("__id")).distinct(), "gone", keep=True)
+        gone = s.table(found.where("doc_id <> component").select(F.col("doc_id").alias(key)).distinct(), "gone", keep=True)
         repeated = found.where("doc_id = component").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(gone, held("doc_id") == F.col("__id"), "left_anti")
+    out = docs.join(gone, held("doc_id") == F.col(key), "left_anti")
     return out.dropDuplicates(["doc_id"]) if repeated else out
 
 

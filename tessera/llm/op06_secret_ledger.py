@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, given, held, table
+from .scratch import Scratch, given, held, table, unused
 
 
 @dataclass(frozen=True)
@@ -144,6 +144,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Spans that overlap are joined to one, which bears the name of the first.
     """
+    key, of, all_, own = unused(docs, "hit_id", "hit_blob", "hit_spans", "own_blob")
     with Scratch(spark) as s:
         address, found, _ = scan_history(spark, docs, "doc_id", "text", scratch=s)
         order = Window.partitionBy("blob").orderBy("start", "end", "kind")
@@ -151,16 +152,16 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         island = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
         merged = found.withColumn("reach", reach).withColumn("island", island).groupBy("blob", "island")
         merged = merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
-        spans = merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans"))
-        hit = s.table(address.join(spans, "blob").select(F.col("path").alias("__id"), F.col("blob").alias("__of"), "__spans").distinct(), "hit", keep=True)
+        spans = merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(all_))
+        hit = s.table(address.join(spans, "blob").select(F.col("path").alias(key), F.col("blob").alias(of), all_).distinct(), "hit", keep=True)
     text = F.col("text")
 
     def piece(x: Column, i: Column) -> Column:
-        at = F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
+        at = F.coalesce(F.get(all_, i - 1)["end"], F.lit(0))
         return F.concat(F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int")), F.lit("["), x["kind"], F.lit("]"))
 
-    rest = F.substring(text, (F.element_at("__spans", -1)["end"] + 1).cast("int"), F.lit(2147483647))
-    cleaned = F.concat(F.array_join(F.transform("__spans", piece), ""), rest)
-    keyed = docs.withColumn("__blob", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    out = keyed.join(hit, (held("doc_id") == F.col("__id")) & (F.col("__blob") == F.col("__of")), "left")
-    return out.withColumn("text", F.when(F.col("__spans").isNotNull(), cleaned).otherwise(text)).select(docs.columns)
+    rest = F.substring(text, (F.element_at(all_, -1)["end"] + 1).cast("int"), F.lit(2147483647))
+    cleaned = F.concat(F.array_join(F.transform(all_, piece), ""), rest)
+    keyed = docs.withColumn(own, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    out = keyed.join(hit, (held("doc_id") == F.col(key)) & (F.col(own) == F.col(of)), "left")
+    return out.withColumn("text", F.when(F.col(all_).isNotNull(), cleaned).otherwise(text)).select(docs.columns)

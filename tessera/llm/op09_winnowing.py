@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, given, held, let, table
+from .scratch import Scratch, given, held, let, table, unused
 
 #: Fixed by the contract: what is not part of a word once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -141,10 +141,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go; all others stay as they are."""
+    key, tag = unused(docs, "gone_id", "gone_tag")
     with Scratch(spark) as s:
         judged = decontaminate(s, docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-        out = s.table(judged.where(CONTAMINATED).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "out", keep=True)
-    same = (held("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tag"))
+        out = s.table(judged.where(CONTAMINATED).select(F.col("doc_id").alias(key), F.col("tag").alias(tag)).distinct(), "out", keep=True)
+    same = (held("doc_id") == F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(tag))
     return docs.join(out, same, "left_anti")
 
 
