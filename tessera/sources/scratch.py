@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -34,6 +33,16 @@ def given(key: str | Column) -> Column:
     return F.nullif(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Intermediate tables of one operator call.
 
@@ -71,10 +80,18 @@ class Scratch:
             self._delete(path)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside a lambda."""
-    return F.transform(F.array(value), body).getItem(0)
+class Scratch:
+    """Intermediate tables of one operator call.
 
+    ``table`` writes a frame as Parquet and reads it again.  On leaving the ``with`` block every table
+    is removed but those named to ``keep``, on which the result still depends.
+    """
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
+        self.paths: dict[str, bool] = {}
+
+    def path(self, name: str, keep: bool = False) -> str:
+        self.paths[f"{self.root}/{name}"] = keep
+        return f"{self.root}/{name}"
