@@ -1,66 +1,19 @@
-"""Tables in the shared folder, which cut lineage and outlive an executor."""
+"""Small helpers that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _OWN[app]
-
-
-#: Stands for a null id inside operators, where ids are joined or stored as numbers.
-NO_ID = -(1 << 63)
-
-
-def held(key: str | Column) -> Column:
-    return F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
-
-
-def given(key: str | Column) -> Column:
-    return F.nullif(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Column names that ``df`` doesn't have, whatever its columns are called."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        out.append(name)
-    return out
+from tessera.sources.scratch import Scratch, shared_dir
 
+__all__ = ["NO_ID", "Scratch", "given", "held", "let", "shared_dir", "table", "unused"]
 
-class Scratch:
-    """Intermediate tables of one operator call.
 
-    ``table`` writes a frame as Parquet and reads it again.  On leaving the ``with`` block every table
-    is removed but those named to ``keep``, on which the result still depends.
-    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-        self.paths: dict[str, bool] = {}
 
-    def path(self, name: str, keep: bool = False) -> str:
-        self.paths[f"{self.root}/{name}"] = keep
-        return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         path = self.path(name, keep)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
