@@ -21,28 +21,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-#: Stands for a null id inside operators, where ids are joined or stored as numbers.
-NO_ID = -(1 << 63)
-
-
-def held(key: str | Column) -> Column:
-    return F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
-
-
-def given(key: str | Column) -> Column:
-    return F.nullif(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Column names that ``df`` doesn't have, whatever its columns are called."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        out.append(name)
-    return out
-
-
 class Scratch:
     """Intermediate tables of one operator call.
 
@@ -78,20 +56,3 @@ class Scratch:
     def __exit__(self, *_) -> None:
         for path in [p for p, keep in self.paths.items() if not keep]:
             self._delete(path)
-
-
-class Scratch:
-    """Intermediate tables of one operator call.
-
-    ``table`` writes a frame as Parquet and reads it again.  On leaving the ``with`` block every table
-    is removed but those named to ``keep``, on which the result still depends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-        self.paths: dict[str, bool] = {}
-
-    def path(self, name: str, keep: bool = False) -> str:
-        self.paths[f"{self.root}/{name}"] = keep
-        return f"{self.root}/{name}"
