@@ -31,30 +31,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-
-
-
-def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-        path = self.path(name, keep)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths.pop(path, None)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        for path in [p for p, keep in self.paths.items() if not keep]:
-            self._delete(path)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside a lambda."""
     return F.transform(F.array(value), body).getItem(0)
