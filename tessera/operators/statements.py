@@ -229,4 +229,12 @@ STATEMENTS: dict[str, str] = {
     "V-16_deadlines": "SELECT part_id, least(7200000, greatest(600000, 120000 + duration_ms * 3)) AS timeout_ms FROM parts",
     "V-17_caption_choice": "SELECT part_id, min_by(transcript_id, cast(length(text) AS bigint) * 1000000 + transcript_id) AS transcript_id FROM transcripts WHERE length(trim(text)) > 0 AND source_kind <> 'asr-local' GROUP BY part_id",
     "V-20_reference_conflicts": "SELECT page, count(DISTINCT sha) AS shas FROM (SELECT part_id % 50 AS page, sha FROM transcripts UNION ALL SELECT audio_id AS page, sha FROM audio_objects) AS r GROUP BY page HAVING count(DISTINCT sha) > 1",
+    "V-12_field_projection": "SELECT o.video_id, v.title AS title, o.newest_seq, o.newest_seq IS NULL OR v.video_id IS NULL AS unbound FROM (SELECT video_id, max(CASE WHEN state = 'present' THEN seq END) AS newest_seq FROM observations GROUP BY video_id) AS o LEFT JOIN videos AS v ON o.video_id = v.video_id WHERE o.video_id < 256",
+    "V-18_chain_recovery": "SELECT j.job_id, SHA[concat(j.job_id, ':', coalesce(TEXT[r.job_id], ''), ':', j.status)] AS plan_id, r.job_id IS NULL AS missing_base FROM jobs AS j LEFT JOIN jobs AS r ON j.repair_of = r.job_id WHERE j.repair_of IS NOT NULL",
+    "V-19_sample_evidence": "SELECT t.sha, count(*) AS requests, count(p.publication_id) AS answered, count(DISTINCT t.part_id) AS part_n FROM transcripts AS t LEFT JOIN publications AS p ON t.transcript_id = p.transcript_id GROUP BY t.sha",
+    "S-20_coverage_sink": f"{_ALL_STATE} SELECT concat(pipeline_state, ',', TEXT[count(*)]) AS csv_line FROM state GROUP BY pipeline_state",
+    "M-12_migration_ledger": "SELECT a.transcript_id, a.sha = b.sha AS same FROM transcripts AS a JOIN (SELECT doc_id, SHA[text] AS sha FROM documents) AS b ON a.transcript_id = b.doc_id",
+    "ST-07_session_blocks": """SELECT conv_id, cast(session AS bigint) AS session_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS turn_n FROM (SELECT *, sum(CASE WHEN start_ms - before_end > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
+      FROM (SELECT conv_id, turn, start_ms, end_ms, lag(end_ms) OVER (PARTITION BY conv_id ORDER BY turn) AS before_end FROM turns) AS w) AS g GROUP BY conv_id, session""",
+    "X-03_links_in_texts": "SELECT doc_id, REPLACED[text; 'https?://[^\\s/@]+@[^\\s]+|https?://[^\\s]*[?&](token|sig|key|auth)=[^\\s]*'; '[redacted]'] AS clean FROM documents",
 }

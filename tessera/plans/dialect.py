@@ -39,14 +39,38 @@ MACROS: dict[str, tuple[str, str]] = {
 }
 
 
+_CALL = re.compile(rf"\b({'|'.join(sorted(MACROS, key=len, reverse=True))})\[")
+
+
+def _arguments(sql: str, at: int) -> tuple[list[str], int]:
+    """The arguments of the macro whose bracket opens before ``at``, and where it ends; quoted text is passed over."""
+    out, start, depth, quoted = [], at, 0, False
+    for k in range(at, len(sql)):
+        c = sql[k]
+        if c == "'":
+            quoted = not quoted
+        elif quoted:
+            continue
+        elif c == "[":
+            depth += 1
+        elif c == "]" and depth:
+            depth -= 1
+        elif c == "]":
+            return [*out, sql[start:k].strip()], k + 1
+        elif c == ";" and not depth:
+            out.append(sql[start:k].strip())
+            start = k + 1
+    raise ValueError(f"no end of a macro: {sql[at - 20 : at + 60]}")
+
+
 def _expand(sql: str, engine: int) -> str:
-    """Macros from the innermost out."""
-    names = "|".join(sorted(MACROS, key=len, reverse=True))
-    call = re.compile(rf"\b({names})\[([^\[\]]*)\]")
-    while m := call.search(sql):
-        arguments = [a.strip() for a in m[2].split(";")]
-        sql = sql[: m.start()] + MACROS[m[1]][engine].format(*arguments) + sql[m.end() :]
-    return sql
+    """Macros, outer ones first and their arguments after."""
+    out, at = [], 0
+    while m := _CALL.search(sql, at):
+        arguments, end = _arguments(sql, m.end())
+        out += [sql[at : m.start()], MACROS[m[1]][engine].format(*[_expand(a, engine) for a in arguments])]
+        at = end
+    return "".join([*out, sql[at:]])
 
 
 class Relations:
