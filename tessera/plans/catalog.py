@@ -6,6 +6,7 @@ import tessera.sources.adapters  # noqa: F401  (defines the relations)
 from tessera.functions import sequences, text
 from tessera.operators import graph, intervals
 from tessera.operators.statements import STATEMENTS
+from tessera.sources.shipping import shipped
 from tessera.streaming import jobs
 
 from .dialect import oracle_query, spark_query
@@ -13,5 +14,5 @@ from .dialect import oracle_query, spark_query
 QUERIES = {name: spark_query(sql) for name, sql in STATEMENTS.items()}
 ORACLE_SQL = {name: oracle_query(sql) for name, sql in STATEMENTS.items()}
 for _module in (graph, intervals, text, sequences, jobs):
-    QUERIES |= _module.QUERIES
+    QUERIES |= {name: shipped(query) for name, query in _module.QUERIES.items()}
     ORACLE_SQL |= {name: oracle_query(sql) for name, sql in _module.ORACLES.items()}
