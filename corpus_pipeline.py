@@ -15,13 +15,14 @@ from tessera.llm.op06_secret_ledger import remove_secrets
 from tessera.llm.op07_nbsvm_quality import keep_good
 from tessera.llm.op09_winnowing import remove_contaminated
 from tessera.llm.scratch import Scratch, table
+from tessera.sources.shipping import shipped
 
 STAGES = [
-    ("quality_classifier", keep_good),
-    ("ngram_jaccard_join", keep_one),
-    ("benchmark_decontamination", remove_contaminated),
-    ("secret_scans", remove_secrets),
-    ("best_fit_packing", pack_documents),
+    ("quality_classifier", shipped(keep_good)),
+    ("ngram_jaccard_join", shipped(keep_one)),
+    ("benchmark_decontamination", shipped(remove_contaminated)),
+    ("secret_scans", shipped(remove_secrets)),
+    ("best_fit_packing", shipped(pack_documents)),
 ]
 
 #: The classifier and the tokenizer have no SQL; tests hold the pipeline against brute force.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from tessera.sources.shipping import shipped
+
 #: Query name and module; each module has ``query(spark, sf_dir)`` and may have ``ORACLE_SQL``.
 MODULES = {
     "op9_winnowing": "op09_winnowing",
@@ -18,5 +20,5 @@ MODULES = {
     "op6_secret_ledger": "op06_secret_ledger",
 }
 _LOADED = {name: importlib.import_module(f"{__package__}.{module}") for name, module in MODULES.items()}
-QUERIES = {name: module.query for name, module in _LOADED.items()}
+QUERIES = {name: shipped(module.query) for name, module in _LOADED.items()}
 ORACLE_SQL = {name: module.ORACLE_SQL for name, module in _LOADED.items() if getattr(module, "ORACLE_SQL", None)}
