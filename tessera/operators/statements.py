@@ -26,20 +26,20 @@ _RETRY = """CASE WHEN status <> 'failed' THEN 'not_failed' WHEN job_id % 41 = 0
 
 STATEMENTS: dict[str, str] = {
     # Sources and views
-    "S-01_part_listing": "SELECT p.part_id, p.bvid, p.page, p.duration_ms, p.status, v.title, v.pubdate, c.mid, c.display_name, concat(p.bvid, ':p', p.page) AS work_id FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id JOIN creators AS c ON v.mid = c.mid",
+    "S-01_part_listing": "SELECT p.part_id, p.video_code, p.page, p.duration_ms, p.status, v.title, v.pubdate, c.mid, c.display_name, concat(p.video_code, ':p', p.page) AS work_id FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id JOIN creators AS c ON v.mid = c.mid",
     "S-02_run_stats": """SELECT runs.run_id, runs.kind, runs.started, coalesce(a.parts_seen, 0) AS parts_seen, coalesce(b.users_seen, 0) AS users_seen FROM runs
       LEFT JOIN (SELECT run_id, count(DISTINCT part_id) AS parts_seen FROM attempts GROUP BY run_id) AS a ON runs.run_id = a.run_id
       LEFT JOIN (SELECT run_id, count(DISTINCT user_id) AS users_seen FROM log GROUP BY run_id) AS b ON runs.run_id = b.run_id""",
-    "S-03_pending_metadata": "SELECT part_id, bvid, page, cast(row_number() OVER (ORDER BY bvid, page) AS bigint) AS rank_no FROM (SELECT part_id, bvid, page FROM parts WHERE status = 'discovered' ORDER BY bvid, page LIMIT 500) AS p",
-    "S-04_neutral_parts": "SELECT 'video' AS platform, v.bvid AS source_video, p.page AS source_part, c.display_name AS creator FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id LEFT JOIN creators AS c ON v.mid = c.mid",
-    "S-05_neutral_sync": "SELECT concat('c', c.mid) AS neutral_id, 'creator' AS kind, c.display_name AS name FROM creators AS c UNION ALL SELECT v.bvid AS neutral_id, 'video' AS kind, v.title AS name FROM videos AS v UNION ALL SELECT concat(p.bvid, ':p', p.page) AS neutral_id, 'part' AS kind, v.title AS name FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id",
-    "S-06_keyset_page": "SELECT part_id, bvid, page FROM parts WHERE part_id > 4000 ORDER BY part_id LIMIT 256",
+    "S-03_pending_metadata": "SELECT part_id, video_code, page, cast(row_number() OVER (ORDER BY video_code, page) AS bigint) AS rank_no FROM (SELECT part_id, video_code, page FROM parts WHERE status = 'discovered' ORDER BY video_code, page LIMIT 500) AS p",
+    "S-04_neutral_parts": "SELECT 'video' AS platform, v.video_code AS source_video, p.page AS source_part, c.display_name AS creator FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id LEFT JOIN creators AS c ON v.mid = c.mid",
+    "S-05_neutral_sync": "SELECT concat('c', c.mid) AS neutral_id, 'creator' AS kind, c.display_name AS name FROM creators AS c UNION ALL SELECT v.video_code AS neutral_id, 'video' AS kind, v.title AS name FROM videos AS v UNION ALL SELECT concat(p.video_code, ':p', p.page) AS neutral_id, 'part' AS kind, v.title AS name FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id",
+    "S-06_keyset_page": "SELECT part_id, video_code, page FROM parts WHERE part_id > 4000 ORDER BY part_id LIMIT 256",
     "S-07_composite_keyset": "SELECT video_id, page, part_id FROM parts WHERE video_id > 700 OR (video_id = 700 AND page > 2)",
     "S-10_route_milliseconds": "SELECT transcript_id, count(*) AS segments, SUM_INT[CASE WHEN end_ms <= start_ms OR start_ms < 0 OR length(trim(text)) = 0 THEN 1 ELSE 0 END] AS violations, min(CASE WHEN end_ms <= start_ms OR start_ms < 0 OR length(trim(text)) = 0 THEN ordinal END) AS first_bad FROM segments GROUP BY transcript_id",
     "S-11_text_fallback": "SELECT p.part_id, coalesce(cc.text, ai.text, asr.text) AS text, CASE WHEN cc.text IS NOT NULL THEN 'cc' WHEN ai.text IS NOT NULL THEN 'ai' WHEN asr.text IS NOT NULL THEN 'asr' END AS source FROM parts AS p LEFT JOIN (SELECT part_id, min(text) AS text FROM transcripts WHERE source_kind = 'subtitle-cc' GROUP BY part_id) AS cc ON p.part_id = cc.part_id LEFT JOIN (SELECT part_id, min(text) AS text FROM transcripts WHERE source_kind = 'subtitle-ai' GROUP BY part_id) AS ai ON p.part_id = ai.part_id LEFT JOIN (SELECT part_id, min(text) AS text FROM transcripts WHERE source_kind = 'asr-local' GROUP BY part_id) AS asr ON p.part_id = asr.part_id",
     "S-13_digest_check": "SELECT doc_id, SHA[text] AS digest, BYTES[text] AS size_bytes, BYTES[text] <= 65536 AS within_cap FROM documents",
     "S-14_metadata_codec": "SELECT event_id, JSON_TEXT[props; k] AS k_text, NUMBER[JSON_TEXT[props; k]] AS k, JSON_TEXT[props; absent] AS absent FROM events",
-    "S-15_export_rows": "SELECT concat(p.bvid, ':p', p.page) AS work_id, coalesce(v.title, '') AS title, coalesce(DATE_TEXT[v.pubdate], '') AS published, coalesce(TEXT[p.duration_ms], '') AS duration FROM parts AS p LEFT JOIN videos AS v ON p.video_id = v.video_id WHERE p.status <> 'gone'",
+    "S-15_export_rows": "SELECT concat(p.video_code, ':p', p.page) AS work_id, coalesce(v.title, '') AS title, coalesce(DATE_TEXT[v.pubdate], '') AS published, coalesce(TEXT[p.duration_ms], '') AS duration FROM parts AS p LEFT JOIN videos AS v ON p.video_id = v.video_id WHERE p.status <> 'gone'",
     "S-16_srt_render": "SELECT transcript_id, JOINED[concat(ordinal + 1, chr(10), PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], ',', PADDED[start_ms % 1000; 3], chr(10), text, chr(10)); chr(10); ordinal] AS srt FROM segments WHERE start_ms >= 0 AND end_ms > start_ms GROUP BY transcript_id",
     "S-17_time_format": "SELECT transcript_id, ordinal, concat(PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], '.', PADDED[start_ms % 1000; 3]) AS stamp FROM segments WHERE start_ms >= 0",
     "S-18_bundle_marker": "SELECT transcript_id, SHA[text] AS txt_sha, SHA[concat('---', chr(10), transcript_id, chr(10), text)] AS md_sha, length(text) AS chars FROM transcripts",
@@ -57,7 +57,7 @@ STATEMENTS: dict[str, str] = {
     "F-08_selection": "SELECT v.wanted, CASE WHEN p.part_id IS NULL THEN 'unknown' WHEN p.status = 'gone' THEN 'gone' ELSE 'selected' END AS class FROM (SELECT DISTINCT (event_id % 400) * 8 + 1 + event_id % 3 AS wanted FROM events) AS v LEFT JOIN parts AS p ON v.wanted = p.part_id",
     "F-09_multi_field": "SELECT job_id, kind, status FROM jobs WHERE kind IN ('asr', 'audio') AND status IN ('failed', 'queued') AND priority IN (1, 2) ORDER BY job_id LIMIT 200 OFFSET 50",
     "F-10_scope": "SELECT job_id FROM jobs WHERE created BETWEEN 757382400 AND 788918400 AND status IN ('succeeded', 'failed')",
-    "F-11_scope_tokens": "SELECT t.token, count(p.part_id) AS matched, count(p.part_id) = 0 AS unavailable FROM (SELECT DISTINCT concat('BV', event_id % 500) AS token FROM events) AS t LEFT JOIN parts AS p ON t.token = p.bvid GROUP BY t.token",
+    "F-11_scope_tokens": "SELECT t.token, count(p.part_id) AS matched, count(p.part_id) = 0 AS unavailable FROM (SELECT DISTINCT concat('VID', event_id % 500) AS token FROM events) AS t LEFT JOIN parts AS p ON t.token = p.video_code GROUP BY t.token",
     "F-12_budget_gate": "SELECT p.part_id, coalesce(a.byte_size > 1300, TRUE) AS blocked FROM parts AS p LEFT JOIN (SELECT l.part_id, max(o.byte_size) AS byte_size FROM audio_links AS l JOIN audio_objects AS o ON l.audio_id = o.audio_id GROUP BY l.part_id) AS a ON p.part_id = a.part_id",
     "F-13_retention": "SELECT r.object_id, SORTED_SET[r.blocker] AS blockers FROM (SELECT object_id, 'pin' AS blocker FROM replicas WHERE object_id % 17 = 0 UNION ALL SELECT object_id, 'single' AS blocker FROM replicas GROUP BY object_id HAVING count(*) < 3 UNION ALL SELECT object_id, 'recent' AS blocker FROM replicas WHERE verified > 900000000) AS r GROUP BY r.object_id",
     "F-14_path_safety": "SELECT page_id, instr(url, '..') > 0 AS climbs, MATCHES[url; '^[a-z]+://'] AS absolute, MATCHES[url; '[A-Z]'] AS has_upper FROM pages",
@@ -122,8 +122,8 @@ STATEMENTS: dict[str, str] = {
     "G-05_explain_jobs": "SELECT j.job_id, j.status, coalesce(e.needs, '') AS needs, coalesce(e.blockers, '') AS blockers, a.last_outcome FROM jobs AS j LEFT JOIN (SELECT edges.job_id, JOINED[TEXT[edges.needs]; ','; edges.needs] AS needs, JOINED[CASE WHEN p.status <> 'succeeded' THEN TEXT[edges.needs] END; ','; edges.needs] AS blockers FROM edges JOIN jobs AS p ON edges.needs = p.job_id GROUP BY edges.job_id) AS e ON j.job_id = e.job_id LEFT JOIN (SELECT job_id, max_by(outcome, seq) AS last_outcome FROM job_attempts GROUP BY job_id) AS a ON j.job_id = a.job_id",
     "G-12_planning_graph": "SELECT p.part_id, k.kind, concat(k.kind, ':', p.part_id) AS dedupe_key, CASE k.kind WHEN 'asr' THEN concat('audio:', p.part_id) WHEN 'proofread' THEN concat('asr:', p.part_id) WHEN 'render' THEN concat('proofread:', p.part_id) END AS needs FROM parts AS p CROSS JOIN (SELECT 'subtitle' AS kind UNION ALL SELECT 'audio' UNION ALL SELECT 'asr' UNION ALL SELECT 'proofread' UNION ALL SELECT 'render') AS k WHERE p.status <> 'gone'",
     # Orders and limits
-    "L-01_work_order": "SELECT part_id, rank_no FROM (SELECT p.part_id, cast(row_number() OVER (ORDER BY CASE WHEN a.last_at IS NULL THEN 0 ELSE 1 END, a.last_at NULLS FIRST, p.bvid, p.page) AS bigint) AS rank_no FROM parts AS p LEFT JOIN (SELECT part_id, max(finished) AS last_at FROM attempts GROUP BY part_id) AS a ON p.part_id = a.part_id WHERE p.status <> 'gone') AS w WHERE rank_no <= 1000",
-    "L-02_queue_order": "SELECT p.part_id, cast(row_number() OVER (ORDER BY v.pubdate DESC, p.bvid, p.page) AS bigint) AS rank_no FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id",
+    "L-01_work_order": "SELECT part_id, rank_no FROM (SELECT p.part_id, cast(row_number() OVER (ORDER BY CASE WHEN a.last_at IS NULL THEN 0 ELSE 1 END, a.last_at NULLS FIRST, p.video_code, p.page) AS bigint) AS rank_no FROM parts AS p LEFT JOIN (SELECT part_id, max(finished) AS last_at FROM attempts GROUP BY part_id) AS a ON p.part_id = a.part_id WHERE p.status <> 'gone') AS w WHERE rank_no <= 1000",
+    "L-02_queue_order": "SELECT p.part_id, cast(row_number() OVER (ORDER BY v.pubdate DESC, p.video_code, p.page) AS bigint) AS rank_no FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id",
     "L-03_limit_by_part": "SELECT t.part_id, t.transcript_id FROM transcripts AS t JOIN (SELECT DISTINCT part_id FROM transcripts ORDER BY part_id LIMIT 50) AS p ON t.part_id = p.part_id",
     "L-04_truncation": "SELECT count(*) > 100 AS truncated, least(count(*), 100) AS kept FROM (SELECT seq FROM attempts WHERE outcome = 'failed' ORDER BY seq LIMIT 101) AS a",
     "L-05_page_with_total": "SELECT f.job_id, t.total FROM (SELECT job_id FROM jobs WHERE status = 'failed' ORDER BY job_id LIMIT 20 OFFSET 40) AS f CROSS JOIN (SELECT count(*) AS total FROM jobs WHERE status = 'failed') AS t",
@@ -138,7 +138,7 @@ STATEMENTS: dict[str, str] = {
     "U-05_set_difference": "SELECT part_id FROM parts EXCEPT SELECT part_id FROM attempts",
     "U-06_replace_set": "SELECT video_id, tag_name FROM tags WHERE video_id % 5 <> 0 UNION SELECT video_id, 'replaced' AS tag_name FROM videos WHERE video_id % 5 = 0",
     # Named queries
-    "Q-01_pending_subtitles": f"WITH {_NEWEST}, {_HAS_TRANSCRIPT} SELECT p.part_id, p.bvid, p.page, n.outcome, n.error_code, n.finished, CASE WHEN n.part_id IS NULL THEN 0 ELSE 1 END AS attempted FROM parts AS p LEFT JOIN newest AS n ON p.part_id = n.part_id WHERE p.status <> 'gone' AND NOT EXISTS (SELECT 1 FROM held WHERE held.part_id = p.part_id)",
+    "Q-01_pending_subtitles": f"WITH {_NEWEST}, {_HAS_TRANSCRIPT} SELECT p.part_id, p.video_code, p.page, n.outcome, n.error_code, n.finished, CASE WHEN n.part_id IS NULL THEN 0 ELSE 1 END AS attempted FROM parts AS p LEFT JOIN newest AS n ON p.part_id = n.part_id WHERE p.status <> 'gone' AND NOT EXISTS (SELECT 1 FROM held WHERE held.part_id = p.part_id)",
     "Q-02_missing_subtitle": f"WITH {_HAS_TRANSCRIPT} SELECT p.part_id, v.title, v.pubdate FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id WHERE p.status <> 'gone' AND NOT EXISTS (SELECT 1 FROM held WHERE held.part_id = p.part_id)",
     "Q-03_missing_audio": f"WITH {_NEWEST}, {_LOOKS}, {_HAS_TRANSCRIPT}, {_HAS_AUDIO} SELECT p.part_id, n.error_code FROM parts AS p JOIN newest AS n ON p.part_id = n.part_id LEFT JOIN looks ON p.part_id = looks.part_id WHERE p.status <> 'gone' AND NOT EXISTS (SELECT 1 FROM held WHERE held.part_id = p.part_id) AND NOT EXISTS (SELECT 1 FROM sound WHERE sound.part_id = p.part_id) AND {_ATTESTED}",
     "Q-04_missing_transcript": f"WITH {_HAS_TRANSCRIPT}, {_HAS_AUDIO} SELECT p.part_id, p.status FROM parts AS p WHERE EXISTS (SELECT 1 FROM sound WHERE sound.part_id = p.part_id) AND NOT EXISTS (SELECT 1 FROM held WHERE held.part_id = p.part_id)",
@@ -150,9 +150,9 @@ STATEMENTS: dict[str, str] = {
       FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id LEFT JOIN preferred AS pref ON p.part_id = pref.part_id LEFT JOIN pub ON p.part_id = pub.part_id WHERE p.status <> 'gone'""",
     "Q-08_coverage_report": f"WITH {_PREFERRED} SELECT p.status, count(*) AS works, count(pref.part_id) AS with_text FROM parts AS p LEFT JOIN preferred AS pref ON p.part_id = pref.part_id GROUP BY p.status",
     "Q-09_integrity_report": f"WITH {_PREFERRED} SELECT pref.source_kind, count(*) AS n, COUNT_IF[p.part_id IS NULL] AS orphan FROM preferred AS pref LEFT JOIN parts AS p ON pref.part_id = p.part_id GROUP BY pref.source_kind",
-    "Q-10_export": f"WITH {_PREFERRED} SELECT concat(p.bvid, ':p', p.page) AS work_id, REPLACED[v.title; '[0-9]{{4,}}'; '#'] AS title, pref.sha FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id JOIN preferred AS pref ON p.part_id = pref.part_id ORDER BY p.bvid, p.page LIMIT 1000",
+    "Q-10_export": f"WITH {_PREFERRED} SELECT concat(p.video_code, ':p', p.page) AS work_id, REPLACED[v.title; '[0-9]{{4,}}'; '#'] AS title, pref.sha FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id JOIN preferred AS pref ON p.part_id = pref.part_id ORDER BY p.video_code, p.page LIMIT 1000",
     "Q-11_workflow_status": f"SELECT decision, kind, count(*) AS n FROM (SELECT kind, {_RETRY} AS decision FROM (SELECT j.*, coalesce(r.n, 0) AS repaired FROM jobs AS j LEFT JOIN (SELECT repair_of, count(*) AS n FROM jobs WHERE repair_of IS NOT NULL GROUP BY repair_of) AS r ON j.job_id = r.repair_of) AS q) AS d GROUP BY decision, kind",
-    "Q-12_metadata_search": """WITH t AS (SELECT video_id, JOINED[tag_name; chr(10); place, tag_name] AS tag_text FROM tags GROUP BY video_id), m AS (SELECT v.video_id, v.pubdate, v.bvid, instr(ASCII_LOWER[v.title], 'high') > 0 AS in_title, instr(ASCII_LOWER[coalesce(t.tag_text, '')], 'brand#2') > 0 AS in_tags FROM videos AS v LEFT JOIN t ON v.video_id = t.video_id)
+    "Q-12_metadata_search": """WITH t AS (SELECT video_id, JOINED[tag_name; chr(10); place, tag_name] AS tag_text FROM tags GROUP BY video_id), m AS (SELECT v.video_id, v.pubdate, v.video_code, instr(ASCII_LOWER[v.title], 'high') > 0 AS in_title, instr(ASCII_LOWER[coalesce(t.tag_text, '')], 'brand#2') > 0 AS in_tags FROM videos AS v LEFT JOIN t ON v.video_id = t.video_id)
       SELECT m.video_id, p.part_id, CASE WHEN in_title THEN 0 ELSE 1 END AS field_rank, concat(CASE WHEN in_title THEN 'title,' ELSE '' END, CASE WHEN in_tags THEN 'tags' ELSE '' END) AS matched_fields FROM m JOIN parts AS p ON m.video_id = p.video_id WHERE in_title OR in_tags""",
     "Q-14_combined_search": "SELECT source, id, cast(row_number() OVER (ORDER BY source, id) AS bigint) AS rank_no FROM (SELECT source, id FROM (SELECT 0 AS source, video_id AS id FROM videos WHERE instr(ASCII_LOWER[title], 'urgent') > 0 UNION ALL SELECT 1 AS source, doc_id AS id FROM documents WHERE instr(ASCII_LOWER[text], 'license') > 0) AS u ORDER BY source, id LIMIT 200) AS q",
     "Q-15_planning_facts": f"WITH {_PREFERRED} SELECT p.part_id, s.score, pref.transcript_id FROM parts AS p LEFT JOIN (SELECT part_id, max_by(score, assessment_id) AS score FROM assessments WHERE assessor <> 'asr-admission' GROUP BY part_id) AS s ON p.part_id = s.part_id LEFT JOIN preferred AS pref ON p.part_id = pref.part_id AND pref.source_kind <> 'asr-local'",
@@ -161,7 +161,7 @@ STATEMENTS: dict[str, str] = {
     "Q-18_asr_quality": "SELECT assessment_id, greatest(CASE WHEN score < 0.2 THEN 3 WHEN score < 0.5 THEN 2 ELSE 0 END, CASE WHEN assessor = 'asr-admission' THEN 1 ELSE 0 END) AS severity FROM assessments",
     "Q-19_inventory": "SELECT object_id, count(*) AS copies, COUNT_IF[presence = 'present'] AS present_n, max(byte_size) AS byte_size, CASE WHEN COUNT_IF[presence = 'present'] > 1 THEN max(byte_size) * (COUNT_IF[presence = 'present'] - 1) ELSE 0 END AS reclaimable FROM replicas GROUP BY object_id",
     "Q-20_publication_state": "SELECT part_id, count(*) AS releases, max(publication_id) AS head, min(published) AS first_at, max(published) AS last_at FROM publications GROUP BY part_id",
-    "Q-21_series": "SELECT c.mid, JOINED[v.bvid; ','; v.pubdate, v.bvid] AS members FROM creators AS c JOIN videos AS v ON c.mid = v.mid GROUP BY c.mid",
+    "Q-21_series": "SELECT c.mid, JOINED[v.video_code; ','; v.pubdate, v.video_code] AS members FROM creators AS c JOIN videos AS v ON c.mid = v.mid GROUP BY c.mid",
     "Q-22_audio_reconciliation": "SELECT coalesce(l.audio_id, o.object_id) AS audio_id, CASE WHEN o.object_id IS NULL THEN 'missing' WHEN l.audio_id IS NULL THEN 'unrecorded' WHEN o.presence = 'missing' THEN 'unreadable' ELSE 'recorded' END AS class FROM (SELECT DISTINCT audio_id FROM audio_links) AS l FULL JOIN (SELECT object_id, min(presence) AS presence FROM replicas WHERE object_id < 60 GROUP BY object_id) AS o ON l.audio_id = o.object_id",
     # Scalars and text
     "T-01_parse_time": "SELECT page_id, NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 1]] * 3600000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 2]] * 60000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 3]] * 1000 + NUMBER[rpad(GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 4], 3, '0')] AS ms FROM (SELECT page_id, concat(page_id % 5, ':', PADDED[page_id % 60; 2], ':', PADDED[page_id * 7 % 60; 2], CASE WHEN page_id % 2 = 0 THEN ',' ELSE '.' END, page_id % 97) AS stamp FROM pages) AS p",
@@ -184,7 +184,7 @@ STATEMENTS: dict[str, str] = {
     "T-24_segment_hash": "SELECT transcript_id, SHA[JOINED[concat('[', start_ms, ',', end_ms, ',', trim(text), ']'); ','; ordinal]] AS content_sha FROM segments GROUP BY transcript_id",
     "T-25_date": "SELECT video_id, CASE WHEN pubdate > 0 THEN DATE_TEXT[pubdate] END AS day FROM videos",
     "T-26_language_key": "SELECT doc_id, REPLACED[lower(trim(concat(' AI-', upper(lang), '_x '))); '^ai-|_.*$'; ''] AS language_key FROM documents",
-    "T-27_work_id": "SELECT part_id, GROUP_OF[work_id; '^(BV[0-9]+):p([0-9]+)$'; 1] AS video, NUMBER[GROUP_OF[work_id; '^(BV[0-9]+):p([0-9]+)$'; 2]] AS page FROM (SELECT part_id, concat(bvid, ':p', page) AS work_id FROM parts) AS p",
+    "T-27_work_id": "SELECT part_id, GROUP_OF[work_id; '^(VID[0-9]+):p([0-9]+)$'; 1] AS video, NUMBER[GROUP_OF[work_id; '^(VID[0-9]+):p([0-9]+)$'; 2]] AS page FROM (SELECT part_id, concat(video_code, ':p', page) AS work_id FROM parts) AS p",
     "T-29_hotwords": "SELECT h.term, count(*) AS evidence_n FROM (SELECT 'license' AS term UNION ALL SELECT 'apache' UNION ALL SELECT 'idiot' UNION ALL SELECT 'absent-term') AS h JOIN documents AS d ON instr(lower(d.text), h.term) > 0 GROUP BY h.term",
     "T-30_bundle_identity": "SELECT page_id, GROUP_OF[url; '/([a-z]{2})/'; 1] AS section, GROUP_OF[url; '/([a-z]{2})/'; 1] = GROUP_OF[html; '<html lang=\"([a-z]{2})\"'; 1] AS agrees FROM pages",
     "T-31_usage": "SELECT event_id, coalesce(NUMBER[JSON_TEXT[props; tokens]], NUMBER[JSON_TEXT[props; k]], 0) AS tokens FROM events",

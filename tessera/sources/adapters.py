@@ -11,10 +11,10 @@ from tessera.plans.dialect import RELATIONS
 add = RELATIONS.add
 
 add("creators", "SELECT c_custkey AS mid, c_name AS display_name FROM customer")
-add("videos", "SELECT o_orderkey AS video_id, concat('BV', o_orderkey) AS bvid, o_custkey AS mid, concat(o_orderpriority, ' ', o_orderkey) AS title, EPOCH[o_orderdate] AS pubdate, o_orderstatus AS state FROM orders")
+add("videos", "SELECT o_orderkey AS video_id, concat('VID', o_orderkey) AS video_code, o_custkey AS mid, concat(o_orderpriority, ' ', o_orderkey) AS title, EPOCH[o_orderdate] AS pubdate, o_orderstatus AS state FROM orders")
 add(
     "parts",
-    """SELECT l_orderkey * 8 + l_linenumber AS part_id, l_orderkey AS video_id, concat('BV', l_orderkey) AS bvid, cast(l_linenumber - 1 AS bigint) AS page,
+    """SELECT l_orderkey * 8 + l_linenumber AS part_id, l_orderkey AS video_id, concat('VID', l_orderkey) AS video_code, cast(l_linenumber - 1 AS bigint) AS page,
     cast(max(l_quantity) * 1000 AS bigint) AS duration_ms, min(l_partkey) AS first_tag,
     CASE min(l_returnflag) WHEN 'N' THEN 'metadata_collected' WHEN 'A' THEN 'discovered' ELSE 'gone' END AS status
     FROM lineitem GROUP BY l_orderkey, l_linenumber""",
