@@ -68,3 +68,8 @@ def commit(scratch, manifest: DataFrame, folder: str) -> DataFrame:
 def partitions_of(df: DataFrame) -> int:
     """As many partitions as the scan behind ``df`` has: in proportion to the input's bytes."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def spread(manifest: DataFrame, per_task: int = 4) -> DataFrame:
+    """The manifest's rows (name and more) over as many tasks as its files ask for; a given number of partitions is kept."""
+    return manifest.repartition(max(1, manifest.count() // per_task), "name")

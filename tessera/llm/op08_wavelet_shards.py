@@ -48,10 +48,10 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes, ones, rest = [], [], ids.astype(np.uint32, copy=False)
+        narrow = np.uint16 if bits <= 16 else np.uint32
+        planes, ones, rest = [], [], ids.astype(narrow)
         for b in range(bits - 1, -1, -1):
-            bit = (rest >> np.uint32(b)).astype(np.uint8) & 1
-            on = bit.view(bool)
+            on = (rest & narrow(1 << b)) != 0
             packed = np.packbits(on, bitorder="little")
             planes.append(packed)
             ones.append(cls._directory(packed))
@@ -134,14 +134,16 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing each plane's partition from the last up."""
-        out = np.zeros(self.n, np.uint32)
-        for k in range(len(self.planes) - 1, -1, -1):
+        bits = len(self.planes)
+        narrow = np.uint16 if bits <= 16 else np.uint32
+        out = np.zeros(self.n, narrow)
+        for k in range(bits - 1, -1, -1):
             on = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
             up[~on] = out[: self.zeros[k]]
-            up[on] = out[self.zeros[k] :] | np.uint32(1 << (len(self.planes) - 1 - k))
+            up[on] = out[self.zeros[k] :] | narrow(1 << (bits - 1 - k))
             out = up
-        return out
+        return out.astype(np.uint32)
 
 
 def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -223,7 +225,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    spread = manifest.select("name", "part", "seq").repartition(F.col("name"))
+    spread = files.spread(manifest.select("name", "part", "seq"))
     return spread.mapInArrow(read, schema)
 
 
