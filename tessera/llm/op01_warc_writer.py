@@ -162,7 +162,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return manifest.select("name").repartition(F.col("name")).mapInArrow(read, schema)
+    return files.spread(manifest.select("name")).mapInArrow(read, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
