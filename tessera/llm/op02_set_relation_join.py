@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, given, held, table, unused
+from .scratch import NO_ID, Scratch, given, held, table, unused
 from .shingles import mix, shingle_sets
 
 #: Words of a shingle, and the least Jaccard similarity of a link as a fraction.
@@ -57,21 +57,21 @@ def bins_of(s: np.ndarray) -> np.ndarray:
 
 
 def _facts(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("bins", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("bins", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def facts(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             rows = []
-            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), width), strict=True):
+            for doc, tag, s in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), shingle_sets(batch.column("text").to_pylist(), width), strict=True):
                 np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                rows.append((doc, len(s), key_of(s), bins_of(s).tobytes(), None, None) if len(s) else (doc, 0, None, None, None, None))
+                rows.append((doc, tag, len(s), key_of(s), bins_of(s).tobytes(), None, None) if len(s) else (doc, tag, 0, None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         part = COUNTERS // BLOCKS
         for k in range(BLOCKS):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in list(schema)[:4]] + [pa.array([k], pa.int32()), pa.array([counts[k * part : (k + 1) * part].tobytes()])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in list(schema)[:5]] + [pa.array([k], pa.int32()), pa.array([counts[k * part : (k + 1) * part].tobytes()])], schema=schema)
 
-    return facts, "doc_id long, n int, key long, bins binary, block int, counts binary"
+    return facts, "doc_id long, tag long, n int, key long, bins binary, block int, counts binary"
 
 
 def _sum_counts(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -294,8 +294,11 @@ def _round(s: Scratch, name: str, lists: DataFrame, nodes: DataFrame, texts: Dat
 
 
 def similarity_classes(s: Scratch, docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n, key, component) of each (doc_id, text); ``component`` is the smallest id of the class."""
-    rows = docs.select(held("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, tag, n, key, label, component) of each (doc_id, text).
+
+    ``tag`` is the text's hash; ``label`` names the class (null without a set), ``component`` is the class's smallest id.
+    """
+    rows = docs.select(held("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     function, schema = _facts(width)
     facts = s.table(rows.mapInArrow(function, schema), "facts", keep=True)
     classes = _sketch(facts)
@@ -326,8 +329,8 @@ def similarity_classes(s: Scratch, docs: DataFrame, width: int = WIDTH, num: int
     named = sets.select("key", "first").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     real = F.min(F.when(F.col("first") != F.lit(-(1 << 63)), F.col("first")))
     smallest = named.groupBy("label").agg(F.coalesce(real, F.min("first")).alias("component"))
-    named = s.table(named.join(smallest, "label").select("key", "component"), "named", keep=True)
-    return facts.where("block IS NULL").join(named, "key", "left").select("doc_id", "n", "key", F.coalesce("component", "doc_id").alias("component"))
+    named = s.table(named.join(smallest, "label").select("key", "label", "component"), "named", keep=True)
+    return facts.where("block IS NULL").join(named, "key", "left").select("doc_id", "tag", "n", "key", "label", F.coalesce("component", "doc_id").alias("component"))
 
 
 def _texts_of_repeated(rows: DataFrame, texts: DataFrame, own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -351,15 +354,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class only the document with the smallest id stays; of its repeated rows, one."""
-    (key,) = unused(docs, "gone_id")
+    """Pipeline stage: of each class only the row with the smallest id stays (a null id comes last, and of texts with one id the
+    smallest hash goes first); of repeated rows of one id and text, one.  A row is known by its id and its text's hash."""
+    key, tag = unused(docs, "gone_id", "gone_tag")
     with Scratch(spark) as s:
-        found = similarity_classes(s, docs)
-        found = s.table(found.select("doc_id", "component"), "found")
-        gone = s.table(found.where("doc_id <> component").select(F.col("doc_id").alias(key)).distinct(), "gone", keep=True)
-        repeated = found.where("doc_id = component").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(gone, held("doc_id") == F.col(key), "left_anti")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+        found = s.table(similarity_classes(s, docs).groupBy("doc_id", "tag", "label").agg(F.count("*").alias("rows")), "found")
+        order = F.struct((F.col("doc_id") == F.lit(NO_ID)).alias("none"), "doc_id", "tag")
+        first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("first"))
+        gone = found.join(first, "label").where(order != F.col("first")).select(F.col("doc_id").alias(key), F.col("tag").alias(tag))
+        gone = s.table(gone, "gone", keep=True)
+        repeated = found.where("rows > 1").join(gone, (F.col("doc_id") == F.col(key)) & (F.col("tag") == F.col(tag)), "left_anti").limit(1).count()
+    out = docs.join(gone, (held("doc_id") == F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(tag)), "left_anti")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
 ORACLE_SQL = r"""
