@@ -36,6 +36,8 @@ from .shingles import mix, shingle_sets
 
 #: Words of a shingle, and the least Jaccard similarity of a link as a fraction.
 WIDTH, NUM, DEN = 3, 9, 10
+#: The same for the pipeline's stage, on whose shingles the contract of the query does not bear.
+STAGE_WIDTH, STAGE_NUM, STAGE_DEN = 5, 4, 5
 #: Counters of the sketch, and the blocks they are summed in.
 COUNTERS, BLOCKS = 1 << 22, 64
 #: Counts by hash that each set carries.
@@ -358,7 +360,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest hash goes first); of repeated rows of one id and text, one.  A row is known by its id and its text's hash."""
     key, tag = unused(docs, "gone_id", "gone_tag")
     with Scratch(spark) as s:
-        found = s.table(similarity_classes(s, docs).groupBy("doc_id", "tag", "label").agg(F.count("*").alias("rows")), "found")
+        found = s.table(similarity_classes(s, docs, STAGE_WIDTH, STAGE_NUM, STAGE_DEN).groupBy("doc_id", "tag", "label").agg(F.count("*").alias("rows")), "found")
         order = F.struct((F.col("doc_id") == F.lit(NO_ID)).alias("none"), "doc_id", "tag")
         first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("first"))
         gone = found.join(first, "label").where(order != F.col("first")).select(F.col("doc_id").alias(key), F.col("tag").alias(tag))

@@ -22,3 +22,16 @@ def test_near_copies_go_by_id_and_text(spark, tmp_path):
     eight = [x for x in got if x[0] == 8]
     assert len(eight) == 1 and eight[0][1] in (f, f + " tail")
     assert [x for x in got if x[0] != 8] == sorted(want, key=repr)
+
+
+def test_copies_between_the_thresholds_go(spark, tmp_path):
+    """Four scattered edits in 200 words: 0.89 of three-word shingles, 0.81 of five-word ones; a pair and a large group."""
+    rows = []
+    for group, size in ((0, 2), (1000, 90)):
+        base = [f"w{group + k}" for k in range(200)]
+        for k in range(size):
+            w = list(base)
+            for at in (20, 70, 120, 170) if k else ():
+                w[at] = f"e{k}at{at}"
+            rows.append((group + k, " ".join(w)))
+    assert [x[0] for x in kept(spark, tmp_path, rows)] == [0, 1000]
