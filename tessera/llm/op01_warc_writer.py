@@ -6,7 +6,7 @@ from the payload and the id, so the same input gives the same bytes.  Files are
 listed in a manifest with their size and SHA-256, and renamed from it.
 
 Of records with equal payloads of at least ``REVISIT_BYTES``, that with the smallest id is the response and the
-others are revisits of it.  That is decided on (id, digest, length) alone; the payloads are shuffled once, by
+others are revisits of it, each by its id and digest.  That is decided on (id, digest, length) alone; the payloads are shuffled once, by
 the range sort, into which the references enter as rows of their own.
 
 Defined cases: a null payload is empty; a null URL is written as an empty target; a null id is kept as none,
@@ -105,25 +105,29 @@ def write_archives(scratch: Scratch, pages: DataFrame, folder: str, roll_bytes:
     meta = scratch.table(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size")), "meta")
     large = meta.where(F.col("size") >= REVISIT_BYTES)
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = large.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    again = large.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     again = scratch.table(again, "again")
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        out, seq, n, target, source = None, 0, 0, None, None
+        out, seq, n, target, sources = None, 0, 0, None, {}
 
         def close():
             name, temporary, size, digest = out.close()
             return pa.RecordBatch.from_pydict({"name": [name], "temporary": [temporary], "bytes": [size], "sha256": [digest], "records": [n]})
 
         for batch in batches:
-            for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                if refers is not None:  # the reference of the rows that follow
-                    target, source = page, refers
+            for page, url, html, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                if refers is not None:  # a reference of those rows that follow with this id and this payload
+                    if target != page:
+                        target, sources = page, {}
+                    sources[digest] = refers
                     continue
                 if out is None:
                     out = files.Output(folder, f"part-{part:06d}-{seq:06d}.warc.gz")
-                out.write(member(make_record(page, url or "", (html or "").encode(), source if target == page else None)))
+                payload = (html or "").encode()
+                source = sources.get(hashlib.sha256(payload).hexdigest()) if target == page else None
+                out.write(member(make_record(page, url or "", payload, source)))
                 n += 1
                 if out.size >= roll_bytes:
                     yield close()
@@ -131,8 +135,8 @@ def write_archives(scratch: Scratch, pages: DataFrame, folder: str, roll_bytes:
         if out is not None:
             yield close()
 
-    rows = pages.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    both = rows.unionByName(again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to"))
+    rows = pages.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    both = rows.unionByName(again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to"))
     ranged = both.repartitionByRange(files.partitions_of(rows), "page_id").sortWithinPartitions(F.col("page_id"), F.col("refers_to").asc_nulls_last(), "url", "html")
     manifest = scratch.table(ranged.mapInArrow(write, files.MANIFEST + ", records long"), "manifest", keep=True)
     return files.commit(scratch, manifest, folder)
