@@ -112,9 +112,9 @@ def parse_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.select("transcript_id", block).where(F.col("block").rlike(head)).select("transcript_id", (part(1) - 1).alias("ordinal"), ms.alias("start_ms"))
 
 
-def json_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def json_cues(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
     """S-09: cues of JSON sidecars with either name for each field; bad items are flagged."""
-    segments = relation(spark, sf_dir, "segments").where("transcript_id % 10 = 0")
+    segments = relation(spark, sf_dir, "segments").where(some)
     either = F.when(F.col("ordinal") % 2 == 0, F.to_json(F.struct(F.col("start_ms").alias("from"), F.col("end_ms").alias("to"), F.col("text").alias("content"))))
     sidecar = segments.select("transcript_id", "ordinal", either.otherwise(F.to_json(F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "text"))).alias("item"))
     read = F.from_json("item", "from long, start long, to long, end long, text string, content string")
@@ -144,7 +144,8 @@ QUERIES = {
     "Q-13_transcript_search": transcript_search,
     "X-03_description_links": description_links,
     "S-08_srt_cues": parse_srt,
-    "S-09_json_cues": json_cues,
+    "S-09_json_cues": lambda spark, d: json_cues(spark, d, "transcript_id % 10 = 0"),
+    "S-09_json_cues_all": json_cues,
     "A-25_table_fingerprint": table_fingerprint,
 }
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
@@ -154,5 +155,6 @@ ORACLES = {
     "Q-13_transcript_search": f"SELECT block, count(*) AS tf FROM (SELECT block, unnest(range(1, len(w))) AS i, w FROM (SELECT concat(transcript_id, ':', ordinal) AS block, {_WORDS} AS w FROM segments)) WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY block",
     "S-08_srt_cues": "SELECT transcript_id, ordinal, start_ms FROM segments WHERE start_ms >= 0 AND end_ms > start_ms",
     "S-09_json_cues": "SELECT transcript_id, ordinal, start_ms, end_ms, text, end_ms <= start_ms AS bad FROM segments WHERE transcript_id % 10 = 0",
+    "S-09_json_cues_all": "SELECT transcript_id, ordinal, start_ms, end_ms, text, end_ms <= start_ms AS bad FROM segments",
     "A-25_table_fingerprint": "SELECT 'transcripts' AS relation, count(*) AS rows_n, TRUE AS same FROM transcripts UNION ALL SELECT 'segments', count(*), TRUE FROM segments UNION ALL SELECT 'jobs', count(*), TRUE FROM jobs UNION ALL SELECT 'edges', count(*), TRUE FROM edges",
 }

@@ -27,6 +27,8 @@ def transitive_closure(scratch: Scratch, edges: DataFrame, seeds: DataFrame, nam
             break
         seen = new if seen is None else seen.unionByName(new)
         front = new
+    else:
+        raise RuntimeError(f"{name}: not closed after {max_rounds} rounds")
     return seen if seen is not None else new
 
 
@@ -44,6 +46,8 @@ def min_labels(scratch: Scratch, links: DataFrame, name: str = "labels", max_rou
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"{name}: labels still change after {max_rounds} rounds")
     return labels
 
 
@@ -61,19 +65,19 @@ def blocked_by_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.where("status = 'queued'").join(reached, F.col("job_id") == F.col("node"), "left_semi").select("job_id")
 
 
-def reachable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-02: every (job, part) where the job has the part or follows from one that has; parts below 5."""
-    jobs = relation(spark, sf_dir, "jobs").where("part_id < 5 AND job_id < 600")
+def reachable_parts(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
+    """G-02: every (job, part) where the job has the part or follows from one that has."""
+    jobs = relation(spark, sf_dir, "jobs").where(some)
     seeds = jobs.select(F.col("part_id").alias("seed"), F.col("job_id").alias("node")).distinct()
     with Scratch(spark) as s:
         reached = transitive_closure(s, _edges(spark, sf_dir), seeds)
     return reached.unionByName(seeds).distinct().select(F.col("node").alias("job_id"), F.col("seed").alias("part_id"))
 
 
-def downstream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def downstream_state(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
     """G-03 and A-23: per part the downstream jobs, whether one is live, and the latest time of any."""
     jobs = relation(spark, sf_dir, "jobs").select("job_id", "status", "available")
-    out = reachable_parts(spark, sf_dir).join(jobs, "job_id").groupBy("part_id")
+    out = reachable_parts(spark, sf_dir, some).join(jobs, "job_id").groupBy("part_id")
     return out.agg(F.count("*").alias("jobs_n"), F.bool_or(F.col("status") == "queued").alias("live"), F.max("available").alias("last_at"))
 
 
@@ -86,29 +90,38 @@ def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.select("node").union(jobs.select("node")).distinct().select(F.col("node").alias("job_id"))
 
 
-def copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-08: components of objects that share a target among the scarce ones."""
-    replicas = relation(spark, sf_dir, "replicas").where("target_id % 10 = 0 AND object_id % 40 < 3")
+def dependency_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-06 from every job: each job with itself and all jobs that it needs."""
+    jobs = relation(spark, sf_dir, "jobs").select(F.col("job_id").alias("seed"), F.col("job_id").alias("node"))
+    needs = relation(spark, sf_dir, "edges").select(F.col("job_id").alias("src"), F.col("needs").alias("dst"))
+    with Scratch(spark) as s:
+        reached = transitive_closure(s, needs, jobs)
+    return reached.unionByName(jobs).distinct().select(F.col("seed").alias("root_id"), F.col("node").alias("job_id"))
+
+
+def copy_groups(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
+    """G-08: components of objects that share a target."""
+    replicas = relation(spark, sf_dir, "replicas").where(some)
     stars = replicas.groupBy("target_id").agg(F.min("object_id").alias("b")).join(replicas, "target_id").select(F.col("object_id").alias("a"), "b")
     with Scratch(spark) as s:
         return min_labels(s, stars).select(F.col("node").alias("object_id"), F.col("label").alias("component"))
 
 
-def provenance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def provenance_edges(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
     """G-09: everything a publication rests on, as content-hash nodes."""
     pubs, texts, audio = (relation(spark, sf_dir, n) for n in ("publications", "transcripts", "audio_links"))
     name = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
     edges = pubs.select(name("publication", "publication_id").alias("src"), name("transcript", "transcript_id").alias("dst"))
     edges = edges.unionByName(texts.select(name("transcript", "transcript_id").alias("src"), F.concat(F.lit("text:"), "sha").alias("dst")))
     edges = edges.unionByName(texts.join(audio, "part_id").select(name("transcript", "transcript_id").alias("src"), name("audio", "audio_id").alias("dst")))
-    seeds = pubs.where("publication_id % 50 = 0").select(F.col("publication_id").alias("seed"), name("publication", "publication_id").alias("node"))
+    seeds = pubs.where(some).select(F.col("publication_id").alias("seed"), name("publication", "publication_id").alias("node"))
     with Scratch(spark) as s:
         return transitive_closure(s, edges, seeds).select(F.col("seed").alias("publication_id"), F.sha2("node", 256).alias("node_sha"))
 
 
-def provenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def provenance_report(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
     """G-10: how many nodes each traced publication rests on, and its sealed root."""
-    each = provenance_edges(spark, sf_dir).groupBy("publication_id")
+    each = provenance_edges(spark, sf_dir, some).groupBy("publication_id")
     return each.agg(F.count("*").alias("nodes"), F.sha2(F.array_join(F.array_sort(F.collect_set("node_sha")), ","), 256).alias("root"))
 
 
@@ -141,18 +154,28 @@ def key_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REACH = "WITH RECURSIVE reach AS ({seed} UNION SELECT {seed_column}edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id) "
+#: The subsets that the SQL of the names without ``_all`` has; the ``_all`` queries start from every row.
+_SOME_PARTS, _SOME_COPIES, _SOME_EDITIONS = "part_id < 5 AND job_id < 600", "target_id % 10 = 0 AND object_id % 40 < 3", "publication_id % 50 = 0"
 QUERIES = {
     "G-01_blocked_by_cancelled": blocked_by_cancelled,
-    "G-02_reachable_parts": reachable_parts,
-    "G-03_downstream_state": downstream_state,
-    "A-23_lateness_clock": lambda spark, d: downstream_state(spark, d).select("part_id", "last_at"),
+    "G-02_reachable_parts": lambda spark, d: reachable_parts(spark, d, _SOME_PARTS),
+    "G-02_reachable_parts_all": reachable_parts,
+    "G-03_downstream_state": lambda spark, d: downstream_state(spark, d, _SOME_PARTS),
+    "G-03_downstream_state_all": downstream_state,
+    "A-23_lateness_clock": lambda spark, d: downstream_state(spark, d, _SOME_PARTS).select("part_id", "last_at"),
+    "A-23_lateness_clock_all": lambda spark, d: downstream_state(spark, d).select("part_id", "last_at"),
     "G-06_dependency_closure": dependency_closure,
+    "G-06_dependency_closure_all": dependency_closures,
     "G-07_key_remap": key_remap,
-    "G-08_copy_groups": copy_groups,
-    "G-09_provenance": provenance_edges,
-    "G-10_provenance_report": provenance_report,
+    "G-08_copy_groups": lambda spark, d: copy_groups(spark, d, _SOME_COPIES),
+    "G-08_copy_groups_all": copy_groups,
+    "G-09_provenance": lambda spark, d: provenance_edges(spark, d, _SOME_EDITIONS),
+    "G-09_provenance_all": provenance_edges,
+    "G-10_provenance_report": lambda spark, d: provenance_report(spark, d, _SOME_EDITIONS),
+    "G-10_provenance_report_all": provenance_report,
     "G-11_chain_retention": chain_retention,
     "U-03_recursive_union": lambda spark, d: dependency_closure(spark, d).where("job_id % 2 = 0"),
+    "U-03_recursive_union_all": dependency_closures,
 }
 _PARTS = "WITH RECURSIVE reach AS (SELECT part_id, job_id FROM jobs WHERE part_id < 5 AND job_id < 600 UNION SELECT reach.part_id, edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id) "
 _NEEDS = "WITH RECURSIVE reach AS (SELECT job_id FROM jobs WHERE job_id % 701 = 5 UNION SELECT edges.needs AS job_id FROM reach JOIN edges ON edges.job_id = reach.job_id) "

@@ -163,6 +163,7 @@ STATEMENTS: dict[str, str] = {
     "Q-20_publication_state": "SELECT part_id, count(*) AS releases, max(publication_id) AS head, min(published) AS first_at, max(published) AS last_at FROM publications GROUP BY part_id",
     "Q-21_series": "SELECT c.mid, JOINED[v.video_code; ','; v.pubdate, v.video_code] AS members FROM creators AS c JOIN videos AS v ON c.mid = v.mid GROUP BY c.mid",
     "Q-22_audio_reconciliation": "SELECT coalesce(l.audio_id, o.object_id) AS audio_id, CASE WHEN o.object_id IS NULL THEN 'missing' WHEN l.audio_id IS NULL THEN 'unrecorded' WHEN o.presence = 'missing' THEN 'unreadable' ELSE 'recorded' END AS class FROM (SELECT DISTINCT audio_id FROM audio_links) AS l FULL JOIN (SELECT object_id, min(presence) AS presence FROM replicas WHERE object_id < 60 GROUP BY object_id) AS o ON l.audio_id = o.object_id",
+    "Q-22_audio_reconciliation_all": "SELECT coalesce(l.audio_id, o.object_id) AS audio_id, CASE WHEN o.object_id IS NULL THEN 'missing' WHEN l.audio_id IS NULL THEN 'unrecorded' WHEN o.presence = 'missing' THEN 'unreadable' ELSE 'recorded' END AS class FROM (SELECT DISTINCT audio_id FROM audio_links) AS l FULL JOIN (SELECT object_id, min(presence) AS presence FROM replicas GROUP BY object_id) AS o ON l.audio_id = o.object_id",
     # Scalars and text
     "T-01_parse_time": "SELECT page_id, NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 1]] * 3600000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 2]] * 60000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 3]] * 1000 + NUMBER[rpad(GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 4], 3, '0')] AS ms FROM (SELECT page_id, concat(page_id % 5, ':', PADDED[page_id % 60; 2], ':', PADDED[page_id * 7 % 60; 2], CASE WHEN page_id % 2 = 0 THEN ',' ELSE '.' END, page_id % 97) AS stamp FROM pages) AS p",
     "T-02_timeline_defects": """SELECT transcript_id, max(CASE WHEN start_ms < 0 OR end_ms <= start_ms OR end_ms > duration_ms + 1 THEN 1 ELSE 0 END) AS out_of_range, max(CASE WHEN start_ms < before_start THEN 1 ELSE 0 END) AS non_monotonic, max(CASE WHEN start_ms < before_end THEN 1 ELSE 0 END) AS overlap
