@@ -12,6 +12,7 @@ import json
 import math
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,21 +55,21 @@ def agreement(a: str, b: str, exact_up_to: int = 20_000, windows: int = 10, size
 
 def error_counts(reference: str, heard: str) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of a least edit; ties prefer substitutions, then deletions."""
-    rows = [[(j, 0, 0, j) for j in range(len(heard) + 1)]]
-    for i, r in enumerate(reference, 1):
-        row = [(i, 0, i, 0)]
-        for j, h in enumerate(heard, 1):
-            d, s, x, y = rows[-1][j - 1]
-            best = (d, s, x, y) if r == h else (d + 1, s + 1, x, y)
-            d, s, x, y = rows[-1][j]
-            if d + 1 < best[0]:
-                best = (d + 1, s, x + 1, y)
-            d, s, x, y = row[-1]
-            if d + 1 < best[0]:
-                best = (d + 1, s, x, y + 1)
-            row.append(best)
-        rows = [row]
-    return rows[-1][-1][1:]
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (reference, heard))
+    at = np.arange(len(b) + 1)
+    cost, deleted, inserted = at.copy(), np.zeros(len(b) + 1, np.int64), at.copy()
+    for i, r in enumerate(a, 1):
+        # Steps from the row above, without insertions: along the diagonal unless a deletion costs less.
+        best, x, y = cost + 1, deleted + 1, inserted.copy()
+        diagonal = cost[:-1] + (b != r)
+        ok = diagonal <= best[1:]
+        best[1:][ok], x[1:][ok], y[1:][ok] = diagonal[ok], deleted[:-1][ok], inserted[:-1][ok]
+        # Insertions run on from the last place where they do not cost less.
+        cost = np.minimum.accumulate(best - at) + at
+        start = np.maximum.accumulate(np.where(best == cost, at, 0))
+        deleted, inserted = x[start], y[start] + at - start
+    total, d, n = int(cost[-1]), int(deleted[-1]), int(inserted[-1])
+    return total - d - n, d, n
 
 
 def shape_cues(units: list[tuple[int, int, str]], most: int = 60, pause_ms: int = 1000, least: int = 6, least_ms: int = 1000) -> list[tuple[int, int, str]]:
@@ -203,7 +204,7 @@ def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-10."""
 
     def shape(rows: pd.DataFrame) -> pd.DataFrame:
-        units = [(a, b, w) for a, b, t in zip(rows.start_ms, rows.end_ms, rows.text, strict=True) for w in t.split()[:50]]
+        units = [(a, b, w) for a, b, t in zip(rows.start_ms, rows.end_ms, rows.text, strict=True) for w in t.split()]
         cues = shape_cues(units)
         return pd.DataFrame({"transcript_id": rows.transcript_id.iloc[0], "cue": range(len(cues)), "start_ms": [c[0] for c in cues], "end_ms": [c[1] for c in cues], "text": [c[2] for c in cues]})
 
@@ -242,7 +243,7 @@ def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = relation(spark, sf_dir, "turns").select("conv_id", "turn", F.substring("text", 1, 400).alias("text"))
+    turns = relation(spark, sf_dir, "turns").select("conv_id", "turn", "text")
     nexts = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
     return turns.join(nexts, ["conv_id", "turn"])
 
@@ -263,27 +264,32 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def count(batches):
         for df in batches:
-            got = [error_counts(a[:120], b[:120]) for a, b in zip(df.text, df.other, strict=True)]
+            got = [error_counts(a, b) for a, b in zip(df.text, df.other, strict=True)]
             yield pd.DataFrame({"conv_id": df.conv_id, "turn": df.turn, "substitutions": [g[0] for g in got], "deletions": [g[1] for g in got], "insertions": [g[2] for g in got]})
 
     return _compared(spark, sf_dir).mapInPandas(count, "conv_id long, turn long, substitutions long, deletions long, insertions long")
 
 
 def _ascii(column: str) -> Column:
-    return F.substring(F.regexp_replace(column, r"[^\x00-\x7F]", ""), 1, 60)
+    return F.substring(F.regexp_replace(F.substring(column, 1, 400), r"[^\x00-\x7F]", ""), 1, 60)
 
 
 def error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-22, the total alone, in the JVM; over ASCII, since the oracle's distance counts bytes."""
+    """T-22, the total alone, in the JVM; over as much ASCII as the SQL has, whose distance counts bytes."""
     return _compared(spark, sf_dir).select("conv_id", "turn", F.levenshtein(_ascii("text"), _ascii("other")).cast("long").alias("edits"))
 
 
+def whole_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-22, the total alone, over whole texts."""
+    return _compared(spark, sf_dir).select("conv_id", "turn", F.levenshtein("text", "other").cast("long").alias("edits"))
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-28."""
+    """T-28: each turn as the caption, and the next one as what was heard."""
     marks = ["keep", "use-sub", "use-asr", "custom"]
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        made = merge_marked([(k + 1, marks[k % 4], t[:30], t[-30:], f"own {k}") for k, t in enumerate(rows.text)])
+        made = merge_marked([(k + 1, marks[k % 4], t, h, f"own {k}") for k, (t, h) in enumerate(zip(rows.text, [*rows.text[1:], ""], strict=True))])
         return pd.DataFrame({"conv_id": rows.conv_id.iloc[0], "number": [m[0] for m in made], "text": [m[1] for m in made]})
 
     return per_key(relation(spark, sf_dir, "turns").withColumnRenamed("turn", "ordinal"), "conv_id", merge, "conv_id long, number long, text string")
@@ -320,6 +326,7 @@ QUERIES = {
     "L-08_batches": batched,
     "T-22_error_counts": errors,
     "T-22_error_totals": error_totals,
+    "T-22_error_totals_whole": whole_totals,
     "T-23_canonical_identity": canonical,
     "T-28_marked_merge": merged,
     "S-12_markdown_blocks": markdown_blocks,

@@ -19,11 +19,16 @@ def cjk_bigrams(text: Column) -> Column:
 
 
 def bigram_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-15: the pairs of each turn's first 40 characters, in order."""
+    """T-15: the pairs of each turn's first 40 characters, in order, as in the SQL."""
     turns = relation(spark, sf_dir, "turns").withColumn("head", F.substring("text", 1, 40))
     return turns.select("conv_id", "turn", F.array_join(cjk_bigrams(F.col("head")), "|").alias("bigrams"))
 
 
+def whole_bigram_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-15: the pairs of each turn, in order."""
+    return relation(spark, sf_dir, "turns").select("conv_id", "turn", F.array_join(cjk_bigrams(F.col("text")), "|").alias("bigrams"))
+
+
 def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-04: the most frequent 8-character window of each turn; the last full window isn't counted."""
     turns = relation(spark, sf_dir, "turns").select("conv_id", "turn", F.substring("text", 1, LOOKED_AT).alias("text")).where(F.length("text") > WINDOW_CHARS)
@@ -138,6 +143,7 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "T-15_bigram_stream": bigram_stream,
+    "T-15_bigram_stream_whole": whole_bigram_stream,
     "T-04_repeated_windows": repeated_windows,
     "T-12_prechecks": precheck_flags,
     "T-16_ranked_search": ranked_search,
