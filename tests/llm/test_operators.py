@@ -80,9 +80,9 @@ def shingles(text):
 
 
 def classes(rows):
-    """By brute force: (doc_id, size, smallest id reachable) of each row."""
+    """By brute force: (doc_id, size, smallest id reachable, links) of each row."""
     sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def root(k):
         while parent[k] != k:
@@ -93,15 +93,16 @@ def classes(rows):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
                 parent[root(i)] = root(j)
+                links[i], links[j] = links[i] + 1, links[j] + 1
     least = {}
     for k, (doc, _) in enumerate(rows):
         if doc is not None:
             least[root(k)] = min(least.get(root(k), doc), doc)
-    return [(doc, len(sets[k]), least.get(root(k)) if sets[k] else doc) for k, (doc, _) in enumerate(rows)]
+    return [(doc, len(sets[k]), least.get(root(k)) if sets[k] else doc, links[k]) for k, (doc, _) in enumerate(rows)]
 
 
 def test_jaccard_classes(spark, corpus, documents):
-    got = op2.query(spark, corpus).select("doc_id", "n_shingles", "component_id").collect()
+    got = op2.query(spark, corpus).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert multiset(got) == multiset(classes(documents))
 
 
@@ -118,7 +119,7 @@ def test_jaccard_classes_of_a_hot_group(spark, tmp_path):
             w[rng.randrange(len(w))] = f"e{rng.randrange(30)}"
         rows.append((k, " ".join(w)))
     folder = write(tmp_path, rows)
-    got = op2.query(spark, folder).select("doc_id", "n_shingles", "component_id").collect()
+    got = op2.query(spark, folder).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     want = classes(rows)
     assert multiset(got) == multiset(want) and 1 < len({w[2] for w in want}) < 220
 
