@@ -4,18 +4,20 @@ A text is a multiset of paragraphs (its lines).  Each paragraph is hashed to a w
 summed lane by lane modulo a power of two, so a fingerprint depends on no order, and a paragraph is inserted
 or deleted by adding or subtracting its vector.  There are two parts:
 
-* ``lanes``: 16 lanes modulo 2^32, expanded from the paragraph's SHA-512.  Equal multisets have equal lanes.
+* ``lanes``: 16 lanes modulo 2^32, each from 32 of the 512 bits of the paragraph's SHA-512.  Equal multisets have equal lanes.
 * ``marks``: 64 lanes modulo 2^32, to each of which every clause of the paragraph adds one bit of its hash.
   Twice a lane less the number of clauses is a random projection of the multiset of clauses, so the cosine of
   two such vectors estimates how alike two texts are.
 
 Only DataFrame expressions are used, and a fingerprint is an expression over its own row.  To put each document
-beside the next one, documents are dealt into ranges of ids of nearly equal count; the first document of each
-range is also sent to the range above, so a window within ranges suffices and texts are shuffled once.
+beside the next one, documents are dealt into ranges of nearly equal bytes, by running sums over all (id, text's hash) in order, so neither
+far ids nor many null ones make a large range; the first document of each
+range is also sent to the range above, so a window within ranges suffices and texts are shuffled once.  Rows that repeat to the letter so often that
+they would fill an eighth of a range are one row there; the others of them follow one another, and are made from one by counts.
 
 Defined cases: a null text is the empty text (one empty paragraph, no clauses); a single document is its own next;
-an empty table gives no rows; a null id comes last; rows of equal id are ordered by their text's hash; other columns are
-not read.
+an empty table gives no rows; a null id comes last, and many are in order of their texts' hashes, as rows of any equal id are; repeated rows follow
+one another; a very long text is a range of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ MASK = (1 << 32) - 1
 #: One bit in each half of a long: each long holds two lanes of marks.
 PAIR = (1 << 32) | 1
 CLAUSE_ENDS = r"[.,;!?|\n]+"
-#: Cells of the histogram of ids by which ranges are made.
-CELLS = 4096
+#: Bytes of text in a range, at most, as long as no single document is larger.
+RANGE_BYTES = 32 << 20
+#: Repeated rows that are written together.
+TOGETHER = 4096
 
 
 def _zeros(n: int) -> Column:
@@ -43,7 +47,7 @@ def lanes(text: Column) -> Column:
     """16 sums modulo 2^32 over the text's paragraphs."""
 
     def add(acc: Column, digest: Column) -> Column:
-        return F.transform(acc, lambda a, j: (a + F.xxhash64(digest, j).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)))
+        return F.transform(acc, lambda a, j: (a + F.xxhash64(F.substring(digest, 8 * j + 1, F.lit(8))).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)))
 
     return F.aggregate(F.transform(F.split(text, "\n", -1), lambda p: F.sha2(F.encode(p, "UTF-8"), 512)), _zeros(LANES), add)
 
@@ -113,39 +117,74 @@ def text_of(of: Column) -> Column:
     return F.concat(F.array_join(wide, ""), F.array_join(short, ""))
 
 
-def _ranges(scratch: Scratch, keys: DataFrame, parts: int) -> tuple[Column, DataFrame]:
-    """A range's number as a function of id, ascending; and for the first row of each range the range that also gets it.
+def _bucket(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending bounds (id, tag) are at most (id, tag), by halving."""
+    ids, tags = (F.split(F.lit(",".join(str(b[k]) for b in bounds)), ",").cast("array<bigint>") for k in (0, 1))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
 
-    Of the ids only a histogram of fixed size and one row per range reach the driver.
+    def reached(at: Column) -> Column:
+        low, tag = F.get(ids, at), F.get(tags, at)
+        return (low < F.col("id")) | ((low == F.col("id")) & (tag <= F.col("tag")))
+
+    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when((acc + step <= len(bounds)) & F.coalesce(reached(acc + step - 1), F.lit(False)), acc + step).otherwise(acc))
+
+
+def _ranges(scratch: Scratch, keys: DataFrame, parts: int) -> tuple[Column, DataFrame, int, DataFrame]:
+    """A range's number as a function of (id, tag), ascending; for the first row of each range the range that also gets it; how many
+    ranges there are; and the rows (id, tag, again) that repeat so often that one stands for all.
+
+    Ranges have nearly equal bytes, by sums over all keys in order.  One row per partition and per range reaches the driver.
     """
     spark = scratch.spark
-    low, high, n = keys.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // CELLS + 1
-    # The difference of two longs may pass a long's bounds.
-    cell = F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((F.col("id").cast("decimal(20,0)") - low) / width).cast("int")))
-    counts = dict(keys.groupBy(cell.alias("c")).count().collect())
-    number, seen, each = [], 0, max(1, -(-n // parts))
-    for c in range(CELLS):
-        number.append(seen // each)
-        seen += counts.get(c, 0)
-    bucket = F.get(F.split(F.lit(",".join(map(str, number))), ",").cast("array<int>"), cell)
-    firsts = keys.groupBy(bucket.alias("b")).agg(F.max(F.struct("id", "tag")).alias("k")).select("b", "k.id", "k.tag").orderBy("b").collect()
+
+    def size_of_range(of: DataFrame) -> int:
+        total = of.agg(F.sum("bytes")).first()[0] or 0
+        return max(1, -(-total // max(parts, -(-total // RANGE_BYTES))))
+
+    each = size_of_range(keys)
+    often = keys.groupBy("id", "tag").agg(F.count("*").alias("again"), F.sum("bytes").alias("all")).where((F.col("again") > 1) & (8 * F.col("all") > each))
+    often = scratch.table(often, "often", keep=True)  # at most eight for each range
+    rest = keys.join(F.broadcast(often), ["id", "tag"], "left_anti").unionByName(often.select("id", "tag", F.floor(F.col("all") / F.col("again")).alias("bytes")))
+    ranked = scratch.table(rest.repartitionByRange(parts, "id", "tag").withColumn("part", F.spark_partition_id()), "ranked")
+    each, before, total = size_of_range(ranked), [], 0
+    for r in ranked.groupBy("part").agg(F.sum("bytes").alias("bytes")).orderBy("part").collect():
+        before.append((r["part"], total))
+        total += r["bytes"]
+    running = F.sum("bytes").over(Window.partitionBy("part").orderBy("id", "tag").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.floor((F.col("before") + F.coalesce(running, F.lit(0))) / each)
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part").withColumn("range", number)
+    lows = ranked.groupBy("range").agg(F.min(F.struct("id", "tag")).alias("low")).select("low.*").distinct().orderBy("id", "tag").collect()
+    bucket = _bucket([(r["id"], r["tag"]) for r in lows[1:]])
+    firsts = rest.groupBy(bucket.alias("b")).agg(F.max(F.struct("id", "tag")).alias("k")).select("b", "k.id", "k.tag").orderBy("b").collect()
     to = [(r["id"], r["tag"], firsts[(k + 1) % len(firsts)]["b"]) for k, r in enumerate(firsts)]
-    return bucket, spark.createDataFrame(to, "id long, tag long, above int")
+    return bucket, spark.createDataFrame(to, "id long, tag long, above int"), max(1, len(firsts)), often
 
 
 def with_next(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """(id, text, print, next_text, next_print): each document beside the next one by descending id."""
     rows = docs.select(held("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
-    keys = scratch.table(rows.select("id", "tag"), "keys")
-    bucket, firsts = _ranges(scratch, keys, files.partitions_of(docs))
+    keys = scratch.table(rows.select("id", "tag", (F.octet_length("text") + 64).cast("long").alias("bytes")), "keys")
+    bucket, firsts, n, often = _ranges(scratch, keys, files.partitions_of(docs))
+    # Of rows that repeat very often, one goes with the others; the rest follow one another.
+    many = often.limit(1).count() > 0
+    once = rows
+    if many:
+        alike = scratch.table(rows.join(F.broadcast(often.select("id", "tag")), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]), "alike", keep=True)
+        once = rows.join(F.broadcast(often.select("id", "tag")), ["id", "tag"], "left_anti").unionByName(alike)
     own = F.struct(bucket.alias("b"), F.lit(False).alias("copy"))
     both = F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("above").alias("b"), F.lit(True).alias("copy"))))
-    dealt = rows.join(F.broadcast(firsts), ["id", "tag"], "left").select("id", "tag", "text", F.explode(both).alias("at")).select("id", "tag", "text", "at.*")
-    dealt = dealt.withColumn("print", fingerprint(F.col("text")))
+    dealt = once.join(F.broadcast(firsts), ["id", "tag"], "left").select("id", "tag", "text", F.explode(both).alias("at")).select("id", "tag", "text", "at.*")
+    dealt = dealt.repartitionByRange(n, "b").withColumn("print", fingerprint(F.col("text")))
     down = Window.partitionBy("b").orderBy(F.col("copy"), F.col("id").desc(), F.col("tag").desc())
-    return dealt.withColumn("next_text", F.lead("text").over(down)).withColumn("next_print", F.lead("print").over(down)).where(~F.col("copy"))
+    out = dealt.withColumn("next_text", F.lead("text").over(down)).withColumn("next_print", F.lead("print").over(down)).where(~F.col("copy"))
+    out = out.select("id", "text", "print", "next_text", "next_print")
+    if many:
+        left = alike.join(F.broadcast(often), ["id", "tag"]).select("id", "text", (F.col("again") - 1).alias("left"))
+        chunks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("left") - 1, F.lit(TOGETHER).cast("long")), lambda a: F.least(F.lit(TOGETHER).cast("long"), F.col("left") - a).cast("int"))
+        spread = left.select("id", "text", F.explode(chunks).alias("size")).repartition(n)
+        spread = spread.withColumn("print", fingerprint(F.col("text"))).select("id", "text", "print", F.explode(F.array_repeat(F.lit(0), F.col("size"))).alias("_"))
+        out = out.unionByName(spread.select("id", "text", "print", F.col("text").alias("next_text"), F.col("print").alias("next_print")))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,25 +162,57 @@ def test_packing_keeps_every_constraint(by):
 def lanes(text):
     out = [0] * 16
     for p in text.split("\n"):
-        h = xxhash.xxh64_intdigest(hashlib.sha512(p.encode()).hexdigest().encode(), 42)
-        out = [(x + (xxhash.xxh64_intdigest(j.to_bytes(4, "little"), h) & 0xFFFFFFFF)) & 0xFFFFFFFF for j, x in enumerate(out)]
+        h = hashlib.sha512(p.encode()).hexdigest()
+        out = [(x + (xxhash.xxh64_intdigest(h[8 * j : 8 * j + 8].encode(), 42) & 0xFFFFFFFF)) & 0xFFFFFFFF for j, x in enumerate(out)]
     return "".join(f"{x:08x}" for x in out)
 
 
-def test_fingerprints(spark, tmp_path, documents):
-    rows = [(d, t) for d, t in documents if d is not None and d != 300]
-    got = {r["doc_id"]: r for r in op4.query(spark, write(tmp_path, rows)).collect()}
-    order = sorted(rows, reverse=True)
-    assert len(got) == len(rows)
-    for k, (doc, text) in enumerate(order):
-        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+def marks(text):
+    """64 counts by brute force, and the number of clauses."""
+    clauses = [c for c in re.split(r"[.,;!?|\n]+", text) if c]
+    hashes = [xxhash.xxh64_intdigest(c.encode(), 42) for c in clauses]
+    return [sum(h >> (k + 32 * up) & 1 for h in hashes) for k in range(32) for up in (1, 0)], len(clauses)
+
+
+def like(a, b):
+    if lanes(a) == lanes(b) and marks(a) == marks(b):
+        return 1.0
+    x, y = ([2 * c - n for c in m] for m, n in (marks(a), marks(b)))
+    norm = (sum(c * c for c in x) * sum(c * c for c in y)) ** 0.5
+    return min(1.0, max(0.0, sum(p * q for p, q in zip(x, y, strict=True)) / norm)) if norm else 0.0
+
+
+def check_fingerprints(got, rows):
+    """Whole rows, with null ids and repeated ones, in the order of the docstring."""
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    order = sorted(((-(1 << 63) if d is None else d, signed(t or ""), t or "") for d, t in rows), reverse=True)
+    want = []
+    for k, (doc, _, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        r = got[doc]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["fingerprint"][:128] == lanes(text) and r["edited_fingerprint"][:128] == lanes(edited)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert got[100]["fingerprint"] == got[101]["fingerprint"]
+        prints = [lanes(t) + "".join(f"{c:04x}" for c in marks(t)[0]) for t in (text, edited)]
+        want.append((None if doc == -(1 << 63) else doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints, round(like(text, edited), 9), round(like(text, after), 9)))
+    columns = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    assert multiset((*(r[c] for c in columns), round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == multiset(want)
+
+
+def test_fingerprints(spark, corpus, documents):
+    got = op4.query(spark, corpus).collect()
+    check_fingerprints(got, documents)
+    by = {r["doc_id"]: r["fingerprint"] for r in got}
+    assert by[100] == by[101]
+
+
+def test_fingerprints_of_far_null_and_repeated_ids(spark, tmp_path):
+    rows = [(k, f"text {k}, more") for k in range(300)] + [(1 << 60, "far"), (-(1 << 60), "low")] + [(None, f"none {k}") for k in range(100)] + [(None, "same")] * 400 + [(7, "equal " * 30)] * 90
+    folder = write(tmp_path, rows)
+    check_fingerprints(op4.query(spark, folder).collect(), rows)
+    keys = spark.createDataFrame([(-(1 << 63) if d is None else d, hash(t) >> 4, len(t) + 64) for d, t in rows], "id long, tag long, bytes long")
+    with Scratch(spark) as s:
+        bucket, firsts, n, often = op4._ranges(s, keys, 16)
+        sizes = [r["n"] for r in keys.join(often, ["id", "tag"], "left_anti").groupBy(bucket.alias("b")).agg(op4.F.sum("bytes").alias("n")).collect()]
+        assert often.count() == 2 and 14 <= n == firsts.count() <= 16 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
 
 
 def test_fingerprints_are_homomorphic(spark, documents):
