@@ -1,20 +1,26 @@
 """Secret scans with an incremental blob ledger.
 
 Every historical version of every path is content-addressed by the SHA-256 of its text.  A ledger
-holds the (blob, rule, rule version) triples that were scanned before; a scan reads the text of each
+holds the (blob, rule, rule version) triples that were scanned before, and their findings; a scan reads the text of each
 unseen blob once, whatever the number of paths that hold it, and runs only the rules that the ledger
 lacks for it.  Findings are rows per blob and are joined back to all paths.
 
+A ``Ledger`` is a folder of runs.  A run writes what it found and what it scanned, and counts once its name stands in the
+commits; a run that was cut short is never read, and its blobs are scanned again.  The query and the stage take a ledger's folder; without one they
+keep their own for the call, so that a result never rests on an unnamed earlier run.
+
 Only DataFrame expressions are used.  Positions come from two built-ins: ``split`` by a rule's pattern
 gives the text between matches and ``regexp_extract_all`` the matches, so that a running sum of their
 lengths is each match's start.
 
 Defined cases: a null id stays null; a null text is the empty text; an empty table gives no rows; repeated rows give repeated
-rows; columns other than the id and the text are not read, whatever their names.
+rows, scanned as one blob; a path with many versions has a row for each; very long texts are scanned whole; spans of two kinds may overlap, and all are kept, ordered by
+start and then as the kinds are listed; columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,44 +92,79 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, kind, start, end) for ``blobs`` (blob, text, todo: keys of the rules to run on it)."""
     empty = F.array().cast("array<struct<kind:string,nth:int,gap:int,len:int,counts:boolean>>")
     per_rule = [F.when(F.array_contains("todo", r.key) & F.col("text").rlike(r.hint or r.pattern), _cuts(F.col("text"), r)).otherwise(empty) for r in rules]
-    cut = blobs.select("blob", F.explode(F.concat(*per_rule)).alias("c")).select("blob", "c.*")
-    so_far = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    # A blob may come more than once: sums run within a row.
+    cut = blobs.withColumn("row", F.monotonically_increasing_id()).select("blob", "row", F.explode(F.concat(*per_rule)).alias("c")).select("blob", "row", "c.*")
+    so_far = Window.partitionBy("blob", "row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum((F.col("gap") + F.col("len")).cast("long")).over(so_far)
-    return cut.withColumn("end", end).where("counts").select("blob", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
+    return cut.withColumn("end", end).where("counts").select("blob", "kind", (F.col("end") - F.col("len")).alias("start"), "end").distinct()
+
+
+class Ledger:
+    """Findings (blob, kind, start, end) and scanned pairs (blob, rule) in a shared folder, by committed runs."""
+
+    FOUND, SCANNED, COMMITS = "blob string, kind string, start long, end long, run string", "blob string, rule string, run string", "run string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        runs = self.runs()
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/{run}" for run in runs])
+
+    def runs(self) -> list[str]:
+        """Names of the committed runs, one each: a bounded list, whatever the corpus's size."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return []
+        return sorted(r["run"] for r in self.spark.read.schema(self.COMMITS).parquet(f"{self.folder}/commits").collect())
+
+    def findings(self) -> DataFrame:
+        return self._read("found", self.FOUND).drop("run")
+
+    def scanned(self) -> DataFrame:
+        return self._read("scanned", self.SCANNED).drop("run")
+
+    def add(self, found: DataFrame, scanned: DataFrame) -> str:
+        """Writes one run and commits it."""
+        run = uuid.uuid4().hex
+        found.withColumn("run", F.lit(run)).write.option("compression", "zstd").parquet(f"{self.folder}/found/{run}")
+        scanned.withColumn("run", F.lit(run)).write.option("compression", "zstd").parquet(f"{self.folder}/scanned/{run}")
+        self.spark.createDataFrame([(run,)], self.COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        return run
 
 
-def scan_history(spark: SparkSession, paths: DataFrame, key: str, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scans what the ledger lacks.
+def scan_history(spark: SparkSession, paths: DataFrame, key: str, text: str, ledger: Ledger, rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scans what the ledger lacks, and adds it there.
 
-    ``paths`` has one row per version of a path.  Returns the addresses (path, blob), the new findings
-    (blob, kind, start, end), and the ledger's new rows (blob, rule).  Union both with the old ones.
+    ``paths`` has one row per version of a path.  Returns the addresses (path, blob) and, from the ledger, all findings
+    (blob, kind, start, end) of ``rules``.
     """
     scratch = scratch or Scratch(spark)
     address = scratch.table(content_address(paths, key, text), "address", keep=True)
-    # One path stands for each blob: the texts are shuffled once, by path, and only unseen ones are scanned.
-    first = address.groupBy("blob").agg(F.min("path").alias("path"))
-    every = F.array(*[F.lit(r.key) for r in rules])
-    if ledger is None:
-        todo = first.withColumn("todo", every)
-    else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = first.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
+    # One path stands for each blob: the texts are shuffled once, by path and blob, and only unseen ones are scanned.
+    todo = address.groupBy("blob").agg(F.min("path").alias("path")).withColumn("todo", F.array(*[F.lit(r.key) for r in rules]))
+    if ledger.runs():
+        seen = ledger.scanned().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        todo = todo.join(seen, "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("seen", F.array().cast("array<string>"))))
         todo = todo.where(F.size("todo") > 0)
     todo = scratch.table(todo.select("path", "blob", "todo"), "todo")
     texts = paths.select(held(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # A path may have many versions, so the digest is compared again; equal rows of one path are scanned once.
-    unseen = texts.join(todo, "path").where(F.sha2(F.encode("text", "UTF-8"), 256) == F.col("blob"))
-    found = scan(unseen.select("blob", "text", "todo"), rules).distinct()
-    return address, found, todo.select("blob", F.explode("todo").alias("rule"))
+    texts = texts.withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
+    # Equal rows of one path and blob are scanned alike, and counted once.
+    unseen = texts.join(todo, ["path", "blob"])
+    ledger.add(scan(unseen.select("blob", "text", "todo"), rules), todo.select("blob", F.explode("todo").alias("rule")))
+    return address, ledger.findings().where(F.col("kind").isin([r.kind for r in rules]))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
     """One row per document: counts of the base kinds, the digest of the base spans, and all spans."""
     docs = table(spark, sf_dir, "documents")
     with Scratch(spark) as s:
-        address, found, _ = scan_history(spark, docs, "doc_id", "text", scratch=s)
+        address, found = scan_history(spark, docs, "doc_id", "text", Ledger(spark, ledger or s.path("ledger")), scratch=s)
         rank = F.array_position(F.array(*[F.lit(r.kind) for r in RULES]), F.col("kind"))
-        by_blob = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("all"))
+        by_blob = found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("all"))
         by_blob = s.table(by_blob, "spans", keep=True)
 
     def joined(spans: Column) -> Column:
@@ -139,14 +180,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(given("path").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
-def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | None = None) -> DataFrame:
     """Pipeline stage: every span of a finding is replaced by ``[kind]``; all documents stay.
 
-    Spans that overlap are joined to one, which bears the name of the first.
+    Spans that overlap are joined to one, which bears the name of the first.  A null text stays null; columns of any other names are kept.
     """
     key, of, all_, own = unused(docs, "hit_id", "hit_blob", "hit_spans", "own_blob")
     with Scratch(spark) as s:
-        address, found, _ = scan_history(spark, docs, "doc_id", "text", scratch=s)
+        address, found = scan_history(spark, docs, "doc_id", "text", Ledger(spark, ledger or s.path("ledger")), scratch=s)
         order = Window.partitionBy("blob").orderBy("start", "end", "kind")
         reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
         island = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
