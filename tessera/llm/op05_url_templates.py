@@ -4,15 +4,20 @@ Each URL is cut into host and path; the first fitting rule by length gives its v
 judged are also labels for the rest.  Per host a tree of path segments is built from counts, level by
 level: a segment that looks like a number, date, hash or long token becomes a wildcard at once; below a
 parent with many children the rare ones become a wildcard too; children whose labels do not differ from
-their siblings' by a two-proportion test are merged to one branch.  The leaves are templates.  A template
-is rejected where its labelled share of blocks, smoothed by a prior, reaches a threshold; a URL
+their siblings' by a two-proportion test are merged to one branch.  The leaves are templates.
+
+A template's purity is its labelled share of blocks, smoothed: by that of the same path shape on all hosts of the domain above, and this by
+that of the next domain up to that of all hosts, and this by a fixed prior.  So a template with labels is judged by them, and one without by what the shape
+is elsewhere, the nearest hosts first; a shape without labels anywhere keeps the prior, and is allowed.  A template
+is rejected where its purity reaches a threshold; a URL
 that no rule fits is blocked if its template is rejected.
 
 The tree is made from counts per distinct (host, generalised path), never from rows, so a host that holds
 a third of all pages weighs no more than its distinct paths.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path, no rule, and are allowed; an
-empty table gives no rows; repeated rows give repeated rows; a null id stays null; other columns are not read.
+empty table gives no rows; repeated rows give repeated rows, and count as often; a null id stays null; a path of more than DEPTH segments, however
+long, has its rest as one wildcard; shares that tie with the threshold reject; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +30,13 @@ from .scratch import Scratch, table
 #: Fixed by the contract: verdict and rule.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what is deeper is one wildcard.
-DEPTH = 4
+#: Levels of the tree; what is deeper is one wildcard.  Labels of the widest to the narrowest domain that evidence is shared in.
+DEPTH, LEVELS = 4, 2
 #: A parent with more children than this has its rare ones (below the share) made a wildcard.
 MANY, RARE = 16, 0.05
 #: Below this the labels of two branches do not differ (two-sided 5 %).
 Z = 1.96
-#: Prior of a template: so many labels, of which so many blocks; and the purity that rejects it.
+#: Prior: so many labels, of which, for all hosts, so many blocks; and the purity that rejects a template.
 PRIOR_LABELS, PRIOR_BLOCKS, REJECT = 4.0, 0.8, 0.8
 _VARIABLE = r"^(?:[0-9][0-9._-]*(?:\.[a-z]{2,5})?|[0-9a-f]{8,}|[0-9a-f-]{32,}|[^/]{40,}|(?=[^/]*[0-9])[a-z0-9_-]{12,}(?:\.[a-z]{2,5})?)$"
 
@@ -86,10 +91,33 @@ def template_tree(scratch: Scratch, urls: DataFrame) -> DataFrame:
         grown = here.join(named, keys, "left").select(here["host"], here["shape"], "n", "labelled", "blocks", F.when(F.col("name").isNull(), here["template"]).otherwise(F.concat(here["template"], F.array("name"))).alias("template"))
         leaves = scratch.table(grown, f"leaves{depth}")
     by_template = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocks").alias("blocks"))
-    purity = (F.col("blocks") + PRIOR_BLOCKS) / (F.col("labelled") + PRIOR_LABELS)
-    judged = by_template.select("host", "template", purity.alias("purity"))
-    tree = leaves.select("host", "shape", "template").join(judged, ["host", "template"])
-    return tree.select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+    above = shape_purity(scratch, leaves.select("host", "shape", "labelled", "blocks"))
+    tree = leaves.select("host", "shape", "template").join(by_template, ["host", "template"]).join(above, ["host", "shape"])
+    purity = smoothed(F.col("labelled"), F.col("blocks"), F.col("above"))
+    return tree.select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), purity.alias("purity"))
+
+
+def smoothed(labelled: Column, blocks: Column, above: Column) -> Column:
+    return (blocks + PRIOR_LABELS * above) / (labelled + PRIOR_LABELS)
+
+
+def shape_purity(scratch: Scratch, counts: DataFrame) -> DataFrame:
+    """(host, shape, above): the purity of a shape on all hosts of the host's domain, by way of the domains above that.
+
+    Domains are suffixes of the host of up to LEVELS labels; '' is that of all hosts.  ``counts`` has one row per host and shape.
+    """
+    labels = F.split("host", r"\.")
+    known = F.least(F.size(labels), F.lit(LEVELS))
+    domains = F.transform(F.sequence(F.lit(0), known), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    each = scratch.table(counts.withColumn("domains", domains), "domains")
+    by = each.withColumn("domain", F.explode(F.array_distinct("domains"))).groupBy("domain", "shape").agg(F.sum("labelled").alias("labelled"), F.sum("blocks").alias("blocks"))
+    by = scratch.table(by, "by_domain")
+    out = each.select("host", "shape", "domains").withColumn("above", F.lit(PRIOR_BLOCKS / PRIOR_LABELS))
+    for k in range(LEVELS + 1):
+        level = by.withColumnRenamed("domain", "of")
+        here = out.withColumn("of", F.get("domains", F.lit(k))).join(level, ["of", "shape"], "left")
+        out = here.select("host", "shape", "domains", F.coalesce(smoothed(F.col("labelled"), F.col("blocks"), F.col("above")), "above").alias("above"))
+    return out.select("host", "shape", "above")
 
 
 def judge(scratch: Scratch, pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
