@@ -1,18 +1,19 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Features are indicators of hashed n-grams: words, and runs of one to three word shapes (which kinds of
+Features are indicators of hashed n-grams: runs of one and two words, and of one to three word shapes (which kinds of
 characters a word has, and whether it repeats the word before).  Each indicator is scaled by the log ratio
 of its smoothed counts in the two classes; a linear hinge-loss model is then fitted by dual coordinate
 descent, and its margin is mapped to 0..1 by a logistic curve fitted on the training rows.
 
-Labels are learned from at most ``TRAIN_ROWS`` rows, taken in the order of a hash of their id, whatever the
+Labels are learned from at most ``TRAIN_ROWS`` documents of at most ``TRAIN_BYTES`` bytes of text together, taken in the order of a hash of their id, whatever the
 corpus's size; ids, languages and sources are never inputs of a score.  Every document is scored over its
 whole text, with no shuffle; what tasks get is one vector of fixed length.
 
 Defined cases: a null text is the empty text, which has no indicators and scores by the bias alone; rows
 without a label, or with a null one, are only scored; with no labels, or those of one class, every score is that
-class's smoothed rate; an empty table gives no rows; repeated rows give repeated rows; null ids stay null (and
-are not held out); other columns are not read.
+class's smoothed rate; an empty table gives no rows; repeated rows give repeated rows, and are learned from once; of several texts of one labelled id, that
+with the smallest hash is learned from; of unlike labels of one id the smaller counts; a labelled text that alone passes the bytes is passed over; null ids stay null (and
+are not held out); a score of just one half predicts 1; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import table
 from .wordhash import Words, chunks, mix
 
-#: Labelled rows that are learned from, at most.
-TRAIN_ROWS = 8192
+#: Labelled documents that are learned from, at most, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 8192, 64 << 20
 #: Buckets of the n-gram hash: words below, shapes above the half.
 BUCKETS = 1 << 18
 #: Count smoothing, cost of a hinge violation, passes over the rows, share of the fitted weights against their mean.
@@ -69,8 +70,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     three_ok[1:] &= same_text[:-1]
     before, two_before = np.roll(one, 1), np.roll(one, 2)
     grams = [(doc, one), (doc[two_ok], (1 << 27) | (before << 9 | one)[two_ok]), (doc[three_ok], (1 << 28) | (two_before << 18 | before << 9 | one)[three_ok])]
-    keys = [np.unique(doc * half + (w.hash % np.uint64(half)).astype(np.int64)) for _ in (0,)]
-    keys[0] = keys[0] // half * BUCKETS + keys[0] % half
+    two = mix(w.hash + np.roll(w.hash, 1) * np.uint64(0x9E3779B97F4A7C15))[same_text]
+    of_words = [(doc, w.hash), (doc[same_text], two)]
+    keys = [d * BUCKETS + (h % np.uint64(half)).astype(np.int64) for d, h in of_words]
     for d, code in grams:
         found = np.unique(d << 30 | code)
         code = mix((found & ((1 << 30) - 1)).astype(np.uint64)) % np.uint64(half)
@@ -156,10 +158,17 @@ def fold(key: str | Column) -> Column:
     return F.crc32(F.encode(F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), "UTF-8")) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id and the label)."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold("doc_id") != 1))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # At most ``rows`` rows on this side of the joins: its size is bounded, so it is broadcast.
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    sizes = keyed.select("doc_id", "tag", F.octet_length("text").alias("bytes")).join(F.broadcast(known), "doc_id")
+    sizes = sizes.groupBy("doc_id", "y").agg(F.min(F.struct("tag", "bytes")).alias("t")).select("doc_id", "y", "t.*").where(F.col("bytes") <= most_bytes)
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most ``rows`` rows
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "tag", "y")
 
     def extract(batches):
         for batch in batches:
@@ -169,8 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 parts = np.split(buckets.astype(np.uint32), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_pydict({"y": pa.array(y[start : start + len(run)], pa.int32()), "buckets": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    # At most ``rows`` rows on either side of the join: its size is bounded, so it is broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(extract, "y int, buckets binary").toArrow()
+    texts = keyed.join(F.broadcast(chosen), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
+    found = texts.select("y", "text").mapInArrow(extract, "y int, buckets binary").toArrow()
     order = sorted(zip(found.column("buckets").to_pylist(), found.column("y").to_pylist(), strict=True))
     return fit([np.frombuffer(b, np.uint32).astype(np.int64) for b, _ in order], np.array([y for _, y in order], np.int64))
 
@@ -197,7 +206,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score below a half go."""
+    """Pipeline stage: documents that score below a half go; all others stay as they are, with all columns, repeated rows and null ids."""
     model = train(docs, table(spark, sf_dir, "labels"))
 
     def keep(batches):
