@@ -104,8 +104,9 @@ def decontaminate(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFr
     folded = F.transform("words", lambda w: F.upper(w))
     prints = item_words.select(F.explode(of_span(lambda s: fingerprints(folded, [s]), "prints")).alias("print")).distinct()
     prints = scratch.table(prints, "prints")
-    spots = item_words.select("item_id", "span", F.explode(of_span(lambda s: windows(F.col("words"), s), "windows")).alias("window")).distinct()
-    spots = scratch.table(spots, "spots")
+    # Each window once, with the items that have it: a passage of many items gives a document's place one row.
+    spots = item_words.select("item_id", "span", F.explode(of_span(lambda s: windows(F.col("words"), s), "windows")).alias("window"))
+    spots = scratch.table(spots.groupBy("span", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "spots")
 
     text = F.coalesce("text", F.lit(""))
     # A row is known by its id and its text's hash.
@@ -120,7 +121,7 @@ def decontaminate(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFr
     each = F.concat(*[F.transform(windows(F.col("words"), s), lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("window"))) for s in spans])
     found = seen.select("doc_id", "tag", F.explode(each).alias("e")).select("doc_id", "tag", "e.at", "e.window").join(spots, "window")
     hits = found.groupBy("doc_id", "tag").agg(
-        F.collect_set(F.struct("at", F.col("span").cast("long").alias("len"))).alias("places"), F.collect_set("item_id").alias("item_ids")
+        F.collect_set(F.struct("at", F.col("span").cast("long").alias("len"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids")
     )
     hits = scratch.table(hits.select("doc_id", "tag", covered(F.sort_array("places")).alias("n_hit"), "item_ids"), "hits", keep=True)
     out = marked.select("doc_id", "tag", "n_words").join(hits, ["doc_id", "tag"], "left")
