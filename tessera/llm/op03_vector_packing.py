@@ -5,18 +5,22 @@ lengths).  Pieces go by descending length into the open sequence that fits under
 is best by a weighted norm of what would remain, or by the weighted dot product of demand and residual;
 where none fits, a sequence is opened.
 
-Tokenizing needs no shuffle.  Only lengths are packed: pieces are dealt by a hash into groups of about
-``GROUP`` and each group is packed by itself, which costs at most one part-filled sequence a group.  The
+Tokenizing needs no shuffle.  Only lengths are packed: pieces are dealt by a hash of their number in the written table into groups of about
+``GROUP``, however alike they are, and each group is packed by itself, which costs at most one part-filled sequence a group.  The
 groups' number follows from the count of pieces, so a group fits in a task at any size of input.
 
-Defined cases: a null text is the empty text, a piece of its end id; an empty table gives no rows; repeated rows
-are packed once each and told apart by nothing but their place; other columns are not read.
+The query's sequences may hold as many documents and as much attention cost as tokens can make, since they are to be as few as can be: there
+only the weights of these two parts bear on the choice of a sequence.  ``pack`` takes any capacities.
+
+Defined cases: a null text is the empty text, a piece of its end id; a null id stays null; an empty table gives no rows; repeated rows
+are packed once each and told apart by nothing but their place; very long texts are cut into pieces; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,26 +32,29 @@ END_ID = 1
 #: Pieces that are packed together.
 GROUP = 16384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: With the number of the task and of the piece in it, by which pieces are dealt.
+DEALT = PIECES + ", row long"
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each (doc_id, text)."""
 
     def cut(batches):
-        encode = encoder(tokenizer).encode
+        encode, row = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for key, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]
-                    for column, value in zip(rows, (key, k, at, len(piece), ids_crc32(piece)), strict=True):
+                    for column, value in zip(rows, (key, k, at, len(piece), ids_crc32(piece), row), strict=True):
                         column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row += 1
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(cut, DEALT)
 
 
 def vector_best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.01, 0.01), by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +98,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int = CAPACITY,
 
     def fit(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         # A fixed order, so that a repeated attempt packs alike.
-        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
         bins, offsets = vector_best_fit(rows.column("length").to_numpy(), (capacity, documents, attention), by=by)
         number = (key[0].as_py() << 32) + bins
-        return rows.drop_columns(["grp"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets))
+        return rows.drop_columns(["grp", "row"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets))
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(fit, schema)
 
 
@@ -113,5 +120,5 @@ def query(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, token
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packing plan of all documents that are left."""
+    """Pipeline stage: the packing plan of all documents that are left, with the columns of ``query``; cases as there."""
     return query(spark, sf_dir, docs)
