@@ -12,7 +12,7 @@ import hashlib
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,40 @@ def partitions_of(df: DataFrame) -> int:
 def spread(manifest: DataFrame, per_task: int = 4) -> DataFrame:
     """The manifest's rows (name and more) over as many tasks as its files ask for; a given number of partitions is kept."""
     return manifest.repartition(max(1, manifest.count() // per_task), "name")
+
+
+#: A table is cut into at most so many ranges.
+MOST_RANGES = 1 << 16
+
+
+def bucket_of(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending bounds (id, tag) are at most (id, tag), by halving."""
+    ids, tags = (F.split(F.lit(",".join(str(b[k]) for b in bounds)), ",").cast("array<bigint>") for k in (0, 1))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+
+    def reached(at: Column) -> Column:
+        low, tag = F.get(ids, at), F.get(tags, at)
+        return (low < F.col("id")) | ((low == F.col("id")) & (tag <= F.col("tag")))
+
+    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when((acc + step <= len(bounds)) & F.coalesce(reached(acc + step - 1), F.lit(False)), acc + step).otherwise(acc))
+
+
+def even_ranges(scratch, keys: DataFrame, least: int, name: str = "ranked") -> tuple[Column, int]:
+    """A range's number as a function of (id, tag), ascending, and how many ranges there are.
+
+    ``keys`` has (id, tag, bytes).  Ranges hold ``least`` bytes each, or more where there would be too many, by running sums over all keys in order: they
+    follow from the keys alone, not from partitions, samples or cores.  One row per partition and per range reaches the driver.
+    """
+    n, total = keys.agg(F.count("*"), F.sum("bytes")).first()
+    each = max(1, least, -(-(total or 0) // MOST_RANGES))
+    parts = min(MOST_RANGES, max(1, n // 500_000 + 1))
+    ranked = scratch.table(keys.repartitionByRange(parts, "id", "tag").withColumn("part", F.spark_partition_id()), name)
+    before, so_far = [], 0
+    for r in ranked.groupBy("part").agg(F.sum("bytes").alias("bytes")).orderBy("part").collect():
+        before.append((r["part"], so_far))
+        so_far += r["bytes"]
+    running = F.sum("bytes").over(Window.partitionBy("part").orderBy("id", "tag").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.floor((F.col("before") + F.coalesce(running, F.lit(0))) / each)
+    ranked = ranked.join(F.broadcast(scratch.spark.createDataFrame(before, "part int, before long")), "part").withColumn("range", number)
+    lows = ranked.groupBy("range").agg(F.min(F.struct("id", "tag")).alias("low")).select("low.*").distinct().orderBy("id", "tag").collect()
+    return bucket_of([(r["id"], r["tag"]) for r in lows[1:]]), max(1, len(lows))

@@ -1,18 +1,21 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are range-partitioned and sorted by their id.  Each task writes gzip-member records to a file and
-rolls to the next once the compressed size passes a limit; every header, digest and record id is made anew
-from the payload and the id, so the same input gives the same bytes.  Files are written under temporary names,
+Records are cut into ranges of their ids and sorted.  A range's records are written as gzip members to a file, which
+rolls to the next once the compressed size passes a limit.  Ranges follow from running sums of all payloads' sizes in order, and file names
+from ranges; every header, digest and record id is made anew
+from the payload and the id, so the same rows give the same files to the byte, on any number of cores and however the input is partitioned.  Files are written under temporary names,
 listed in a manifest with their size and SHA-256, and renamed from it.
 
 Of records with equal payloads of at least ``REVISIT_BYTES``, that with the smallest id is the response and the
 others are revisits of it, each by its id and digest.  That is decided on (id, digest, length) alone; the payloads are shuffled once, by
 the range sort, into which the references enter as rows of their own.
 
-Defined cases: a null payload is empty; a null URL is written as an empty target; a null id is kept as none,
+Rows of one id, such as null, are ordered and cut by a hash of payload and URL.
+
+Defined cases: a null payload is empty; a very long one is one record; a null URL is written as an empty target; a null id is kept as none,
 and its record is a response; an
 empty table gives no files and no rows; rows of equal id are all written, and all are responses if that id is the
-smallest of their payload; other columns are not read.
+smallest of their payload (repeated rows likewise); other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .scratch import Scratch, table
+from .scratch import Scratch, held, table
 
 REVISIT_BYTES = 100
-#: Compressed bytes after which a file is closed.
-ROLL_BYTES = 64 << 20
+#: Compressed bytes after which a file is closed, and bytes of payloads in a range.
+ROLL_BYTES, RANGE_BYTES = 64 << 20, 8 << 20
+#: What a record's headers take, by which small records are counted.
+RECORD_BYTES = 512
 #: The date that records bear: a fixed one, since the time of writing would change the bytes.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,45 +103,53 @@ def members(stream, chunk: int = 1 << 20):
             inflate, out = zlib.decompressobj(31), []
 
 
-def write_archives(scratch: Scratch, pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_archives(scratch: Scratch, pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes (page_id, url, html) and returns the manifest."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    meta = scratch.table(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size")), "meta")
+    meta = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"), F.xxhash64("url").alias("of_url"))
+    meta = scratch.table(meta.withColumn("tag", F.xxhash64("digest", "of_url")), "meta")
     large = meta.where(F.col("size") >= REVISIT_BYTES)
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = large.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    again = large.join(first, "digest").where("page_id <> refers_to").select("page_id", "tag", "digest", "refers_to").distinct()
     again = scratch.table(again, "again")
 
+    keys = meta.select(held("page_id").alias("id"), "tag", (F.col("size") + RECORD_BYTES).cast("long").alias("bytes"))
+    bucket, n_ranges = files.even_ranges(scratch, keys, range_bytes)
+
     def write(batches):
-        part = TaskContext.get().partitionId()
-        out, seq, n, target, sources = None, 0, 0, None, {}
+        at, out, seq, n, source = None, None, 0, 0, None
 
         def close():
             name, temporary, size, digest = out.close()
             return pa.RecordBatch.from_pydict({"name": [name], "temporary": [temporary], "bytes": [size], "sha256": [digest], "records": [n]})
 
         for batch in batches:
-            for page, url, html, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                if refers is not None:  # a reference of those rows that follow with this id and this payload
-                    if target != page:
-                        target, sources = page, {}
-                    sources[digest] = refers
+            for part, page, tag, url, html, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("part", "page_id", "tag", "url", "html", "digest", "refers_to")), strict=True):
+                if refers is not None:  # a reference of those rows that follow with this id and tag
+                    source = (page, tag, digest, refers)
                     continue
+                if out is not None and at != part:
+                    yield close()
+                    out = None
+                if at != part:
+                    at, seq = part, 0
                 if out is None:
-                    out = files.Output(folder, f"part-{part:06d}-{seq:06d}.warc.gz")
+                    out, n = files.Output(folder, f"range-{part:06d}-{seq:06d}.warc.gz"), 0
                 payload = (html or "").encode()
-                source = sources.get(hashlib.sha256(payload).hexdigest()) if target == page else None
-                out.write(member(make_record(page, url or "", payload, source)))
+                known = source is not None and source[:2] == (page, tag) and source[2] == hashlib.sha256(payload).hexdigest()
+                out.write(member(make_record(page, url or "", payload, source[3] if known else None)))
                 n += 1
                 if out.size >= roll_bytes:
                     yield close()
-                    out, seq, n = None, seq + 1, 0
+                    out, seq = None, seq + 1
         if out is not None:
             yield close()
 
-    rows = pages.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    both = rows.unionByName(again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to"))
-    ranged = both.repartitionByRange(files.partitions_of(rows), "page_id").sortWithinPartitions(F.col("page_id"), F.col("refers_to").asc_nulls_last(), "url", "html")
+    tag = F.xxhash64(F.sha2(payload, 256), F.xxhash64("url"))
+    rows = pages.select("page_id", tag.alias("tag"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    both = rows.unionByName(again.select("page_id", "tag", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to"))
+    both = both.withColumn("id", held("page_id")).withColumn("part", bucket)
+    ranged = both.repartitionByRange(n_ranges, "part").sortWithinPartitions("part", "id", "tag", F.col("refers_to").asc_nulls_last(), "url")
     manifest = scratch.table(ranged.mapInArrow(write, files.MANIFEST + ", records long"), "manifest", keep=True)
     return files.commit(scratch, manifest, folder)
 

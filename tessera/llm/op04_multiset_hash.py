@@ -117,23 +117,11 @@ def text_of(of: Column) -> Column:
     return F.concat(F.array_join(wide, ""), F.array_join(short, ""))
 
 
-def _bucket(bounds: list[tuple[int, int]]) -> Column:
-    """How many of the ascending bounds (id, tag) are at most (id, tag), by halving."""
-    ids, tags = (F.split(F.lit(",".join(str(b[k]) for b in bounds)), ",").cast("array<bigint>") for k in (0, 1))
-    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
-
-    def reached(at: Column) -> Column:
-        low, tag = F.get(ids, at), F.get(tags, at)
-        return (low < F.col("id")) | ((low == F.col("id")) & (tag <= F.col("tag")))
-
-    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when((acc + step <= len(bounds)) & F.coalesce(reached(acc + step - 1), F.lit(False)), acc + step).otherwise(acc))
-
-
 def _ranges(scratch: Scratch, keys: DataFrame, parts: int) -> tuple[Column, DataFrame, int, DataFrame]:
     """A range's number as a function of (id, tag), ascending; for the first row of each range the range that also gets it; how many
     ranges there are; and the rows (id, tag, again) that repeat so often that one stands for all.
 
-    Ranges have nearly equal bytes, by sums over all keys in order.  One row per partition and per range reaches the driver.
+    One row per partition and per range reaches the driver.
     """
     spark = scratch.spark
 
@@ -145,16 +133,7 @@ def _ranges(scratch: Scratch, keys: DataFrame, parts: int) -> tuple[Column, Data
     often = keys.groupBy("id", "tag").agg(F.count("*").alias("again"), F.sum("bytes").alias("all")).where((F.col("again") > 1) & (8 * F.col("all") > each))
     often = scratch.table(often, "often", keep=True)  # at most eight for each range
     rest = keys.join(F.broadcast(often), ["id", "tag"], "left_anti").unionByName(often.select("id", "tag", F.floor(F.col("all") / F.col("again")).alias("bytes")))
-    ranked = scratch.table(rest.repartitionByRange(parts, "id", "tag").withColumn("part", F.spark_partition_id()), "ranked")
-    each, before, total = size_of_range(ranked), [], 0
-    for r in ranked.groupBy("part").agg(F.sum("bytes").alias("bytes")).orderBy("part").collect():
-        before.append((r["part"], total))
-        total += r["bytes"]
-    running = F.sum("bytes").over(Window.partitionBy("part").orderBy("id", "tag").rowsBetween(Window.unboundedPreceding, -1))
-    number = F.floor((F.col("before") + F.coalesce(running, F.lit(0))) / each)
-    ranked = ranked.join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part").withColumn("range", number)
-    lows = ranked.groupBy("range").agg(F.min(F.struct("id", "tag")).alias("low")).select("low.*").distinct().orderBy("id", "tag").collect()
-    bucket = _bucket([(r["id"], r["tag"]) for r in lows[1:]])
+    bucket, _ = files.even_ranges(scratch, rest, size_of_range(rest))
     firsts = rest.groupBy(bucket.alias("b")).agg(F.max(F.struct("id", "tag")).alias("k")).select("b", "k.id", "k.tag").orderBy("b").collect()
     to = [(r["id"], r["tag"], firsts[(k + 1) % len(firsts)]["b"]) for k, r in enumerate(firsts)]
     return bucket, spark.createDataFrame(to, "id long, tag long, above int"), max(1, len(firsts)), often

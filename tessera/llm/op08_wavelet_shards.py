@@ -1,7 +1,8 @@
 """Token-ID output as one wavelet matrix per shard.
 
-Documents are range-partitioned and sorted by id; each task encodes its documents, ends each with an end
-id, and closes a shard whenever enough ids have gathered, so memory is bounded by a shard plus one document.
+Documents are cut into ranges of their ids and sorted; a range's documents are encoded, each is ended with an end
+id, and a shard is closed whenever enough ids have gathered, so memory is bounded by a shard plus one document.  Ranges follow from running sums of all
+texts' sizes in order, and file names from ranges, so the same rows give the same files to the byte, on any number of cores.
 A shard file holds the ids as bit-planes from the highest bit down, each stably partitioned by the planes
 above it, with a directory of ones before every 512 bits, and the documents' ids and starts.  All parts are
 zstd frames of one file.  ``WaveletMatrix`` gives access, rank (counting), select and occurrence lookup
@@ -11,7 +12,8 @@ The query writes the shards, reads them back, and takes its columns from what it
 
 Defined cases: a null text is the empty text, whose only id is the end id; an empty table gives no files and no
 rows; a null id comes first and stays
-null; rows of equal id are kept, in order of their text; other columns are not read.
+null; rows of equal id are kept, in order of their text's hash, by which many of one id, such as null, are also cut; repeated rows follow one another; a very long
+text is in one shard; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import struct
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ from .scratch import Scratch, given, held, table
 from .tokens import encoder, ids_crc32
 
 MAGIC = b"TWM1"
-#: Ids after which a shard is closed.
-SHARD_IDS = 1 << 21
+#: Ids after which a shard is closed, and bytes of text in a range.
+SHARD_IDS, RANGE_BYTES = 1 << 21, 8 << 20
 #: Bits between two counts of the rank directory.
 STEP = 512
 END_ID = 2
@@ -173,24 +174,28 @@ def unpack_shard(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
 SHARDS = files.MANIFEST + ", part int, seq int, n_ids long"
 
 
-def write_shards(scratch: Scratch, docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(scratch: Scratch, docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes (doc_id, text) in ascending order of doc_id; returns the manifest."""
 
     def write(batches):
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        gathered, keys, n, seq = [], [], 0, 0
+        encode = encoder(tokenizer).encode
+        gathered, keys, n, at, seq = [], [], 0, None, 0
 
         def close():
             ids = np.concatenate(gathered)
             lengths = np.fromiter(map(len, gathered), np.int64, len(gathered))
-            out = files.Output(folder, f"part-{part:06d}-{seq:06d}.twm")
+            out = files.Output(folder, f"range-{at:06d}-{seq:06d}.twm")
             out.write(pack_shard(ids, np.array(keys, np.int64), np.cumsum(lengths) - lengths))
             name, temporary, size, digest = out.close()
-            return pa.RecordBatch.from_pydict({"name": [name], "temporary": [temporary], "bytes": [size], "sha256": [digest], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": [len(ids)]})
+            return pa.RecordBatch.from_pydict({"name": [name], "temporary": [temporary], "bytes": [size], "sha256": [digest], "part": pa.array([at], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": [len(ids)]})
 
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+            for part, key, ids in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), encode(texts), strict=True):
+                if at != part:
+                    if gathered:
+                        yield close()
+                    gathered, keys, n, at, seq = [], [], 0, part, 0
                 gathered.append(np.append(ids, np.uint32(end_id)))
                 keys.append(key)
                 n += len(gathered[-1])
@@ -200,9 +205,11 @@ def write_shards(scratch: Scratch, docs: DataFrame, folder: str, tokenizer: str,
         if gathered:
             yield close()
 
-    # As many ranges as the input has splits; a range's shards follow from its documents alone.
-    docs = docs.select(held("doc_id").alias("doc_id"), "text")
-    ranged = docs.repartitionByRange(files.partitions_of(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(held("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    sizes = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    keys = scratch.table(rows.select("id", "tag", sizes.cast("long").alias("bytes")), "keys")
+    bucket, n_ranges = files.even_ranges(scratch, keys, range_bytes)
+    ranged = rows.withColumn("part", bucket).repartitionByRange(n_ranges, "part").sortWithinPartitions("part", "id", "tag")
     manifest = scratch.table(ranged.mapInArrow(write, SHARDS), "manifest", keep=True)
     return files.commit(scratch, manifest, folder)
 
