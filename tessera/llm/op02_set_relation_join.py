@@ -51,8 +51,8 @@ COUNTERS, BLOCKS, FAN_IN = 1 << 22, 64, 64
 BINS = 128
 #: Lists up to this length are handled many at a time.
 SHORT = 64
-#: Entries of a block of a list, and of a shard.
-BLOCK, LIMIT = 64, 1024
+#: Entries of a block of a list, and of a shard of a long list.
+BLOCK, LIMIT = 64, 256
 #: Sets of a family that are compared in one task.
 TOGETHER = 512
 #: Columns of the tables of differences that are multiplied at once.
@@ -466,7 +466,8 @@ def _family_answers(s: Scratch, rows: DataFrame, visits: DataFrame, width: int,
     sizes = visits.groupBy("label").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
     sizes = s.table(sizes, "sizes")
     visits = s.table(visits.join(sizes, "label"), "visits")
-    texts = rows.join(visits, ["doc_id", "tag", "tag2"]).select("label", "sid", "guest", "mult", "again", "parts", "text")
+    # Visits grow with the corpus, so this join is never a broadcast, however few they are.
+    texts = rows.join(visits.hint("merge"), ["doc_id", "tag", "tag2"]).select("label", "sid", "guest", "mult", "again", "parts", "text")
     if visits.where("again > 1").limit(1).count():  # rows that repeat to the letter
         texts = texts.where("again = 1").unionByName(texts.where("again > 1").dropDuplicates(["label", "sid"]))
     columns = ["label", "part", "sid", "guest", "own", "mult", "text"]
