@@ -5,7 +5,7 @@ set's prefix puts the set into that shingle's index list.  Work is skipped in tw
 
 * In a list: entries are ordered by set size and position, and cut into blocks of ``BLOCK`` entries with their
   sizes' bounds and least position.  Two blocks are passed over at once where no sizes and positions in them allow the
-  overlap that is asked for; in the others single pairs are tested likewise, and then by 128 counts by hash, which
+  overlap that is asked for; in the others single pairs are tested likewise, and then by 64 counts by hash, which
   bound the symmetric difference from below.
 * Between answers: sets that pass these tests form families.  Of a family only one set, the base, is compared with the
   others as a whole, which gives each of them its differences from the base.  The answers of every other set are derived from the base's
@@ -47,8 +47,8 @@ WIDTH, NUM, DEN = 3, 9, 10
 STAGE_WIDTH, STAGE_NUM, STAGE_DEN = 5, 4, 5
 #: Counters of the sketch, the blocks they are summed in, and how many tasks' blocks are summed at once.
 COUNTERS, BLOCKS, FAN_IN = 1 << 22, 64, 64
-#: Counts by hash that each set carries.
-BINS = 128
+#: Counts by hash that each set carries, of four bits each.
+BINS = 64
 #: Lists up to this length are handled many at a time.
 SHORT = 64
 #: Entries of a block of a list, and of a shard of a long list.
@@ -67,7 +67,14 @@ def key_of(s: np.ndarray) -> tuple[int, int]:
 
 
 def bins_of(s: np.ndarray) -> np.ndarray:
-    return (np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS) & 255).astype(np.uint8)
+    """Counts modulo 16, two a byte."""
+    counts = (np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS) & 15).astype(np.uint8)
+    return counts[::2] | counts[1::2] << 4
+
+
+def unpacked(bins: list[bytes]) -> np.ndarray:
+    both = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS // 2)
+    return np.concatenate([both & 15, both >> 4], 1)
 
 
 # ---- Sets and the sketch
@@ -216,8 +223,8 @@ def _allowed(nx, px, ny, py, num: int, den: int):
 
 def _near(a: np.ndarray, b: np.ndarray, nx, ny, num: int, den: int):
     """Whether the counts by hash allow the least overlap: each bin's difference is part of the symmetric difference."""
-    d = a - b  # modulo 256
-    apart = np.minimum(d, -d).sum(-1, dtype=np.int64)
+    d = (a - b) & 15
+    apart = np.minimum(d, 16 - d).sum(-1, dtype=np.int64)
     return apart <= nx + ny - 2 * -(-num * (nx + ny) // (num + den))
 
 
@@ -302,7 +309,7 @@ def _candidates(families: bool, num: int, den: int):
         for t in _whole_lists(batches):
             token, shard, sid, n, pos, label, members = (t.column(c).to_numpy() for c in ("token", "shard", "sid", "n", "pos", "label", "size"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            bins = unpacked(t.column("bins").to_pylist())
             starts, size = _bounds(token, shard)
             left, right = [], []
             at = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
@@ -511,12 +518,14 @@ def similarity_classes(s: Scratch, docs: DataFrame, width: int = WIDTH, num: int
     entries = entries.repartition("token", "shard").sortWithinPartitions("token", "shard", "n", "pos", "ka")
     function, schema = _survivors(num, den)
     lists = s.table(entries.mapInArrow(function, schema), "lists")
-    lists = s.table(lists.join(sets.select("ka", "n", "sid", "bins"), ["ka", "n"]).select("token", "sid", "n", "pos", "bins"), "entries")
+    # Joins by sets are by sorting, however few the sets are; the counts by hash are fetched only for lists that are compared.
+    lists = s.table(lists.join(sets.select("ka", "n", "sid").hint("merge"), ["ka", "n"]).select("token", "sid", "n", "pos"), "entries")
     s.drop("lists")
+    bins = sets.select("sid", "bins").hint("merge")
 
     # Families: in each shard of each list, every set with one partner that passes.
     long_ = s.table(lists.groupBy("token").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("k")).where("k > 1"), "long")
-    cut = lists.join(long_, "token", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("sid", "token"), F.col("k")), F.lit(0)).cast("int")).drop("k")
+    cut = lists.join(bins, "sid").join(long_, "token", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("sid", "token"), F.col("k")), F.lit(0)).cast("int")).drop("k")
     cut = cut.withColumn("label", F.col("sid")).withColumn("size", F.lit(1).cast("long"))
     columns, order = ["token", "shard", "n", "pos", "sid", "bins", "label", "size"], ["token", "shard", "n", "pos", "sid"]
     pairs = cut.select(columns).repartition("token", "shard").sortWithinPartitions(*order).mapInArrow(_candidates(False, num, den), "a long, b long").distinct()
@@ -525,9 +534,9 @@ def similarity_classes(s: Scratch, docs: DataFrame, width: int = WIDTH, num: int
     family = s.table(family.join(family.groupBy("label").agg(F.count("*").alias("size")), "label"), "families")
 
     # Guests: in lists with several families, by pairs of shards where a list is long.
-    named = lists.join(family, "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    named = lists.join(family.hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
     several = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / LIMIT).cast("int").alias("k")).where("low <> high").select("token", "k")
-    named = named.join(several, "token").withColumn("mine", F.pmod(F.xxhash64("sid", "token"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    named = named.join(several, "token").join(bins, "sid").withColumn("mine", F.pmod(F.xxhash64("sid", "token"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     shard = F.least("mine", "with").cast("long") * F.col("k") + F.greatest("mine", "with")
     named = named.withColumn("shard", shard).select(columns)
     guests = named.repartition("token", "shard").sortWithinPartitions(*order).mapInArrow(_candidates(True, num, den), "sid long, label long").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Characters that are handled at once, which bounds the memory of the arrays.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 _POWERS = np.empty(1 << 12, np.uint64)
 _p = 1
 for _k in range(len(_POWERS)):
