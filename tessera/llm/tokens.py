@@ -19,9 +19,9 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Pieces whose ids a worker keeps from batch to batch; beyond it, the store starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 800_000
 #: Characters that are cut at once, which bounds the memory of the pieces.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 #: A word of Latin letters, which is one pre-token and has a lower case of its own, and a mark that is another.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _PROBES = (" the", "the", " Straße", "Éléphant", " ñandúÿÀ", " thonatinwhst", "Qxzjkw", " WORLD", "a")
