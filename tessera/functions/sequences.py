@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.dialect import relation
@@ -111,8 +111,8 @@ def thread_characters(text: str, units: list[str]) -> tuple[list[tuple[int, int]
         else:
             spans.append((place, place + len(unit)))
             at = place + len(unit)
-    taken = set().union(*(range(a, b) for a, b in spans)) if spans else set()
-    return spans, lost, sum(c.isalnum() and i not in taken for i, c in enumerate(text))
+    loose = sum(map(str.isalnum, text)) - sum(sum(map(str.isalnum, text[a:b])) for a, b in spans)
+    return spans, lost, loose
 
 
 def token_estimate(text: str) -> int:
@@ -216,7 +216,7 @@ def threaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def thread(rows: pd.DataFrame) -> pd.DataFrame:
         text = "".join(rows.text)
-        _, lost, letters = thread_characters(text, [t[:5] for t in rows.text])
+        _, lost, letters = thread_characters(text, [w for t in rows.text for w in t.split()])
         return pd.DataFrame({"transcript_id": [rows.transcript_id.iloc[0]], "lost_units": [lost], "loose_letters": [letters]})
 
     return per_key(_segments(spark, sf_dir), "transcript_id", thread, "transcript_id long, lost_units long, loose_letters long")
@@ -270,17 +270,8 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).mapInPandas(count, "conv_id long, turn long, substitutions long, deletions long, insertions long")
 
 
-def _ascii(column: str) -> Column:
-    return F.substring(F.regexp_replace(F.substring(column, 1, 400), r"[^\x00-\x7F]", ""), 1, 60)
-
-
 def error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-22, the total alone, in the JVM; over as much ASCII as the SQL has, whose distance counts bytes."""
-    return _compared(spark, sf_dir).select("conv_id", "turn", F.levenshtein(_ascii("text"), _ascii("other")).cast("long").alias("edits"))
-
-
-def whole_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-22, the total alone, over whole texts."""
+    """T-22, the total alone, in the JVM, over whole texts."""
     return _compared(spark, sf_dir).select("conv_id", "turn", F.levenshtein("text", "other").cast("long").alias("edits"))
 
 
@@ -326,12 +317,10 @@ QUERIES = {
     "L-08_batches": batched,
     "T-22_error_counts": errors,
     "T-22_error_totals": error_totals,
-    "T-22_error_totals_whole": whole_totals,
     "T-23_canonical_identity": canonical,
     "T-28_marked_merge": merged,
     "S-12_markdown_blocks": markdown_blocks,
 }
 ORACLES = {
-    "T-22_error_totals": "SELECT a.conv_id, a.turn, levenshtein(substr(regexp_replace(substr(a.text, 1, 400), '[^\\x00-\\x7F]', '', 'g'), 1, 60), substr(regexp_replace(substr(b.text, 1, 400), '[^\\x00-\\x7F]', '', 'g'), 1, 60)) AS edits FROM turns AS a JOIN turns AS b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn",
     "T-23_canonical_identity": "SELECT event_id, concat('{\"k\":', JSON_TEXT[props; k], '}') AS canonical, SHA[concat('{\"k\":', JSON_TEXT[props; k], '}')] AS identity FROM events",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,35 +11,46 @@ from tessera.plans.dialect import relation
 from tessera.sources.scratch import Scratch
 
 
-def transitive_closure(scratch: Scratch, edges: DataFrame, seeds: DataFrame, name: str = "closure", max_rounds: int = 1000) -> DataFrame:
+#: Rounds whose tables are kept apart before they are written as one.
+ROUNDS_TOGETHER = 12
+
+
+def transitive_closure(scratch: Scratch, edges: DataFrame, seeds: DataFrame, name: str = "closure", max_rounds: int | None = None) -> DataFrame:
     """(seed, node): every node that is reached from each seed by one edge or more.
 
     ``edges`` has (src, dst), ``seeds`` has (seed, node) where the walk starts.  Semi-naive: a round joins only the
     newest pairs with the edges, drops those seen before, and writes the rest as a table, so lineage stays short and
-    cycles end.
+    cycles end.  It goes on until nothing is new; where ``max_rounds`` is given and not enough, it raises.
     """
     edges = scratch.table(edges.select("src", "dst").distinct(), f"{name}_edges")
-    front, seen = seeds.select("seed", "node"), None
-    for k in range(max_rounds):
+    front, rounds, k = seeds.select("seed", "node"), [], 0
+    while True:
+        if max_rounds is not None and k >= max_rounds:
+            raise RuntimeError(f"{name}: not closed after {max_rounds} rounds")
         new = front.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            new = new.join(seen, ["seed", "node"], "left_anti")
-        new = scratch.table(new, f"{name}_new_{k}", keep=True)
-        if new.isEmpty():
+        for before in rounds:
+            new = new.join(before, ["seed", "node"], "left_anti")
+        front = scratch.table(new, f"{name}_new_{k}", keep=True)
+        if front.isEmpty():
             break
-        seen = new if seen is None else seen.unionByName(new)
-        front = new
-    else:
-        raise RuntimeError(f"{name}: not closed after {max_rounds} rounds")
-    return seen if seen is not None else new
+        rounds.append(front)
+        if len(rounds) == ROUNDS_TOGETHER:
+            rounds = [scratch.table(reduce(DataFrame.unionByName, rounds), f"{name}_until_{k}", keep=True)]
+        k += 1
+    return reduce(DataFrame.unionByName, rounds) if rounds else front
+
 
+def min_labels(scratch: Scratch, links: DataFrame, name: str = "labels", max_rounds: int | None = None) -> DataFrame:
+    """(node, label): the smallest node of each component of the links (a, b); labels jump to their label's label in each round.
 
-def min_labels(scratch: Scratch, links: DataFrame, name: str = "labels", max_rounds: int = 1000) -> DataFrame:
-    """(node, label): the smallest node of each component of the links (a, b); labels jump to their label's label in each round."""
+    It goes on until no label changes; where ``max_rounds`` is given and not enough, it raises."""
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}_links")
     labels = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "node"), f"{name}_0")
-    before = None
-    for k in range(1, max_rounds):
+    before, k = None, 0
+    while True:
+        k += 1
+        if max_rounds is not None and k >= max_rounds:
+            raise RuntimeError(f"{name}: labels still change after {max_rounds} rounds")
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = step.select(F.col("node").alias("of"), F.col("label").alias("jump"))
@@ -46,8 +59,6 @@ def min_labels(scratch: Scratch, links: DataFrame, name: str = "labels", max_rou
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"{name}: labels still change after {max_rounds} rounds")
     return labels
 
 
@@ -65,31 +76,22 @@ def blocked_by_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.where("status = 'queued'").join(reached, F.col("job_id") == F.col("node"), "left_semi").select("job_id")
 
 
-def reachable_parts(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
+def reachable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-02: every (job, part) where the job has the part or follows from one that has."""
-    jobs = relation(spark, sf_dir, "jobs").where(some)
+    jobs = relation(spark, sf_dir, "jobs")
     seeds = jobs.select(F.col("part_id").alias("seed"), F.col("job_id").alias("node")).distinct()
     with Scratch(spark) as s:
         reached = transitive_closure(s, _edges(spark, sf_dir), seeds)
     return reached.unionByName(seeds).distinct().select(F.col("node").alias("job_id"), F.col("seed").alias("part_id"))
 
 
-def downstream_state(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
+def downstream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-03 and A-23: per part the downstream jobs, whether one is live, and the latest time of any."""
     jobs = relation(spark, sf_dir, "jobs").select("job_id", "status", "available")
-    out = reachable_parts(spark, sf_dir, some).join(jobs, "job_id").groupBy("part_id")
+    out = reachable_parts(spark, sf_dir).join(jobs, "job_id").groupBy("part_id")
     return out.agg(F.count("*").alias("jobs_n"), F.bool_or(F.col("status") == "queued").alias("live"), F.max("available").alias("last_at"))
 
 
-def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-06: all jobs that a chosen subset needs, the subset included."""
-    jobs = relation(spark, sf_dir, "jobs").where("job_id % 701 = 5").select(F.lit(0).alias("seed"), F.col("job_id").alias("node"))
-    needs = relation(spark, sf_dir, "edges").select(F.col("job_id").alias("src"), F.col("needs").alias("dst"))
-    with Scratch(spark) as s:
-        reached = transitive_closure(s, needs, jobs)
-    return reached.select("node").union(jobs.select("node")).distinct().select(F.col("node").alias("job_id"))
-
-
 def dependency_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-06 from every job: each job with itself and all jobs that it needs."""
     jobs = relation(spark, sf_dir, "jobs").select(F.col("job_id").alias("seed"), F.col("job_id").alias("node"))
@@ -99,29 +101,37 @@ def dependency_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.unionByName(jobs).distinct().select(F.col("seed").alias("root_id"), F.col("node").alias("job_id"))
 
 
-def copy_groups(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
+def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U-03: each job with all jobs that follow from it; pairs are made once, however many ways lead there."""
+    jobs = relation(spark, sf_dir, "jobs").select(F.col("job_id").alias("seed"), F.col("job_id").alias("node"))
+    with Scratch(spark) as s:
+        reached = transitive_closure(s, _edges(spark, sf_dir), jobs)
+    return reached.distinct().select(F.col("seed").alias("root_id"), F.col("node").alias("job_id"))
+
+
+def copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-08: components of objects that share a target."""
-    replicas = relation(spark, sf_dir, "replicas").where(some)
+    replicas = relation(spark, sf_dir, "replicas")
     stars = replicas.groupBy("target_id").agg(F.min("object_id").alias("b")).join(replicas, "target_id").select(F.col("object_id").alias("a"), "b")
     with Scratch(spark) as s:
         return min_labels(s, stars).select(F.col("node").alias("object_id"), F.col("label").alias("component"))
 
 
-def provenance_edges(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
+def provenance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-09: everything a publication rests on, as content-hash nodes."""
     pubs, texts, audio = (relation(spark, sf_dir, n) for n in ("publications", "transcripts", "audio_links"))
     name = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
     edges = pubs.select(name("publication", "publication_id").alias("src"), name("transcript", "transcript_id").alias("dst"))
     edges = edges.unionByName(texts.select(name("transcript", "transcript_id").alias("src"), F.concat(F.lit("text:"), "sha").alias("dst")))
     edges = edges.unionByName(texts.join(audio, "part_id").select(name("transcript", "transcript_id").alias("src"), name("audio", "audio_id").alias("dst")))
-    seeds = pubs.where(some).select(F.col("publication_id").alias("seed"), name("publication", "publication_id").alias("node"))
+    seeds = pubs.select(F.col("publication_id").alias("seed"), name("publication", "publication_id").alias("node"))
     with Scratch(spark) as s:
         return transitive_closure(s, edges, seeds).select(F.col("seed").alias("publication_id"), F.sha2("node", 256).alias("node_sha"))
 
 
-def provenance_report(spark: SparkSession, sf_dir: str, some: str = "TRUE") -> DataFrame:
+def provenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-10: how many nodes each traced publication rests on, and its sealed root."""
-    each = provenance_edges(spark, sf_dir, some).groupBy("publication_id")
+    each = provenance_edges(spark, sf_dir).groupBy("publication_id")
     return each.agg(F.count("*").alias("nodes"), F.sha2(F.array_join(F.array_sort(F.collect_set("node_sha")), ","), 256).alias("root"))
 
 
@@ -153,42 +163,31 @@ def key_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added.unionByName(moved)
 
 
-_REACH = "WITH RECURSIVE reach AS ({seed} UNION SELECT {seed_column}edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id) "
-#: The subsets that the SQL of the names without ``_all`` has; the ``_all`` queries start from every row.
-_SOME_PARTS, _SOME_COPIES, _SOME_EDITIONS = "part_id < 5 AND job_id < 600", "target_id % 10 = 0 AND object_id % 40 < 3", "publication_id % 50 = 0"
 QUERIES = {
     "G-01_blocked_by_cancelled": blocked_by_cancelled,
-    "G-02_reachable_parts": lambda spark, d: reachable_parts(spark, d, _SOME_PARTS),
-    "G-02_reachable_parts_all": reachable_parts,
-    "G-03_downstream_state": lambda spark, d: downstream_state(spark, d, _SOME_PARTS),
-    "G-03_downstream_state_all": downstream_state,
-    "A-23_lateness_clock": lambda spark, d: downstream_state(spark, d, _SOME_PARTS).select("part_id", "last_at"),
-    "A-23_lateness_clock_all": lambda spark, d: downstream_state(spark, d).select("part_id", "last_at"),
-    "G-06_dependency_closure": dependency_closure,
-    "G-06_dependency_closure_all": dependency_closures,
+    "G-02_reachable_parts": reachable_parts,
+    "G-03_downstream_state": downstream_state,
+    "A-23_lateness_clock": lambda spark, d: downstream_state(spark, d).select("part_id", "last_at"),
+    "G-06_dependency_closure": dependency_closures,
     "G-07_key_remap": key_remap,
-    "G-08_copy_groups": lambda spark, d: copy_groups(spark, d, _SOME_COPIES),
-    "G-08_copy_groups_all": copy_groups,
-    "G-09_provenance": lambda spark, d: provenance_edges(spark, d, _SOME_EDITIONS),
-    "G-09_provenance_all": provenance_edges,
-    "G-10_provenance_report": lambda spark, d: provenance_report(spark, d, _SOME_EDITIONS),
-    "G-10_provenance_report_all": provenance_report,
+    "G-08_copy_groups": copy_groups,
+    "G-09_provenance": provenance_edges,
+    "G-10_provenance_report": provenance_report,
     "G-11_chain_retention": chain_retention,
-    "U-03_recursive_union": lambda spark, d: dependency_closure(spark, d).where("job_id % 2 = 0"),
-    "U-03_recursive_union_all": dependency_closures,
+    "U-03_recursive_union": dependents,
 }
-_PARTS = "WITH RECURSIVE reach AS (SELECT part_id, job_id FROM jobs WHERE part_id < 5 AND job_id < 600 UNION SELECT reach.part_id, edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id) "
-_NEEDS = "WITH RECURSIVE reach AS (SELECT job_id FROM jobs WHERE job_id % 701 = 5 UNION SELECT edges.needs AS job_id FROM reach JOIN edges ON edges.job_id = reach.job_id) "
+_PARTS = "WITH RECURSIVE reach AS (SELECT part_id, job_id FROM jobs UNION SELECT reach.part_id, edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id) "
+_NEEDS = "WITH RECURSIVE reach AS (SELECT job_id AS root_id, job_id FROM jobs UNION SELECT reach.root_id, edges.needs AS job_id FROM reach JOIN edges ON edges.job_id = reach.job_id) "
+_FOLLOW = "WITH RECURSIVE reach AS (SELECT edges.needs AS root_id, edges.job_id FROM edges JOIN jobs ON edges.needs = jobs.job_id UNION SELECT reach.root_id, edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id) "
 _TRACE = """WITH RECURSIVE links AS (SELECT concat('publication:', publication_id) AS src, concat('transcript:', transcript_id) AS dst FROM publications UNION ALL SELECT concat('transcript:', transcript_id), concat('text:', sha) FROM transcripts UNION ALL SELECT concat('transcript:', t.transcript_id), concat('audio:', a.audio_id) FROM transcripts AS t JOIN audio_links AS a ON t.part_id = a.part_id),
-  trace AS (SELECT publication_id, concat('publication:', publication_id) AS node, 0 AS depth FROM publications WHERE publication_id % 50 = 0 UNION SELECT trace.publication_id, links.dst, 1 FROM trace JOIN links ON links.src = trace.node) """
+  trace AS (SELECT publication_id, concat('publication:', publication_id) AS node, 0 AS depth FROM publications UNION SELECT trace.publication_id, links.dst, 1 FROM trace JOIN links ON links.src = trace.node) """
 ORACLES = {
     "G-01_blocked_by_cancelled": "WITH RECURSIVE reach AS (SELECT job_id FROM jobs WHERE status = 'cancelled' UNION SELECT edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id), deep AS (SELECT DISTINCT edges.job_id FROM reach JOIN edges ON edges.needs = reach.job_id) SELECT job_id FROM jobs WHERE status = 'queued' AND job_id IN (SELECT job_id FROM deep)",
     "G-02_reachable_parts": _PARTS + "SELECT job_id, part_id FROM reach",
     "G-03_downstream_state": _PARTS + "SELECT r.part_id, count(*) AS jobs_n, bool_or(j.status = 'queued') AS live, max(j.available) AS last_at FROM reach AS r JOIN jobs AS j ON r.job_id = j.job_id GROUP BY r.part_id",
     "A-23_lateness_clock": _PARTS + "SELECT r.part_id, max(j.available) AS last_at FROM reach AS r JOIN jobs AS j ON r.job_id = j.job_id GROUP BY r.part_id",
-    "G-06_dependency_closure": _NEEDS + "SELECT job_id FROM reach",
-    "U-03_recursive_union": _NEEDS + "SELECT job_id FROM reach WHERE job_id % 2 = 0",
-    "G-08_copy_groups": "WITH RECURSIVE r AS (SELECT object_id, target_id FROM replicas WHERE target_id % 10 = 0 AND object_id % 40 < 3), e AS (SELECT DISTINCT x.object_id AS a, y.object_id AS b FROM r AS x JOIN r AS y ON x.target_id = y.target_id), walk AS (SELECT a, b FROM e UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a) SELECT a AS object_id, min(b) AS component FROM walk GROUP BY a",
+    "G-06_dependency_closure": _NEEDS + "SELECT root_id, job_id FROM reach",
+    "U-03_recursive_union": _FOLLOW + "SELECT root_id, job_id FROM reach",
     "G-09_provenance": _TRACE + "SELECT DISTINCT publication_id, SHA[node] AS node_sha FROM trace WHERE depth = 1",
     "G-10_provenance_report": _TRACE + "SELECT publication_id, count(*) AS nodes, SHA[string_agg(node_sha, ',' ORDER BY node_sha)] AS root FROM (SELECT DISTINCT publication_id, SHA[node] AS node_sha FROM trace WHERE depth = 1) GROUP BY publication_id",
     "G-11_chain_retention": "WITH RECURSIVE kept AS (SELECT run_id FROM (SELECT run_id FROM runs ORDER BY started DESC, run_id DESC LIMIT 5) UNION SELECT run_id FROM runs WHERE started >= (SELECT max(started) - 86400 FROM runs)), chain AS (SELECT run_id FROM kept UNION SELECT run_id - 1 FROM chain WHERE run_id % 4 <> 0 AND run_id IN (SELECT run_id FROM runs)) SELECT run_id FROM runs WHERE run_id NOT IN (SELECT run_id FROM chain)",

@@ -21,6 +21,10 @@ _ALL_STATE = f"WITH {_NEWEST}, {_LOOKS}, {_HAS_TRANSCRIPT}, {_HAS_AUDIO}, {_STAT
 _PREFERRED = """preferred AS (SELECT * FROM (SELECT part_id, transcript_id, source_kind, language, version, sha,
   row_number() OVER (PARTITION BY part_id ORDER BY CASE source_kind WHEN 'subtitle-cc' THEN 0 WHEN 'subtitle-ai' THEN 1 ELSE 2 END,
   CASE WHEN language = 'zh' THEN 0 WHEN language = 'en' THEN 1 ELSE 2 END, language, version DESC, transcript_id DESC) AS nth FROM transcripts) AS p WHERE nth = 1)"""
+_PROJECTION = f"""{_PREFERRED}, pub AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY published DESC, publication_id DESC) AS nth FROM publications) AS w WHERE nth = 1),
+      projection AS (SELECT p.part_id, v.pubdate, pref.transcript_id AS preferred_id, pub.transcript_id AS published_id, coalesce(pub.transcript_id = pref.transcript_id, FALSE) AS publication_current,
+      CASE WHEN pub.part_id IS NOT NULL THEN 'archived' WHEN pref.source_kind = 'asr-local' THEN 'asr_done' WHEN pref.part_id IS NOT NULL THEN 'subtitle_done' ELSE 'meta_ok' END AS status
+      FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id LEFT JOIN preferred AS pref ON p.part_id = pref.part_id LEFT JOIN pub ON p.part_id = pub.part_id WHERE p.status <> 'gone')"""
 _RETRY = """CASE WHEN status <> 'failed' THEN 'not_failed' WHEN job_id % 41 = 0 THEN 'retry_hold' WHEN job_id % 59 = 0 THEN 'control_state_unknown' WHEN repaired > 0 THEN 'replacement_exists'
   WHEN error_code = 'invalid_input' THEN 'policy_denied' WHEN error_code = 'http_429' AND retries = 0 THEN 'manual_override_required' WHEN retries >= 4 THEN 'budget_exhausted' WHEN available > 1700000000 THEN 'backoff' ELSE 'eligible' END"""
 
@@ -41,10 +45,13 @@ STATEMENTS: dict[str, str] = {
     "S-14_metadata_codec": "SELECT event_id, JSON_TEXT[props; k] AS k_text, NUMBER[JSON_TEXT[props; k]] AS k, JSON_TEXT[props; absent] AS absent FROM events",
     "S-15_export_rows": "SELECT concat(p.video_code, ':p', p.page) AS work_id, coalesce(v.title, '') AS title, coalesce(DATE_TEXT[v.pubdate], '') AS published, coalesce(TEXT[p.duration_ms], '') AS duration FROM parts AS p LEFT JOIN videos AS v ON p.video_id = v.video_id WHERE p.status <> 'gone'",
     "S-16_srt_render": "SELECT transcript_id, JOINED[concat(ordinal + 1, chr(10), PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], ',', PADDED[start_ms % 1000; 3], chr(10), text, chr(10)); chr(10); ordinal] AS srt FROM segments WHERE start_ms >= 0 AND end_ms > start_ms GROUP BY transcript_id",
+    "S-16_vtt_render": """SELECT transcript_id, concat('WEBVTT', chr(10), chr(10), JOINED[concat(PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], '.', PADDED[start_ms % 1000; 3], ' --> ', PADDED[IDIV[end_ms; 3600000]; 2], ':', PADDED[IDIV[end_ms; 60000] % 60; 2], ':', PADDED[IDIV[end_ms; 1000] % 60; 2], '.', PADDED[end_ms % 1000; 3], chr(10),
+      replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)); chr(10); ordinal]) AS vtt FROM (SELECT *, max(end_ms) OVER (PARTITION BY transcript_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_end FROM segments) AS s WHERE start_ms >= 0 AND end_ms > start_ms AND start_ms >= coalesce(before_end, 0) GROUP BY transcript_id""",
     "S-17_time_format": "SELECT transcript_id, ordinal, concat(PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], '.', PADDED[start_ms % 1000; 3]) AS stamp FROM segments WHERE start_ms >= 0",
     "S-18_bundle_marker": "SELECT transcript_id, SHA[text] AS txt_sha, SHA[concat('---', chr(10), transcript_id, chr(10), text)] AS md_sha, length(text) AS chars FROM transcripts",
-    "S-19_public_catalog": """SELECT part_id, publication_id, published, sha, cast(row_number() OVER (ORDER BY published DESC, part_id) AS bigint) AS rank_no FROM
-      (SELECT p.part_id, p.publication_id, p.published, t.sha FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY published DESC, publication_id DESC) AS nth FROM publications) AS p JOIN transcripts AS t ON p.transcript_id = t.transcript_id WHERE nth = 1) AS q""",
+    "S-19_public_catalog": """WITH q AS (SELECT p.part_id, p.publication_id, p.published, t.sha, IDIV[p.published; 86400] AS day FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY published DESC, publication_id DESC) AS nth FROM publications) AS p JOIN transcripts AS t ON p.transcript_id = t.transcript_id WHERE nth = 1),
+      earlier AS (SELECT day, sum(n) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS n_before FROM (SELECT day, count(*) AS n FROM q GROUP BY day) AS g)
+      SELECT q.part_id, q.publication_id, q.published, q.sha, cast(e.n_before + row_number() OVER (PARTITION BY q.day ORDER BY q.published DESC, q.part_id) AS bigint) AS rank_no FROM q JOIN earlier AS e ON q.day = e.day""",
     "S-21_snapshot_delta": "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'removed' WHEN b.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT doc_id, SHA[text] AS sha FROM documents WHERE doc_id % 10 <> 3) AS a FULL JOIN (SELECT doc_id, SHA[CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END] AS sha FROM documents WHERE doc_id % 10 <> 4) AS b ON a.doc_id = b.doc_id WHERE a.sha IS DISTINCT FROM b.sha",
     # Predicates
     "F-01_null_safe": "SELECT a.seq, a.error_code IS NOT DISTINCT FROM b.error_code AS same_code FROM attempts AS a JOIN attempts AS b ON a.seq = b.seq + 1",
@@ -53,7 +60,7 @@ STATEMENTS: dict[str, str] = {
     "F-04_classification": "SELECT part_id, CASE WHEN status = 'gone' THEN 'blocked' WHEN duration_ms > 40000 THEN 'long' WHEN duration_ms > 20000 THEN 'medium' ELSE 'short' END AS bucket FROM parts",
     "F-05_half_open_window": "SELECT video_id, pubdate FROM videos WHERE pubdate >= 757382400 AND pubdate < 788918400",
     "F-06_window_overlap": "SELECT seq, job_id, started, finished FROM job_attempts WHERE (started < 1704200000 AND finished > 1704100000) OR (started = finished AND started >= 1704100000 AND started < 1704200000)",
-    "F-07_key_list": "SELECT p.part_id FROM parts AS p WHERE p.video_id IN (SELECT video_id FROM videos WHERE mid % 11 = 0) AND p.part_id NOT IN (SELECT part_id FROM audio_links WHERE part_id IS NOT NULL)",
+    "F-07_key_list": "SELECT p.part_id FROM parts AS p WHERE p.video_id IN (SELECT video_id FROM videos WHERE mid % 11 = 0) AND NOT EXISTS (SELECT 1 FROM audio_links AS a WHERE a.part_id = p.part_id)",
     "F-08_selection": "SELECT v.wanted, CASE WHEN p.part_id IS NULL THEN 'unknown' WHEN p.status = 'gone' THEN 'gone' ELSE 'selected' END AS class FROM (SELECT DISTINCT (event_id % 400) * 8 + 1 + event_id % 3 AS wanted FROM events) AS v LEFT JOIN parts AS p ON v.wanted = p.part_id",
     "F-09_multi_field": "SELECT job_id, kind, status FROM jobs WHERE kind IN ('asr', 'audio') AND status IN ('failed', 'queued') AND priority IN (1, 2) ORDER BY job_id LIMIT 200 OFFSET 50",
     "F-10_scope": "SELECT job_id FROM jobs WHERE created BETWEEN 757382400 AND 788918400 AND status IN ('succeeded', 'failed')",
@@ -94,7 +101,7 @@ STATEMENTS: dict[str, str] = {
     "A-12_percentiles": "SELECT kind, PERCENTILE[cast(finished - started AS double); 0.5] AS p50, PERCENTILE[cast(finished - started AS double); 0.95] AS p95 FROM job_attempts GROUP BY kind",
     "A-13_throughput": """WITH span AS (SELECT min(started) + 86400 AS a, max(finished) - 86400 AS b FROM job_attempts), w AS (SELECT j.*, span.a, span.b, row_number() OVER (PARTITION BY job_id ORDER BY started, seq) > 1 AS again FROM job_attempts AS j CROSS JOIN span WHERE j.started < span.b AND j.finished > span.a),
       good AS (SELECT kind, digest, audio_ms FROM w WHERE outcome = 'succeeded' AND digest IS NOT NULL AND finished < b AND started >= a), clash AS (SELECT digest FROM good GROUP BY digest HAVING min(audio_ms) <> max(audio_ms)),
-      heard AS (SELECT kind, SUM_INT[audio_ms] AS audio_ms FROM (SELECT DISTINCT kind, digest, audio_ms FROM good WHERE digest NOT IN (SELECT digest FROM clash)) AS d GROUP BY kind)
+      heard AS (SELECT kind, SUM_INT[audio_ms] AS audio_ms FROM (SELECT DISTINCT kind, digest, audio_ms FROM good AS g WHERE NOT EXISTS (SELECT 1 FROM clash WHERE clash.digest = g.digest)) AS d GROUP BY kind)
       SELECT w.kind, count(*) AS tries, COUNT_IF[w.outcome = 'failed'] AS failed, COUNT_IF[w.again] AS retries, SUM_INT[least(w.finished, w.b) - greatest(w.started, w.a)] AS wall_s, max(heard.audio_ms) AS unique_audio_ms, COUNT_IF[w.outcome = 'succeeded' AND w.digest IS NULL] AS unknown_n FROM w LEFT JOIN heard ON w.kind = heard.kind GROUP BY w.kind""",
     "A-14_window_outcomes": "SELECT outcome, count(*) AS n FROM job_attempts WHERE started < 1704800000 AND finished >= 1704100000 GROUP BY outcome",
     "A-15_low_scores": "SELECT part_id, count(*) AS n, avg(score) AS mean_score, COUNT_IF[score < 0.4] AS low_n, coalesce(JOINED[CASE WHEN score < 0.4 THEN TEXT[assessment_id] END; ','; assessment_id], '') AS low_ids FROM assessments GROUP BY part_id",
@@ -118,12 +125,17 @@ STATEMENTS: dict[str, str] = {
     "W-09_caption_ranking": "SELECT transcript_id, part_id, cast(row_number() OVER (PARTITION BY part_id ORDER BY CASE language WHEN 'de' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, CASE source_kind WHEN 'subtitle-cc' THEN 0 ELSE 1 END, transcript_id) AS bigint) AS rank_no FROM transcripts WHERE source_kind <> 'asr-local'",
     "W-10_rights_event": "SELECT part_id, seq, kind FROM (SELECT part_id, seq, kind, row_number() OVER (PARTITION BY part_id, CASE WHEN k % 4 = 0 THEN NULL ELSE k % 2 END ORDER BY CASE WHEN kind = 'hold' THEN 0 ELSE 1 END, seen_at DESC, seq DESC) AS nth FROM rights) AS w WHERE nth = 1",
     # Graph queries without recursion
-    "G-04_ready_jobs": "SELECT job_id, cast(row_number() OVER (ORDER BY priority DESC, created, job_id) AS bigint) AS rank_no FROM jobs WHERE status = 'queued' AND job_id NOT IN (SELECT edges.job_id FROM edges JOIN jobs AS p ON edges.needs = p.job_id WHERE p.status <> 'succeeded')",
+    "G-04_ready_jobs": """WITH ready AS (SELECT j.job_id, j.priority, j.created FROM jobs AS j WHERE j.status = 'queued' AND j.available <= 1700000000 AND NOT EXISTS (SELECT 1 FROM edges JOIN jobs AS p ON edges.needs = p.job_id WHERE p.status <> 'succeeded' AND edges.job_id = j.job_id)),
+      earlier AS (SELECT priority, created, sum(n) OVER (ORDER BY priority DESC, created ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS n_before FROM (SELECT priority, created, count(*) AS n FROM ready GROUP BY priority, created) AS g)
+      SELECT r.job_id, cast(e.n_before + row_number() OVER (PARTITION BY r.priority, r.created ORDER BY r.job_id) AS bigint) AS rank_no FROM ready AS r JOIN earlier AS e ON r.priority = e.priority AND r.created = e.created""",
     "G-05_explain_jobs": "SELECT j.job_id, j.status, coalesce(e.needs, '') AS needs, coalesce(e.blockers, '') AS blockers, a.last_outcome FROM jobs AS j LEFT JOIN (SELECT edges.job_id, JOINED[TEXT[edges.needs]; ','; edges.needs] AS needs, JOINED[CASE WHEN p.status <> 'succeeded' THEN TEXT[edges.needs] END; ','; edges.needs] AS blockers FROM edges JOIN jobs AS p ON edges.needs = p.job_id GROUP BY edges.job_id) AS e ON j.job_id = e.job_id LEFT JOIN (SELECT job_id, max_by(outcome, seq) AS last_outcome FROM job_attempts GROUP BY job_id) AS a ON j.job_id = a.job_id",
     "G-12_planning_graph": "SELECT p.part_id, k.kind, concat(k.kind, ':', p.part_id) AS dedupe_key, CASE k.kind WHEN 'asr' THEN concat('audio:', p.part_id) WHEN 'proofread' THEN concat('asr:', p.part_id) WHEN 'render' THEN concat('proofread:', p.part_id) END AS needs FROM parts AS p CROSS JOIN (SELECT 'subtitle' AS kind UNION ALL SELECT 'audio' UNION ALL SELECT 'asr' UNION ALL SELECT 'proofread' UNION ALL SELECT 'render') AS k WHERE p.status <> 'gone'",
     # Orders and limits
     "L-01_work_order": "SELECT part_id, rank_no FROM (SELECT p.part_id, cast(row_number() OVER (ORDER BY CASE WHEN a.last_at IS NULL THEN 0 ELSE 1 END, a.last_at NULLS FIRST, p.video_code, p.page) AS bigint) AS rank_no FROM parts AS p LEFT JOIN (SELECT part_id, max(finished) AS last_at FROM attempts GROUP BY part_id) AS a ON p.part_id = a.part_id WHERE p.status <> 'gone') AS w WHERE rank_no <= 1000",
-    "L-02_queue_order": "SELECT p.part_id, cast(row_number() OVER (ORDER BY v.pubdate DESC, p.video_code, p.page) AS bigint) AS rank_no FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id",
+    # A rank over all rows: rows before the day, counted by day, and the place within it; no window holds the table.
+    "L-02_queue_order": """WITH q AS (SELECT p.part_id, p.video_code, p.page, v.pubdate FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id),
+      earlier AS (SELECT pubdate, sum(n) OVER (ORDER BY pubdate DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS n_before FROM (SELECT pubdate, count(*) AS n FROM q GROUP BY pubdate) AS g)
+      SELECT q.part_id, cast(e.n_before + row_number() OVER (PARTITION BY q.pubdate ORDER BY q.video_code, q.page) AS bigint) AS rank_no FROM q JOIN earlier AS e ON q.pubdate = e.pubdate""",
     "L-03_limit_by_part": "SELECT t.part_id, t.transcript_id FROM transcripts AS t JOIN (SELECT DISTINCT part_id FROM transcripts ORDER BY part_id LIMIT 50) AS p ON t.part_id = p.part_id",
     "L-04_truncation": "SELECT count(*) > 100 AS truncated, least(count(*), 100) AS kept FROM (SELECT seq FROM attempts WHERE outcome = 'failed' ORDER BY seq LIMIT 101) AS a",
     "L-05_page_with_total": "SELECT f.job_id, t.total FROM (SELECT job_id FROM jobs WHERE status = 'failed' ORDER BY job_id LIMIT 20 OFFSET 40) AS f CROSS JOIN (SELECT count(*) AS total FROM jobs WHERE status = 'failed') AS t",
@@ -144,14 +156,16 @@ STATEMENTS: dict[str, str] = {
     "Q-04_missing_transcript": f"WITH {_HAS_TRANSCRIPT}, {_HAS_AUDIO} SELECT p.part_id, p.status FROM parts AS p WHERE EXISTS (SELECT 1 FROM sound WHERE sound.part_id = p.part_id) AND NOT EXISTS (SELECT 1 FROM held WHERE held.part_id = p.part_id)",
     "Q-05_pipeline_state": f"{_ALL_STATE} SELECT part_id, pipeline_state FROM state",
     "Q-06_provider_queue": f"{_ALL_STATE} SELECT 'a' AS provider, part_id FROM state WHERE pipeline_state = 'audio_pending' AND status <> 'gone' UNION ALL SELECT 'b' AS provider, part_id FROM parts WHERE status = 'discovered' AND part_id % 2 = 0",
-    "Q-07_projection": f"""WITH {_PREFERRED}, pub AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY published DESC, publication_id DESC) AS nth FROM publications) AS w WHERE nth = 1)
-      SELECT p.part_id, v.pubdate, pref.transcript_id AS preferred_id, pub.transcript_id AS published_id, coalesce(pub.transcript_id = pref.transcript_id, FALSE) AS publication_current,
-      CASE WHEN pub.part_id IS NOT NULL THEN 'archived' WHEN pref.source_kind = 'asr-local' THEN 'asr_done' WHEN pref.part_id IS NOT NULL THEN 'subtitle_done' ELSE 'meta_ok' END AS status
-      FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id LEFT JOIN preferred AS pref ON p.part_id = pref.part_id LEFT JOIN pub ON p.part_id = pub.part_id WHERE p.status <> 'gone'""",
-    "Q-08_coverage_report": f"WITH {_PREFERRED} SELECT p.status, count(*) AS works, count(pref.part_id) AS with_text FROM parts AS p LEFT JOIN preferred AS pref ON p.part_id = pref.part_id GROUP BY p.status",
-    "Q-09_integrity_report": f"WITH {_PREFERRED} SELECT pref.source_kind, count(*) AS n, COUNT_IF[p.part_id IS NULL] AS orphan FROM preferred AS pref LEFT JOIN parts AS p ON pref.part_id = p.part_id GROUP BY pref.source_kind",
+    "Q-07_projection": f"WITH {_PROJECTION} SELECT part_id, pubdate, preferred_id, published_id, publication_current, status FROM projection",
+    "Q-08_coverage_report": f"WITH {_PROJECTION} SELECT status, count(*) AS works, count(preferred_id) AS with_text, count(published_id) AS published_n, COUNT_IF[publication_current] AS current_n, COUNT_IF[published_id IS NOT NULL AND NOT publication_current] AS stale_n FROM projection GROUP BY status",
+    "Q-09_integrity_report": f"""WITH {_PROJECTION} SELECT defect, count(*) AS n, min(part_id) AS first_part FROM (SELECT part_id, CASE WHEN published_id IS NOT NULL AND preferred_id IS NULL THEN 'published_without_transcript' WHEN published_id IS NOT NULL AND NOT publication_current THEN 'stale_publication' WHEN status = 'meta_ok' AND pubdate IS NULL THEN 'undated' END AS defect FROM projection
+      UNION ALL SELECT t.part_id, 'orphan_transcript' AS defect FROM transcripts AS t WHERE NOT EXISTS (SELECT 1 FROM parts AS p WHERE p.part_id = t.part_id)
+      UNION ALL SELECT p.part_id, 'broken_publication' AS defect FROM publications AS p WHERE NOT EXISTS (SELECT 1 FROM transcripts AS t WHERE t.transcript_id = p.transcript_id)) AS d WHERE defect IS NOT NULL GROUP BY defect""",
     "Q-10_export": f"WITH {_PREFERRED} SELECT concat(p.video_code, ':p', p.page) AS work_id, REPLACED[v.title; '[0-9]{{4,}}'; '#'] AS title, pref.sha FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id JOIN preferred AS pref ON p.part_id = pref.part_id ORDER BY p.video_code, p.page LIMIT 1000",
-    "Q-11_workflow_status": f"SELECT decision, kind, count(*) AS n FROM (SELECT kind, {_RETRY} AS decision FROM (SELECT j.*, coalesce(r.n, 0) AS repaired FROM jobs AS j LEFT JOIN (SELECT repair_of, count(*) AS n FROM jobs WHERE repair_of IS NOT NULL GROUP BY repair_of) AS r ON j.job_id = r.repair_of) AS q) AS d GROUP BY decision, kind",
+    "Q-11_workflow_status": f"""SELECT 'jobs' AS part, kind, status AS name, count(*) AS n, max(available) AS last_at FROM jobs GROUP BY kind, status
+      UNION ALL SELECT 'decisions' AS part, kind, decision AS name, count(*) AS n, max(available) AS last_at FROM (SELECT kind, available, {_RETRY} AS decision FROM (SELECT j.*, coalesce(r.n, 0) AS repaired FROM jobs AS j LEFT JOIN (SELECT repair_of, count(*) AS n FROM jobs WHERE repair_of IS NOT NULL GROUP BY repair_of) AS r ON j.job_id = r.repair_of) AS q) AS d GROUP BY kind, decision
+      UNION ALL SELECT 'current_failures' AS part, kind, error_code AS name, count(*) AS n, max(available) AS last_at FROM jobs WHERE status = 'failed' GROUP BY kind, error_code
+      UNION ALL SELECT 'past_failures' AS part, kind, error_code AS name, count(*) AS n, max(finished) AS last_at FROM job_attempts WHERE outcome = 'failed' GROUP BY kind, error_code""",
     "Q-12_metadata_search": """WITH t AS (SELECT video_id, JOINED[tag_name; chr(10); place, tag_name] AS tag_text FROM tags GROUP BY video_id), m AS (SELECT v.video_id, v.pubdate, v.video_code, instr(ASCII_LOWER[v.title], 'high') > 0 AS in_title, instr(ASCII_LOWER[coalesce(t.tag_text, '')], 'brand#2') > 0 AS in_tags FROM videos AS v LEFT JOIN t ON v.video_id = t.video_id)
       SELECT m.video_id, p.part_id, CASE WHEN in_title THEN 0 ELSE 1 END AS field_rank, concat(CASE WHEN in_title THEN 'title,' ELSE '' END, CASE WHEN in_tags THEN 'tags' ELSE '' END) AS matched_fields FROM m JOIN parts AS p ON m.video_id = p.video_id WHERE in_title OR in_tags""",
     "Q-14_combined_search": "SELECT source, id, cast(row_number() OVER (ORDER BY source, id) AS bigint) AS rank_no FROM (SELECT source, id FROM (SELECT 0 AS source, video_id AS id FROM videos WHERE instr(ASCII_LOWER[title], 'urgent') > 0 UNION ALL SELECT 1 AS source, doc_id AS id FROM documents WHERE instr(ASCII_LOWER[text], 'license') > 0) AS u ORDER BY source, id LIMIT 200) AS q",
@@ -162,8 +176,7 @@ STATEMENTS: dict[str, str] = {
     "Q-19_inventory": "SELECT object_id, count(*) AS copies, COUNT_IF[presence = 'present'] AS present_n, max(byte_size) AS byte_size, CASE WHEN COUNT_IF[presence = 'present'] > 1 THEN max(byte_size) * (COUNT_IF[presence = 'present'] - 1) ELSE 0 END AS reclaimable FROM replicas GROUP BY object_id",
     "Q-20_publication_state": "SELECT part_id, count(*) AS releases, max(publication_id) AS head, min(published) AS first_at, max(published) AS last_at FROM publications GROUP BY part_id",
     "Q-21_series": "SELECT c.mid, JOINED[v.video_code; ','; v.pubdate, v.video_code] AS members FROM creators AS c JOIN videos AS v ON c.mid = v.mid GROUP BY c.mid",
-    "Q-22_audio_reconciliation": "SELECT coalesce(l.audio_id, o.object_id) AS audio_id, CASE WHEN o.object_id IS NULL THEN 'missing' WHEN l.audio_id IS NULL THEN 'unrecorded' WHEN o.presence = 'missing' THEN 'unreadable' ELSE 'recorded' END AS class FROM (SELECT DISTINCT audio_id FROM audio_links) AS l FULL JOIN (SELECT object_id, min(presence) AS presence FROM replicas WHERE object_id < 60 GROUP BY object_id) AS o ON l.audio_id = o.object_id",
-    "Q-22_audio_reconciliation_all": "SELECT coalesce(l.audio_id, o.object_id) AS audio_id, CASE WHEN o.object_id IS NULL THEN 'missing' WHEN l.audio_id IS NULL THEN 'unrecorded' WHEN o.presence = 'missing' THEN 'unreadable' ELSE 'recorded' END AS class FROM (SELECT DISTINCT audio_id FROM audio_links) AS l FULL JOIN (SELECT object_id, min(presence) AS presence FROM replicas GROUP BY object_id) AS o ON l.audio_id = o.object_id",
+    "Q-22_audio_reconciliation": "SELECT coalesce(l.audio_id, o.object_id) AS audio_id, CASE WHEN o.object_id IS NULL THEN 'missing' WHEN l.audio_id IS NULL THEN 'unrecorded' WHEN o.presence = 'missing' THEN 'unreadable' ELSE 'recorded' END AS class FROM (SELECT DISTINCT audio_id FROM audio_links) AS l FULL JOIN (SELECT object_id, min(presence) AS presence FROM replicas GROUP BY object_id) AS o ON l.audio_id = o.object_id",
     # Scalars and text
     "T-01_parse_time": "SELECT page_id, NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 1]] * 3600000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 2]] * 60000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 3]] * 1000 + NUMBER[rpad(GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 4], 3, '0')] AS ms FROM (SELECT page_id, concat(page_id % 5, ':', PADDED[page_id % 60; 2], ':', PADDED[page_id * 7 % 60; 2], CASE WHEN page_id % 2 = 0 THEN ',' ELSE '.' END, page_id % 97) AS stamp FROM pages) AS p",
     "T-02_timeline_defects": """SELECT transcript_id, max(CASE WHEN start_ms < 0 OR end_ms <= start_ms OR end_ms > duration_ms + 1 THEN 1 ELSE 0 END) AS out_of_range, max(CASE WHEN start_ms < before_start THEN 1 ELSE 0 END) AS non_monotonic, max(CASE WHEN start_ms < before_end THEN 1 ELSE 0 END) AS overlap
@@ -189,9 +202,8 @@ STATEMENTS: dict[str, str] = {
     "T-29_hotwords": "SELECT h.term, count(*) AS evidence_n FROM (SELECT 'license' AS term UNION ALL SELECT 'apache' UNION ALL SELECT 'idiot' UNION ALL SELECT 'absent-term') AS h JOIN documents AS d ON instr(lower(d.text), h.term) > 0 GROUP BY h.term",
     "T-30_bundle_identity": "SELECT page_id, GROUP_OF[url; '/([a-z]{2})/'; 1] AS section, GROUP_OF[url; '/([a-z]{2})/'; 1] = GROUP_OF[html; '<html lang=\"([a-z]{2})\"'; 1] AS agrees FROM pages",
     "T-31_usage": "SELECT event_id, coalesce(NUMBER[JSON_TEXT[props; tokens]], NUMBER[JSON_TEXT[props; k]], 0) AS tokens FROM events",
-    "X-01_redact_text": "SELECT doc_id, REPLACED[REPLACED[text; 'https?://[^\\s]+'; '[url]']; '(?i)(password|passwd|secret|token|api_?key)[\"'']?\\s*[:=]\\s*[\"'']?[A-Za-z0-9+/_.=-]+'; '[credential]'] AS clean FROM documents",
+    "X-01_redact_text": "SELECT doc_id, REPLACED[REPLACED[text; 'https?://[^\\s]+'; '[url]']; '(?i)(password|passwd|secret|token|api_?key)[\"\\x27]?\\s*[:=]\\s*[\"\\x27]?[A-Za-z0-9+/_.=-]+'; '[credential]'] AS clean FROM documents",
     "X-02_redact_export": "SELECT page_id, REPLACED[url; '[?&]utm_[a-z]+=[^&#]*'; ''] AS clean FROM pages",
-    "X-04_drop_keys": "SELECT column_name FROM (SELECT 'title' AS column_name UNION ALL SELECT 'api_token' UNION ALL SELECT 'cookie' UNION ALL SELECT 'secret_key' UNION ALL SELECT 'page') AS c WHERE NOT MATCHES[column_name; 'token|cookie|secret|password']",
     # State
     "M-01_upsert": "SELECT coalesce(n.video_id, v.video_id) AS video_id, coalesce(n.title, v.title) AS title, greatest(coalesce(n.seen_at, 0), v.pubdate) AS updated FROM videos AS v FULL JOIN (SELECT video_id, max_by(title, seq) AS title, max(seen_at) AS seen_at FROM observations WHERE title IS NOT NULL GROUP BY video_id) AS n ON v.video_id = n.video_id",
     "M-02_insert_absent": "SELECT dedupe_key FROM (SELECT concat(kind, ':', part_id) AS dedupe_key FROM jobs WHERE job_id % 2 = 1) AS n EXCEPT SELECT concat(kind, ':', part_id) AS dedupe_key FROM jobs WHERE job_id % 2 = 0",
@@ -200,7 +212,8 @@ STATEMENTS: dict[str, str] = {
     "M-06_observation_fold": "SELECT n.video_id, f.title, n.newest_state FROM (SELECT video_id, max_by(state, seq) AS newest_state FROM observations GROUP BY video_id) AS n LEFT JOIN (SELECT video_id, title FROM (SELECT video_id, title, row_number() OVER (PARTITION BY video_id ORDER BY seq DESC) AS nth FROM observations WHERE state IN ('present', 'empty')) AS w WHERE nth = 1) AS f ON n.video_id = f.video_id",
     "M-07_transitions": "SELECT seq, part_id, before_kind, kind, NOT (before_kind IS NULL OR concat(before_kind, '>', kind) IN ('granted>revoked', 'granted>hold', 'hold>released', 'released>granted', 'revoked>granted')) AS violation FROM (SELECT seq, part_id, kind, lag(kind) OVER (PARTITION BY part_id ORDER BY seen_at, seq) AS before_kind FROM rights) AS r",
     "M-08_resume_cursor": "SELECT a.run_id, a.ids IS NOT DISTINCT FROM b.ids AS same FROM (SELECT run_id, JOINED[TEXT[part_id]; ','; seq] AS ids FROM attempts GROUP BY run_id) AS a LEFT JOIN (SELECT run_id, JOINED[TEXT[part_id]; ','; seq] AS ids FROM attempts WHERE seq % 101 <> 0 GROUP BY run_id) AS b ON a.run_id = b.run_id",
-    "M-09_index_append": "SELECT transcript_id, ordinal FROM segments WHERE transcript_id <= 150 EXCEPT SELECT transcript_id, ordinal FROM segments WHERE transcript_id <= 100 AND ordinal % 2 = 0",
+    # The index holds what was committed up to a high-water mark, and of that only segments that have not changed since.
+    "M-09_index_append": "SELECT s.transcript_id, s.ordinal FROM segments AS s LEFT JOIN (SELECT transcript_id, ordinal FROM segments WHERE transcript_id <= (SELECT IDIV[max(doc_id); 2] FROM documents) AND ordinal % 2 = 0) AS held ON s.transcript_id = held.transcript_id AND s.ordinal = held.ordinal WHERE held.transcript_id IS NULL",
     "M-10_cancellation": "SELECT job_id, CASE WHEN status IN ('queued', 'failed') AND part_id % 9 = 0 THEN 'cancelled' ELSE status END AS status FROM jobs",
     "M-11_run_books": "SELECT runs.run_id, runs.kind, count(a.seq) AS tries, COUNT_IF[a.outcome = 'failed'] AS failed FROM runs LEFT JOIN attempts AS a ON runs.run_id = a.run_id GROUP BY runs.run_id, runs.kind",
     "M-04_lease_decision": "SELECT job_id, CASE WHEN available < 800000000 THEN 'expire' WHEN status = 'queued' THEN 'claim' ELSE 'skip' END AS lease FROM jobs",
@@ -222,7 +235,7 @@ STATEMENTS: dict[str, str] = {
     "V-07_progress": "SELECT run_id, n, coalesce(n > before_n, TRUE) AS progressed FROM (SELECT run_id, n, lag(n) OVER (ORDER BY run_id) AS before_n FROM (SELECT run_id, count(DISTINCT part_id) AS n FROM attempts GROUP BY run_id) AS c) AS w",
     "V-08_observation_closure": "SELECT o.seq FROM observations AS o WHERE o.video_id IN (SELECT video_id FROM videos WHERE mid % 3 = 0)",
     "V-09_retry_guard": f"SELECT kind, decision, count(*) AS n FROM (SELECT kind, CASE WHEN kind NOT IN ('asr', 'audio') THEN 'not_allowed' ELSE {_RETRY} END AS decision FROM (SELECT j.*, 0 AS repaired FROM jobs AS j) AS q) AS d GROUP BY kind, decision",
-    "V-10_package_retention": "SELECT run_id, nth <= 10 OR started >= (SELECT max(started) FROM runs) - 86400 AS kept FROM (SELECT run_id, started, row_number() OVER (ORDER BY started DESC, run_id DESC) AS nth FROM runs) AS r",
+    "V-10_package_retention": "SELECT r.run_id, n.run_id IS NOT NULL OR r.started >= (SELECT max(started) FROM runs) - 86400 AS kept FROM runs AS r LEFT JOIN (SELECT run_id FROM runs ORDER BY started DESC, run_id DESC LIMIT 10) AS n ON r.run_id = n.run_id",
     "V-11_increasing_time": "SELECT part_id, greatest(1704067200, max(published) + 1) AS next_at FROM publications GROUP BY part_id",
     "V-13_nested_values": "SELECT v.video_id, count(p.part_id) AS part_n, JOINED[CASE WHEN p.part_id IS NOT NULL THEN concat(p.page, ':', p.duration_ms) END; ','; p.page] AS part_text FROM videos AS v LEFT JOIN parts AS p ON v.video_id = p.video_id GROUP BY v.video_id",
     "V-14_binding_check": "SELECT p.publication_id, t.sha IS DISTINCT FROM q.sha AS differs FROM publications AS p JOIN transcripts AS t ON p.transcript_id = t.transcript_id LEFT JOIN (SELECT part_id, max_by(sha, transcript_id) AS sha FROM transcripts GROUP BY part_id) AS q ON p.part_id = q.part_id",
@@ -234,7 +247,6 @@ STATEMENTS: dict[str, str] = {
     "V-18_chain_recovery": "SELECT j.job_id, SHA[concat(j.job_id, ':', coalesce(TEXT[r.job_id], ''), ':', j.status)] AS plan_id, r.job_id IS NULL AS missing_base FROM jobs AS j LEFT JOIN jobs AS r ON j.repair_of = r.job_id WHERE j.repair_of IS NOT NULL",
     "V-19_sample_evidence": "SELECT t.sha, count(*) AS requests, count(p.publication_id) AS answered, count(DISTINCT t.part_id) AS part_n FROM transcripts AS t LEFT JOIN publications AS p ON t.transcript_id = p.transcript_id GROUP BY t.sha",
     "S-20_coverage_sink": f"{_ALL_STATE} SELECT concat(pipeline_state, ',', TEXT[count(*)]) AS csv_line FROM state GROUP BY pipeline_state",
-    "M-12_migration_ledger": "SELECT a.transcript_id, a.sha = b.sha AS same FROM transcripts AS a JOIN (SELECT doc_id, SHA[text] AS sha FROM documents) AS b ON a.transcript_id = b.doc_id",
     "ST-07_session_blocks": """SELECT conv_id, cast(session AS bigint) AS session_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS turn_n FROM (SELECT *, sum(CASE WHEN start_ms - before_end > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
       FROM (SELECT conv_id, turn, start_ms, end_ms, lag(end_ms) OVER (PARTITION BY conv_id ORDER BY turn) AS before_end FROM turns) AS w) AS g GROUP BY conv_id, session""",
     "X-03_links_in_texts": "SELECT doc_id, REPLACED[text; 'https?://[^\\s/@]+@[^\\s]+|https?://[^\\s]*[?&](token|sig|key|auth)=[^\\s]*'; '[redacted]'] AS clean FROM documents",

@@ -68,6 +68,8 @@ def _expand(sql: str, engine: int) -> str:
     out, at = [], 0
     while m := _CALL.search(sql, at):
         arguments, end = _arguments(sql, m.end())
+        if m[1] in ("MATCHES", "GROUP_OF", "REPLACED") and "''" in arguments[1]:
+            raise ValueError(f"a quote in a pattern is written \\x27: {arguments[1]}")
         out += [sql[at : m.start()], MACROS[m[1]][engine].format(*[_expand(a, engine) for a in arguments])]
         at = end
     return "".join([*out, sql[at:]])

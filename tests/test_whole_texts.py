@@ -65,12 +65,12 @@ def test_agreement_of_whole_turns(spark, folder):
 def test_edits_of_whole_turns(spark, folder):
     got = {r["conv_id"]: (r["substitutions"], r["deletions"], r["insertions"]) for r in rows_of(spark, folder, "T-22_error_counts")}
     assert got == {1: edits_by_table(A, B), 2: (0, 1, 0)}
-    assert {r["conv_id"]: r["edits"] for r in rows_of(spark, folder, "T-22_error_totals_whole")} == {k: sum(v) for k, v in got.items()}
+    assert {r["conv_id"]: r["edits"] for r in rows_of(spark, folder, "T-22_error_totals")} == {k: sum(v) for k, v in got.items()}
 
 
 def test_bigrams_of_whole_turns(spark, folder):
     dense = re.sub(r"\s+", "", A)
-    got = {(r["conv_id"], r["turn"]): r["bigrams"] for r in rows_of(spark, folder, "T-15_bigram_stream_whole")}
+    got = {(r["conv_id"], r["turn"]): r["bigrams"] for r in rows_of(spark, folder, "T-15_bigram_stream")}
     assert got[1, 0] == "|".join(dense[k : k + 2] for k in range(len(dense) - 1))
 
 
