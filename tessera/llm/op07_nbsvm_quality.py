@@ -29,7 +29,7 @@ from .scratch import table
 from .wordhash import Words, chunks, mix
 
 #: Labelled documents that are learned from, at most, and bytes of their texts.
-TRAIN_ROWS, TRAIN_BYTES = 8192, 64 << 20
+TRAIN_ROWS, TRAIN_BYTES = 8192, 16 << 20
 #: Buckets of the n-gram hash: words below, shapes above the half.
 BUCKETS = 1 << 18
 #: Count smoothing, cost of a hinge violation, passes over the rows, share of the fitted weights against their mean.
@@ -103,7 +103,7 @@ class Model:
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, passes: int, size: int, seed: int = 0) -> np.ndarray:
     """Weights of the L1-loss linear support vector machine, with a bias as the last weight."""
     w, alpha, rng = np.zeros(size + 1), np.zeros(len(y)), np.random.default_rng(seed)
-    diagonal = np.array([v @ v for v in values]) + 1
+    diagonal = np.array([float(v @ v) for v in values]) + 1
     for _ in range(passes):
         worst = 0.0
         for i in rng.permutation(len(y)):
@@ -129,16 +129,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     if not n0 or not n1:
         rate = (n1 + 1) / (len(labels) + 2)
         return Model(flat, flat, 0.0, 0.0, float(np.log(rate / (1 - rate))))
-    counts = [ALPHA + np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == k] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for k in (0, 1)]
+    counts = np.full((2, BUCKETS), ALPHA)
+    for r, y in zip(rows, labels, strict=True):  # a row's buckets are distinct
+        counts[int(y), r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [ratio[r] / max(np.linalg.norm(ratio[r]), 1e-12) for r in rows]
+    values = [(ratio[r] / max(np.linalg.norm(ratio[r]), 1e-12)).astype(np.float32) for r in rows]
     y = np.where(labels == 1, 1.0, -1.0)
     cost = COST * len(y) / 2 / np.where(labels == 1, n1, n0)  # both classes weigh alike
     w = dual_coordinate_descent(rows, values, y, cost, PASSES, BUCKETS)
     mean = np.abs(w[:-1]).mean()
     value = ratio * (SHARE * w[:-1] + (1 - SHARE) * mean)
     model = Model(value, ratio**2, SHARE * w[-1], 1.0, 0.0)
-    m = model.margins(np.concatenate(rows), np.array([len(r) for r in rows]))
+    m = np.array([model.margins(r, np.array([len(r)]))[0] for r in rows])
     # Logistic curve by Newton's method, on smoothed targets.
     target, a, b = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), 1.0, 0.0
     for _ in range(50):
@@ -181,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     texts = keyed.join(F.broadcast(chosen), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
     found = texts.select("y", "text").mapInArrow(extract, "y int, buckets binary").toArrow()
     order = sorted(zip(found.column("buckets").to_pylist(), found.column("y").to_pylist(), strict=True))
-    return fit([np.frombuffer(b, np.uint32).astype(np.int64) for b, _ in order], np.array([y for _, y in order], np.int64))
+    del found
+    return fit([np.frombuffer(b, np.uint32) for b, _ in order], np.array([y for _, y in order], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
