@@ -533,19 +533,23 @@ def similarity_classes(s: Scratch, docs: DataFrame, width: int = WIDTH, num: int
     family = s.table(family.unionByName(family.select(F.col("label").alias("sid"), "label").distinct()).distinct(), "family")
     family = s.table(family.join(family.groupBy("label").agg(F.count("*").alias("size")), "label"), "families")
 
-    # Guests: in lists with several families, by pairs of shards where a list is long.
-    named = lists.join(family.hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
-    several = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / LIMIT).cast("int").alias("k")).where("low <> high").select("token", "k")
-    named = named.join(several, "token").join(bins, "sid").withColumn("mine", F.pmod(F.xxhash64("sid", "token"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # Guests: in lists with several families; a long one is compared by pairs of shards, or not at all where all its sets are of one family.
+    named = lists.join(family.join(bins, "sid", "right").hint("merge"), "sid").withColumn("label", F.coalesce("label", "sid")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    named = s.table(named.select("token", "n", "pos", "sid", "bins", "label", "size"), "named_lists")
+    several = named.join(long_, "token").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).select("token", (F.col("low") != F.col("high")).alias("apart"))
+    several = s.table(long_.join(several, "token"), "several")
+    named = named.join(several, "token", "left").where("k IS NULL OR apart").withColumn("k", F.coalesce("k", F.lit(1)))
+    named = named.withColumn("mine", F.pmod(F.xxhash64("sid", "token"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     shard = F.least("mine", "with").cast("long") * F.col("k") + F.greatest("mine", "with")
     named = named.withColumn("shard", shard).select(columns)
     guests = named.repartition("token", "shard").sortWithinPartitions(*order).mapInArrow(_candidates(True, num, den), "sid long, label long").distinct()
     guests = s.table(guests, "guests")
+    s.drop("named_lists")
 
     members = family.select("sid", "label", F.lit(False).alias("guest"))
     alone = guests.select(F.col("label").alias("sid")).distinct().join(family, "sid", "left_anti").select("sid", F.col("sid").alias("label"), F.lit(False).alias("guest"))
     visits = members.unionByName(alone).unionByName(guests.select("sid", "label", F.lit(True).alias("guest")))
-    visits = visits.join(sets.select("sid", "doc_id", "tag", "tag2", "mult", "again"), "sid")
+    visits = visits.join(sets.select("sid", "doc_id", "tag", "tag2", "mult", "again").hint("merge"), "sid")
     answers = _family_answers(s, rows, visits, width, num, den)
 
     label = components(s, answers.where("to IS NOT NULL").select(F.col("sid").alias("a"), F.col("to").alias("b")), "class").withColumnRenamed("node", "sid")
@@ -554,7 +558,7 @@ def similarity_classes(s: Scratch, docs: DataFrame, width: int = WIDTH, num: int
     least = named.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id"))), F.min("doc_id")).alias("component"))
     named = named.join(least, "label").select("ka", "kb", "label", "component", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
     named = s.table(named, "named", keep=True)
-    out = facts.where("block IS NULL").join(named, ["ka", "kb"], "left")
+    out = facts.where("block IS NULL").join(named.hint("merge"), ["ka", "kb"], "left")
     return out.select("doc_id", "tag", "tag2", "n", "label", F.coalesce("component", "doc_id").alias("component"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
