@@ -149,7 +149,7 @@ def write_archives(scratch: Scratch, pages: DataFrame, folder: str, roll_bytes:
     rows = pages.select("page_id", tag.alias("tag"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     both = rows.unionByName(again.select("page_id", "tag", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to"))
     both = both.withColumn("id", held("page_id")).withColumn("part", bucket)
-    ranged = both.repartitionByRange(n_ranges, "part").sortWithinPartitions("part", "id", "tag", F.col("refers_to").asc_nulls_last(), "url")
+    ranged = both.repartitionById(n_ranges, F.col("part")).sortWithinPartitions("part", "id", "tag", F.col("refers_to").asc_nulls_last(), "url")
     manifest = scratch.table(ranged.mapInArrow(write, files.MANIFEST + ", records long"), "manifest", keep=True)
     return files.commit(scratch, manifest, folder)
 

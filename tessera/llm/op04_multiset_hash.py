@@ -153,7 +153,7 @@ def with_next(scratch: Scratch, docs: DataFrame) -> DataFrame:
     own = F.struct(bucket.alias("b"), F.lit(False).alias("copy"))
     both = F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("above").alias("b"), F.lit(True).alias("copy"))))
     dealt = once.join(F.broadcast(firsts), ["id", "tag"], "left").select("id", "tag", "text", F.explode(both).alias("at")).select("id", "tag", "text", "at.*")
-    dealt = dealt.repartitionByRange(n, "b").withColumn("print", fingerprint(F.col("text")))
+    dealt = dealt.repartitionById(n, F.col("b")).withColumn("print", fingerprint(F.col("text")))
     down = Window.partitionBy("b").orderBy(F.col("copy"), F.col("id").desc(), F.col("tag").desc())
     out = dealt.withColumn("next_text", F.lead("text").over(down)).withColumn("next_print", F.lead("print").over(down)).where(~F.col("copy"))
     out = out.select("id", "text", "print", "next_text", "next_print")

@@ -209,7 +209,7 @@ def write_shards(scratch: Scratch, docs: DataFrame, folder: str, tokenizer: str,
     sizes = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     keys = scratch.table(rows.select("id", "tag", sizes.cast("long").alias("bytes")), "keys")
     bucket, n_ranges = files.even_ranges(scratch, keys, range_bytes)
-    ranged = rows.withColumn("part", bucket).repartitionByRange(n_ranges, "part").sortWithinPartitions("part", "id", "tag")
+    ranged = rows.withColumn("part", bucket).repartitionById(n_ranges, F.col("part")).sortWithinPartitions("part", "id", "tag")
     manifest = scratch.table(ranged.mapInArrow(write, SHARDS), "manifest", keep=True)
     return files.commit(scratch, manifest, folder)
 
