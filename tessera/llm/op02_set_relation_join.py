@@ -413,35 +413,49 @@ def _answers(sid, guest, mult, n, diffs, other, num: int, den: int) -> pa.Record
 
 
 _ANSWERS = "sid long, links long, to long"
-_DIFFS = "label long, part int, sid long, guest boolean, mult long, n int, diff binary"
+_COMPARED = pa.schema([("sid", pa.int64()), ("links", pa.int64()), ("to", pa.int64()), ("label", pa.int64()), ("part", pa.int32()), ("guest", pa.bool_()), ("mult", pa.int64()), ("n", pa.int32()), ("diff", pa.binary())])
 
 
-def _compare(width: int, num: int, den: int, count: bool):
-    """From texts sorted by (label, part, base first, sid): the answers of whole families, or each set's differences from the base."""
+def packed(s: np.ndarray, base: np.ndarray) -> bytes:
+    """A set's differences from a sorted base: how many shingles it lacks, their places in the base in four bytes each, and those it has besides."""
+    lacks = np.searchsorted(base, np.setdiff1d(base, s, assume_unique=True)).astype(np.uint32)
+    return np.uint32(len(lacks)).tobytes() + lacks.tobytes() + np.setdiff1d(s, base, assume_unique=True).tobytes()
+
+
+def unpacked_differences(data: bytes) -> np.ndarray:
+    """One number for each difference; a place in the base counts down from the largest."""
+    places = int(np.frombuffer(data, np.uint32, 1)[0])
+    return np.concatenate([~np.frombuffer(data, np.uint32, places, 4).astype(np.uint64), np.frombuffer(data, np.uint64, -1, 4 + 4 * places)])
+
+
+def _compare(width: int, num: int, den: int):
+    """From texts sorted by (label, part, base first, sid): the answers of families of one part; of others each set's differences from the base."""
 
     def compare(batches):
         at, base, rows = None, None, []
 
         def close():
-            sid, guest, mult, n, diffs = (list(c) for c in zip(*rows, strict=True))
-            if count:
-                return _answers(np.array(sid, np.int64), np.array(guest, bool), np.array(mult, np.int64), np.array(n, np.int64), diffs, None, num, den)
+            sid, guest, mult, n, sets = (list(c) for c in zip(*rows, strict=True))
+            if at[2] == 1:
+                found = _answers(np.array(sid, np.int64), np.array(guest, bool), np.array(mult, np.int64), np.array(n, np.int64), sets, None, num, den)
+                return pa.RecordBatch.from_arrays(found.columns + [pa.nulls(len(sid), f.type) for f in list(_COMPARED)[3:]], schema=_COMPARED)
             m = len(sid)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * m, pa.int64()), pa.array([at[1]] * m, pa.int32()), pa.array(sid, pa.int64()), pa.array(guest, pa.bool_()), pa.array(mult, pa.int64()), pa.array(n, pa.int32()), pa.array([d.tobytes() for d in diffs], pa.binary())], names=["label", "part", "sid", "guest", "mult", "n", "diff"])
+            columns = [sid, [None] * m, [None] * m, [at[0]] * m, [at[1]] * m, guest, mult, n, sets]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COMPARED, strict=True)], schema=_COMPARED)
 
         for batch in batches:
-            label, part, sid, guest, own, mult = (batch.column(c).to_pylist() for c in ("label", "part", "sid", "guest", "own", "mult"))
+            label, part, parts, sid, guest, own, mult = (batch.column(c).to_pylist() for c in ("label", "part", "parts", "sid", "guest", "own", "mult"))
             for k, s in enumerate(shingle_sets(batch.column("text").to_pylist(), width)):
-                if at != (label[k], part[k]):
+                if at != (label[k], part[k], parts[k]):
                     if rows:
                         yield close()
-                    at, base, rows = (label[k], part[k]), s, []
+                    at, base, rows = (label[k], part[k], parts[k]), s, []
                 if own[k] and not (rows and rows[-1][0] == sid[k]):
-                    rows.append((sid[k], guest[k], mult[k], len(s), np.setxor1d(s, base, assume_unique=True)))
+                    rows.append((sid[k], guest[k], mult[k], len(s), np.setxor1d(s, base, assume_unique=True) if parts[k] == 1 else packed(s, base)))
         if rows:
             yield close()
 
-    return compare, _ANSWERS if count else _DIFFS
+    return compare, "sid long, links long, to long, label long, part int, guest boolean, mult long, n int, diff binary"
 
 
 def _blocks(num: int, den: int):
@@ -453,7 +467,7 @@ def _blocks(num: int, den: int):
         def close():
             part, sid, guest, mult, n, diffs = (list(c) for c in zip(*rows, strict=True))
             other = None if at[1] == at[2] else np.array(part) == at[2]
-            return _answers(np.array(sid, np.int64), np.array(guest, bool), np.array(mult, np.int64), np.array(n, np.int64), [np.frombuffer(d, np.uint64) for d in diffs], other, num, den)
+            return _answers(np.array(sid, np.int64), np.array(guest, bool), np.array(mult, np.int64), np.array(n, np.int64), [unpacked_differences(d) for d in diffs], other, num, den)
 
         for batch in batches:
             for label, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j", "part", "sid", "guest", "mult", "n", "diff")), strict=True):
@@ -477,19 +491,17 @@ def _family_answers(s: Scratch, rows: DataFrame, visits: DataFrame, width: int,
     texts = rows.join(visits.hint("merge"), ["doc_id", "tag", "tag2"]).select("label", "sid", "guest", "mult", "again", "parts", "text")
     if visits.where("again > 1").limit(1).count():  # rows that repeat to the letter
         texts = texts.where("again = 1").unionByName(texts.where("again > 1").dropDuplicates(["label", "sid"]))
-    columns = ["label", "part", "sid", "guest", "own", "mult", "text"]
-    order = ["label", "part", F.col("sid") != F.col("label"), "sid"]
-
-    function, schema = _compare(width, num, den, True)
-    small = texts.where("parts = 1").withColumn("part", F.lit(0)).withColumn("own", F.lit(True)).select(columns)
-    out = s.table(small.repartition("label").sortWithinPartitions(*order).mapInArrow(function, schema), "answers")
+    # Of a family of several parts the base goes to every part, and counts in its own; the texts are fetched once for families of any size.
+    mine = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    spread = F.when(F.col("sid") == F.col("label"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))
+    texts = texts.withColumn("mine", mine).withColumn("part", F.explode(spread)).withColumn("own", F.col("part") == F.col("mine"))
+    texts = texts.select("label", "part", "parts", "sid", "guest", "own", "mult", "text")
+    function, schema = _compare(width, num, den)
+    texts = texts.repartition("label", "part").sortWithinPartitions("label", "part", F.col("sid") != F.col("label"), "sid")
+    compared = s.table(texts.mapInArrow(function, schema), "compared")
+    out = compared.where("diff IS NULL").select("sid", "links", "to")
     if sizes.where("parts > 1").limit(1).count():
-        # The base goes to every part, and counts in its own.
-        mine = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-        spread = F.when(F.col("sid") == F.col("label"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))
-        large = texts.where("parts > 1").withColumn("mine", mine).withColumn("part", F.explode(spread)).withColumn("own", F.col("part") == F.col("mine")).select(columns)
-        function, schema = _compare(width, num, den, False)
-        diffs = s.table(large.repartition("label", "part").sortWithinPartitions(*order).mapInArrow(function, schema), "diffs")
+        diffs = compared.where("diff IS NOT NULL").select("label", "part", "sid", "guest", "mult", "n", "diff")
         pairs = diffs.join(sizes, "label").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         pairs = pairs.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with")).drop("parts", "with")
         more = pairs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "sid").mapInArrow(_blocks(num, den), _ANSWERS)
