@@ -61,3 +61,15 @@ def test_answers_from_differences_equal_those_of_whole_sets():
     got, looked_at = op2.linked(n, diffs, n, diffs, 9, 10)
     want = np.array([[10 * len(np.intersect1d(a, b)) >= 9 * len(np.union1d(a, b)) for b in sets] for a in sets])
     assert (got == want).all() and want.any() and not want.all() and looked_at < got.size
+
+
+def test_packed_differences_keep_every_symmetric_difference():
+    """Also of a set that equals its base, only lacks shingles, or only has more."""
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    more = np.array([7, 2**63 + 9], np.uint64)
+    sets = [base, base[:-5], base[10:], np.union1d(base, more), np.union1d(base[20:], more), more]
+    diffs = [op2.unpacked_differences(op2.packed(s, base)) for s in sets]
+    for a, x in zip(sets, diffs, strict=True):
+        assert len(x) == len(np.setxor1d(a, base))
+        assert [len(np.setxor1d(x, y)) for y in diffs] == [len(np.setxor1d(a, b)) for b in sets]
