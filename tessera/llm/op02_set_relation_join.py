@@ -17,7 +17,9 @@ compared with all members in the same way.  So every pair that can be linked is
 written or shuffled: a task returns how many links each set has, and a spanning forest of them.
 
 A list of more than ``LIMIT`` entries is split: first into shards, whose sets find families within them; what is still in several families
-is compared shard by shard, in one task for each pair of shards.  A family of more than ``TOGETHER`` sets is split in the same way.  The sketch
+is compared shard by shard, in one task for each pair of shards.  A family of more than ``TOGETHER`` sets is split into its near sets,
+whose differences from the base are so few that any two of them are linked whatever these are, and its far sets: the links among near
+sets follow from one sum, and only far sets are compared with other sets, part by part.  The sketch
 has a fixed size, and tells from the mean count of its cells; it orders shingles and sets the number of shards, and the result is
 the same with any counts in it.
 
@@ -413,7 +415,7 @@ def _answers(sid, guest, mult, n, diffs, other, num: int, den: int) -> pa.Record
 
 
 _ANSWERS = "sid long, links long, to long"
-_COMPARED = pa.schema([("sid", pa.int64()), ("links", pa.int64()), ("to", pa.int64()), ("label", pa.int64()), ("part", pa.int32()), ("guest", pa.bool_()), ("mult", pa.int64()), ("n", pa.int32()), ("diff", pa.binary())])
+_COMPARED = pa.schema([("sid", pa.int64()), ("links", pa.int64()), ("to", pa.int64()), ("label", pa.int64()), ("guest", pa.bool_()), ("mult", pa.int64()), ("n", pa.int32()), ("near", pa.bool_()), ("diff", pa.binary())])
 
 
 def packed(s: np.ndarray, base: np.ndarray) -> bytes:
@@ -428,6 +430,11 @@ def unpacked_differences(data: bytes) -> np.ndarray:
     return np.concatenate([~np.frombuffer(data, np.uint32, places, 4).astype(np.uint64), np.frombuffer(data, np.uint64, -1, 4 + 4 * places)])
 
 
+def near(n: np.ndarray, differences: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sets of which any two are linked: each has at most half the differences that a pair of its size may have."""
+    return (num + den) * differences <= (den - num) * n
+
+
 def _compare(width: int, num: int, den: int):
     """From texts sorted by (label, part, base first, sid): the answers of families of one part; of others each set's differences from the base."""
 
@@ -440,7 +447,8 @@ def _compare(width: int, num: int, den: int):
                 found = _answers(np.array(sid, np.int64), np.array(guest, bool), np.array(mult, np.int64), np.array(n, np.int64), sets, None, num, den)
                 return pa.RecordBatch.from_arrays(found.columns + [pa.nulls(len(sid), f.type) for f in list(_COMPARED)[3:]], schema=_COMPARED)
             m = len(sid)
-            columns = [sid, [None] * m, [None] * m, [at[0]] * m, [at[1]] * m, guest, mult, n, sets]
+            sizes = [len(unpacked_differences(d)) for d in sets]
+            columns = [sid, [None] * m, [None] * m, [at[0]] * m, guest, mult, n, near(np.array(n, np.int64), np.array(sizes, np.int64), num, den), sets]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COMPARED, strict=True)], schema=_COMPARED)
 
         for batch in batches:
@@ -455,7 +463,7 @@ def _compare(width: int, num: int, den: int):
         if rows:
             yield close()
 
-    return compare, "sid long, links long, to long, label long, part int, guest boolean, mult long, n int, diff binary"
+    return compare, "sid long, links long, to long, label long, guest boolean, mult long, n int, near boolean, diff binary"
 
 
 def _blocks(num: int, den: int):
@@ -482,6 +490,30 @@ def _blocks(num: int, den: int):
     return blocks
 
 
+def _answers_of_parts(s: Scratch, diffs: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, links, to) in families of several parts: near sets among themselves by sums, and far sets with all by their differences."""
+    many, is_near = lambda n: F.ceil(n / TOGETHER).cast("int"), F.col("near")
+    sums = diffs.groupBy("label").agg(
+        F.sum(F.when(is_near, F.col("mult"))).alias("all"),
+        F.sum(F.when(is_near & ~F.col("guest"), F.col("mult"))).alias("own"),
+        many(F.count_if(~is_near)).alias("far"),
+        many(F.count_if(is_near)).alias("parts"),
+    )
+    sums = s.table(sums, "sums")
+    # Guests are not compared with guests; every near set is linked with the base, which is near itself and no guest.
+    links = F.when(F.col("guest"), F.col("own")).otherwise(F.col("all") - F.col("mult"))
+    to = F.when(F.col("sid") != F.col("label"), F.col("label"))
+    near_sets = diffs.where("near").select("label", "sid", "guest", "mult").join(sums, "label").select("sid", links.alias("links"), to.alias("to"))
+    # Far parts come first.  A far set meets all parts, a near one only the far ones.
+    rows = diffs.join(sums.where("far > 0").select("label", "far", "parts"), "label")
+    mine = F.when(is_near, F.col("far") + F.pmod(F.xxhash64("sid"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("sid"), F.col("far"))).cast("int")
+    last = F.when(is_near, F.col("far")).otherwise(F.col("far") + F.col("parts")) - 1
+    pairs = rows.withColumn("part", mine).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    pairs = pairs.select("label", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "sid", "guest", "mult", "n", "diff")
+    more = pairs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "sid").mapInArrow(_blocks(num, den), _ANSWERS)
+    return near_sets.unionByName(s.table(more, "answers_of_parts"))
+
+
 def _family_answers(s: Scratch, rows: DataFrame, visits: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(sid, links, to) of the sets in ``visits`` (label, sid, guest, with the row that holds the set's text)."""
     sizes = visits.groupBy("label").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
@@ -501,11 +533,7 @@ def _family_answers(s: Scratch, rows: DataFrame, visits: DataFrame, width: int,
     compared = s.table(texts.mapInArrow(function, schema), "compared")
     out = compared.where("diff IS NULL").select("sid", "links", "to")
     if sizes.where("parts > 1").limit(1).count():
-        diffs = compared.where("diff IS NOT NULL").select("label", "part", "sid", "guest", "mult", "n", "diff")
-        pairs = diffs.join(sizes, "label").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pairs = pairs.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with")).drop("parts", "with")
-        more = pairs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "sid").mapInArrow(_blocks(num, den), _ANSWERS)
-        out = out.unionByName(s.table(more, "answers_of_parts"))
+        out = out.unionByName(_answers_of_parts(s, compared.where("diff IS NOT NULL").drop("links", "to"), num, den))
     return out
 
 
