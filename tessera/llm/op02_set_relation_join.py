@@ -5,8 +5,8 @@ set's prefix puts the set into that shingle's index list.  Work is skipped in tw
 
 * In a list: entries are ordered by set size and position, and cut into blocks of ``BLOCK`` entries with their
   sizes' bounds and least position.  Two blocks are passed over at once where no sizes and positions in them allow the
-  overlap that is asked for; in the others single pairs are tested likewise, and then by 64 counts by hash, which
-  bound the symmetric difference from below.
+  overlap that is asked for; in the others single pairs are tested likewise, and then by counts by hash (``BINS``), which
+  bound the symmetric difference from below; larger sets have more of them, as a fixed number would let all pass.
 * Between answers: sets that pass these tests form families.  Of a family only one set, the base, is compared with the
   others as a whole, which gives each of them its differences from the base.  The answers of every other set are derived from the base's
   by the differences alone: the symmetric difference of two sets is that of their differences, so a pair is settled by
@@ -49,8 +49,8 @@ WIDTH, NUM, DEN = 3, 9, 10
 STAGE_WIDTH, STAGE_NUM, STAGE_DEN = 5, 4, 5
 #: Counters of the sketch, the blocks they are summed in, and how many tasks' blocks are summed at once.
 COUNTERS, BLOCKS, FAN_IN = 1 << 22, 64, 64
-#: Counts by hash that each set carries, of four bits each.
-BINS = 64
+#: Counts by hash that each set carries, of four bits each: so many up to that size of a set, and the last for larger ones.
+BINS = ((64, 512), (256, 4096), (1024, None))
 #: Lists up to this length are handled many at a time.
 SHORT = 64
 #: Entries of a block of a list, and of a shard of a long list.
@@ -69,14 +69,41 @@ def key_of(s: np.ndarray) -> tuple[int, int]:
 
 
 def bins_of(s: np.ndarray) -> np.ndarray:
-    """Counts modulo 16, two a byte."""
-    counts = (np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS) & 15).astype(np.uint8)
+    """Counts modulo 16 by the first bits of the hashes, two a byte."""
+    width = next(w for w, most in BINS if most is None or len(s) <= most)
+    place = s >> np.uint64(65 - width.bit_length())
+    counts = (np.bincount(place.astype(np.int64), minlength=width) & 15).astype(np.uint8)
     return counts[::2] | counts[1::2] << 4
 
 
-def unpacked(bins: list[bytes]) -> np.ndarray:
-    both = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS // 2)
-    return np.concatenate([both & 15, both >> 4], 1)
+class Counts:
+    """Counts by hash of many sets, at each width that a set has."""
+
+    def __init__(self, packed: list[bytes]):
+        width = 2 * np.array([len(p) for p in packed], np.int64)
+        self.tables, finer = [], None
+        for w, _ in BINS[::-1]:
+            rows, own = np.flatnonzero(width >= w), np.flatnonzero(width == w)
+            place = np.full(len(width), -1)
+            place[rows] = np.arange(len(rows))
+            table = np.zeros((len(rows), w), np.uint8)
+            both = np.frombuffer(b"".join(packed[k] for k in own), np.uint8).reshape(-1, w // 2)
+            table[place[own]] = np.stack([both & 15, both >> 4], -1).reshape(-1, w)
+            if finer is not None:  # sums modulo 16 of what the finer table tells apart
+                table[place[finer[0]]] = finer[1].reshape(len(finer[0]), w, finer[1].shape[1] // w).sum(-1, dtype=np.uint8) & 15
+            finer = (rows, table)
+            self.tables.insert(0, (place, table))
+
+    def near(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether the counts of the sets x and y allow the least overlap, at the widths that both have."""
+        ok = np.ones(len(x), bool)
+        for place, table in self.tables:
+            step = max((1 << 23) // table.shape[1], 1)
+            open_ = np.flatnonzero(ok & (place[x] >= 0) & (place[y] >= 0))
+            for k in range(0, len(open_), step):
+                at = open_[k : k + step]
+                ok[at] = _near(table[place[x[at]]], table[place[y[at]]], nx[at], ny[at], num, den)
+        return ok
 
 
 # ---- Sets and the sketch
@@ -259,7 +286,7 @@ def _survivors(num: int, den: int):
 class LongList:
     """One long list, its entries ordered by (n, pos), in blocks that are skipped by size and position."""
 
-    def __init__(self, n: np.ndarray, pos: np.ndarray, bins: np.ndarray, num: int, den: int):
+    def __init__(self, n: np.ndarray, pos: np.ndarray, bins: Counts, num: int, den: int):
         self.n, self.pos, self.bins, self.num, self.den = n, pos, bins, num, den
         first = np.arange(0, len(n), BLOCK)
         self.low, self.high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
@@ -280,7 +307,7 @@ class LongList:
         x, y = (a.ravel() for a in np.meshgrid(i, j, indexing="ij"))
         ok = (y < x) & _allowed(self.n[x], self.pos[x], self.n[y], self.pos[y], self.num, self.den)
         x, y = x[ok], y[ok]
-        ok = _near(self.bins[x], self.bins[y], self.n[x], self.n[y], self.num, self.den)
+        ok = self.bins.near(x, y, self.n[x], self.n[y], self.num, self.den)
         return x[ok], y[ok]
 
     def pairs(self, label: np.ndarray | None = None):
@@ -311,7 +338,8 @@ def _candidates(families: bool, num: int, den: int):
         for t in _whole_lists(batches):
             token, shard, sid, n, pos, label, members = (t.column(c).to_numpy() for c in ("token", "shard", "sid", "n", "pos", "label", "size"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            bins = unpacked(t.column("bins").to_pylist())
+            packed_bins = t.column("bins").to_pylist()
+            bins = Counts(packed_bins)
             starts, size = _bounds(token, shard)
             left, right = [], []
             at = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
@@ -327,13 +355,13 @@ def _candidates(families: bool, num: int, den: int):
                 some = some[_allowed(n[some + lag], pos[some + lag], n[some], pos[some], num, den)]
                 for k in range(0, len(some), 200_000):
                     x = some[k : k + 200_000]
-                    x = x[_near(bins[x + lag], bins[x], n[x + lag], n[x], num, den)]
+                    x = x[bins.near(x + lag, x, n[x + lag], n[x], num, den)]
                     taken[x + lag] = True
                     left.append(x + lag)
                     right.append(x)
             for a, length in zip(starts[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
                 b = slice(a, a + length)
-                for x, y in LongList(n[b], pos[b], bins[b], num, den).pairs(label[b] if families else None):
+                for x, y in LongList(n[b], pos[b], Counts(packed_bins[b]), num, den).pairs(label[b] if families else None):
                     left.append(a + x)
                     right.append(a + y)
             if not left:

@@ -41,12 +41,12 @@ def test_blocks_are_skipped_and_no_pair_is_lost():
     pos = (rng.random(900) * op2.prefix_size(400, 9, 10)).astype(np.int64)
     order = np.lexsort((pos, n))
     n, pos = n[order].astype(np.int64), pos[order]
-    bins = np.zeros((900, op2.BINS), np.uint8)
-    some = op2.LongList(n, pos, bins, 9, 10)
+    bins = np.zeros((900, 64), np.uint8)
+    some = op2.LongList(n, pos, op2.Counts([bytes(32)] * 900), 9, 10)
     got = {(int(a), int(b)) for x, y in some.pairs(np.arange(900)) for a, b in zip(x, y, strict=True)}
     want = {(i, j) for i in range(900) for j in range(i) if op2._allowed(n[i], pos[i], n[j], pos[j], 9, 10) and op2._near(bins[i], bins[j], n[i], n[j], 9, 10)}
     assert got == want and some.skipped > some.visited
-    first = [int(a) for x, _ in op2.LongList(n, pos, bins, 9, 10).pairs() for a in x]
+    first = [int(a) for x, _ in op2.LongList(n, pos, op2.Counts([bytes(32)] * 900), 9, 10).pairs() for a in x]
     assert sorted(first) == sorted({i for i, _ in want})
 
 
@@ -73,3 +73,29 @@ def test_packed_differences_keep_every_symmetric_difference():
     for a, x in zip(sets, diffs, strict=True):
         assert len(x) == len(np.setxor1d(a, base))
         assert [len(np.setxor1d(x, y)) for y in diffs] == [len(np.setxor1d(a, b)) for b in sets]
+
+
+def test_counts_of_any_two_widths_bound_the_difference():
+    """No linked pair is refused, also of sets on both sides of a width's limit; unlike long sets are."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (60, 505, 519, 3000, 4090, 4100, 9000):
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(base[size // 30 :]), np.unique(np.append(base[size // 30 :], rng.integers(0, 2**64, size // 30, dtype=np.uint64))), np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))]
+    counts, n = op2.Counts([op2.bins_of(s).tobytes() for s in sets]), np.array([len(s) for s in sets])
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(len(sets)), np.arange(len(sets)), indexing="ij"))
+    got = counts.near(x, y, n[x], n[y], 9, 10)
+    want = np.array([10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    assert (got | ~want).all() and (want & (x != y)).any()
+    assert (got == want)[(n[x] > 2000) & (n[y] > 2000)].all()
+
+
+def test_any_two_near_sets_are_linked():
+    rng = np.random.default_rng(6)
+    base = np.arange(300, dtype=np.uint64)
+    sets = [np.union1d(base[k % 290 :][int(gone) :], np.arange(1000 * k, 1000 * k + int(more), dtype=np.uint64) + np.uint64(1000)) for k, (gone, more) in enumerate(zip(rng.integers(0, 12, 60), rng.integers(0, 12, 60), strict=True))]
+    n = np.array([len(s) for s in sets])
+    for num, den in ((9, 10), (4, 5)):
+        near = np.flatnonzero(op2.near(n, np.array([len(np.setxor1d(s, base)) for s in sets]), num, den))
+        assert 2 < len(near) < 60
+        assert all(den * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j])) for i in near for j in near)
