@@ -31,7 +31,7 @@ def make_documents():
     return rows
 
 
-def write(path, documents=(), pages=(), benchmark=(), labels=()):
+def write(path, documents=(), pages=(), benchmark=(), labels=(), conversations=()):
     def put(name, schema, rows, extra=()):
         columns = {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(schema)}
         columns |= {c: pa.array([f"clash {k}" for k in range(len(rows))], pa.string()) for c in extra if c not in columns}
@@ -42,6 +42,7 @@ def write(path, documents=(), pages=(), benchmark=(), labels=()):
     put("pages", [("page_id", i), ("url", s), ("html", s)], pages, CLASHES)
     put("benchmark", [("item_id", i), ("text", s)], benchmark, ("span", "words", "print"))
     put("labels", [("doc_id", i), ("quality", pa.int32()), ("toxic", pa.int32())], labels, ("text", "y"))
+    put("conversations", [("conv_id", i), ("turn", i), ("role", s), ("text", s)], conversations, CLASHES)
     return str(path)
 
 
