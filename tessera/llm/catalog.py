@@ -19,6 +19,7 @@ MODULES = {
     "op2_set_relation_join": "op02_set_relation_join",
     "op6_secret_ledger": "op06_secret_ledger",
     "op11_prefix_trie": "op11_prefix_trie",
+    "op12_collocations": "op12_collocations",
     "op13_token_counts": "op13_token_counts",
 }
 _LOADED = {name: importlib.import_module(f"{__package__}.{module}") for name, module in MODULES.items()}
