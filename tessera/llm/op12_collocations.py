@@ -176,7 +176,7 @@ class Grams:
 
 
 def scan(docs: DataFrame, rows_of, schema: str) -> DataFrame:
-    """``rows_of(lang, run)`` gives the rows of a run, as dictionaries; texts and languages without nulls."""
+    """``rows_of(lang, run)`` gives the rows of a run, as dictionaries, or as batches; texts and languages without nulls."""
     fields = docs.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -186,6 +186,9 @@ def scan(docs: DataFrame, rows_of, schema: str) -> DataFrame:
         for lang, run in runs(batches):
             gathered, size = [], 0
             for row in rows_of(lang, run):
+                if isinstance(row, pa.RecordBatch):
+                    yield row
+                    continue
                 gathered.append(row)
                 size += sum(len(v) for v in row.values() if isinstance(v, bytes)) + 100
                 if size >= 4 << 20:
@@ -251,10 +254,10 @@ def word_counts(scratch: Scratch, docs: DataFrame, seed: int = 0) -> tuple[DataF
 
         def rows_of(lang, run, seed=seed):
             ids, words, keys = run.close(seed)
-            counts, lk = np.bincount(ids, minlength=len(words)), int(lang_key(lang, seed))
-            for k in np.flatnonzero(counts).tolist():
-                if k > BREAK:
-                    yield {"lang": lang, "lk": lk, "key": int(keys[k]), "word": words[k].decode(), "f": int(counts[k])}
+            n, counts = len(words) - BREAK - 1, np.bincount(ids, minlength=len(words))
+            same = [pa.array([x], t).take(pa.array(np.zeros(n, np.int64))) for x, t in ((lang, pa.string()), (int(lang_key(lang, seed)), pa.int64()))]
+            words = pa.array(words[BREAK + 1 :], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*same, pa.array(keys[BREAK + 1 :]), words, pa.array(counts[BREAK + 1 :])], names=["lang", "lk", "key", "word", "f"])
 
         found = scan(docs, rows_of, "lang string, lk long, key long, word string, f long")
         found = scratch.table(found.groupBy("lang", "lk", "key", "word").agg(F.sum("f").alias("f")), f"words-{seed}")
