@@ -199,7 +199,6 @@ STATEMENTS: dict[str, str] = {
     "T-25_date": "SELECT video_id, CASE WHEN pubdate > 0 THEN DATE_TEXT[pubdate] END AS day FROM videos",
     "T-26_language_key": "SELECT doc_id, REPLACED[lower(trim(concat(' AI-', upper(lang), '_x '))); '^ai-|_.*$'; ''] AS language_key FROM documents",
     "T-27_work_id": "SELECT part_id, GROUP_OF[work_id; '^(VID[0-9]+):p([0-9]+)$'; 1] AS video, NUMBER[GROUP_OF[work_id; '^(VID[0-9]+):p([0-9]+)$'; 2]] AS page FROM (SELECT part_id, concat(video_code, ':p', page) AS work_id FROM parts) AS p",
-    "T-29_hotwords": "SELECT h.term, count(*) AS evidence_n FROM (SELECT 'license' AS term UNION ALL SELECT 'apache' UNION ALL SELECT 'idiot' UNION ALL SELECT 'absent-term') AS h JOIN documents AS d ON instr(lower(d.text), h.term) > 0 GROUP BY h.term",
     "T-30_bundle_identity": "SELECT page_id, GROUP_OF[url; '/([a-z]{2})/'; 1] AS section, GROUP_OF[url; '/([a-z]{2})/'; 1] = GROUP_OF[html; '<html lang=\"([a-z]{2})\"'; 1] AS agrees FROM pages",
     "T-31_usage": "SELECT event_id, coalesce(NUMBER[JSON_TEXT[props; tokens]], NUMBER[JSON_TEXT[props; k]], 0) AS tokens FROM events",
     "X-01_redact_text": "SELECT doc_id, REPLACED[REPLACED[text; 'https?://[^\\s]+'; '[url]']; '(?i)(password|passwd|secret|token|api_?key)[\"\\x27]?\\s*[:=]\\s*[\"\\x27]?[A-Za-z0-9+/_.=-]+'; '[credential]'] AS clean FROM documents",

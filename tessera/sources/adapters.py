@@ -87,3 +87,8 @@ add("publications", "SELECT seq AS publication_id, part_id, finished AS publishe
 add("replicas", "SELECT l_partkey AS object_id, l_suppkey AS target_id, max(EPOCH[l_shipdate]) AS verified, count(*) AS copies, max(cast(l_quantity * 100 AS bigint)) AS byte_size, CASE min(l_returnflag) WHEN 'R' THEN 'released' WHEN 'A' THEN 'missing' ELSE 'present' END AS presence FROM lineitem GROUP BY l_partkey, l_suppkey")
 add("rights", "SELECT seq, part_id, finished AS seen_at, k, CASE event_type WHEN 'purchase' THEN 'granted' WHEN 'click' THEN 'granted' WHEN 'error' THEN 'hold' WHEN 'view' THEN 'revoked' ELSE 'released' END AS kind, finished + 86400 * (k % 30) AS expires FROM log")
 add("observations", "SELECT seq, user_id AS video_id, finished AS seen_at, CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'signup' THEN 'empty' WHEN 'view' THEN 'missing' ELSE 'present' END AS state, CASE WHEN event_type IN ('purchase', 'click') THEN concat('title ', k) END AS title FROM log")
+add(
+    "lease_log",
+    """SELECT seq, seq % 300 AS job_id, finished AS happened, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE CASE WHEN k % 19 = 0 THEN 'cancel' WHEN k % 3 = 0 THEN 'supersede' ELSE 'claim' END END AS kind,
+    cast(user_id % 2 AS bigint) AS worker, CASE WHEN event_type IN ('click', 'purchase', 'error') AND k % 4 = 0 THEN k % 3 + 1 END AS fence FROM log""",
+)
