@@ -38,7 +38,7 @@ from .scratch import Scratch, table
 #: The least count of a candidate, the part of a phrase's count from which a longer one explains it (in hundredths), and ranks for each language.
 LEAST, EXPLAINED, TOP = 10, 50, 2000
 #: Words of a run, and bytes of text that are split at once.
-RUN_WORDS, SPLIT_BYTES = 4 << 20, 4 << 20
+RUN_WORDS, SPLIT_BYTES = 2 << 20, 4 << 20
 #: Buckets of a block of counters, filters' largest size, words for each shard, shards at most, and rows of arrays that one task adds up.
 BLOCK_BITS, MOST_BITS, SHARD_WORDS, MOST_SHARDS, FAN_IN = 20, 27, 2 << 20, 1 << 16, 64
 #: Ids of no word (between two spaces) and of a break.
