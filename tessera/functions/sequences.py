@@ -100,21 +100,6 @@ def shape_cues(units: list[tuple[int, int, str]], most: int = 60, pause_ms: int
     return [(a, b, t) for a, b, t, _ in cues]
 
 
-def thread_characters(text: str, units: list[str]) -> tuple[list[tuple[int, int]], int, int]:
-    """Each unit's span of characters in the text, in order; then unmatched units and unmatched letters."""
-    spans, at, lost = [], 0, 0
-    for unit in units:
-        place = text.find(unit, at) if unit else -1
-        if place < 0:
-            spans.append((at, at))
-            lost += 1
-        else:
-            spans.append((place, place + len(unit)))
-            at = place + len(unit)
-    loose = sum(map(str.isalnum, text)) - sum(sum(map(str.isalnum, text[a:b])) for a, b in spans)
-    return spans, lost, loose
-
-
 def token_estimate(text: str) -> int:
     return -(-len(text.encode()) // 3)
 
@@ -211,17 +196,6 @@ def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key(_segments(spark, sf_dir), "transcript_id", shape, "transcript_id long, cue long, start_ms long, end_ms long, text string")
 
 
-def threaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-11."""
-
-    def thread(rows: pd.DataFrame) -> pd.DataFrame:
-        text = "".join(rows.text)
-        _, lost, letters = thread_characters(text, [w for t in rows.text for w in t.split()])
-        return pd.DataFrame({"transcript_id": [rows.transcript_id.iloc[0]], "lost_units": [lost], "loose_letters": [letters]})
-
-    return per_key(_segments(spark, sf_dir), "transcript_id", thread, "transcript_id long, lost_units long, loose_letters long")
-
-
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-18."""
 
@@ -312,7 +286,6 @@ QUERIES = {
     "T-07_agreement": agreements,
     "T-08_bands": lambda spark, d: agreements(spark, d).groupBy("band").count(),
     "T-10_shaped_cues": shaped,
-    "T-11_threaded_units": threaded,
     "T-18_chunk_plan": chunked,
     "L-08_batches": batched,
     "T-22_error_counts": errors,

@@ -181,16 +181,11 @@ STATEMENTS: dict[str, str] = {
     "T-01_parse_time": "SELECT page_id, NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 1]] * 3600000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 2]] * 60000 + NUMBER[GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 3]] * 1000 + NUMBER[rpad(GROUP_OF[stamp; '^(\\d{1,3}):(\\d\\d):(\\d\\d)[,.](\\d{1,3})$'; 4], 3, '0')] AS ms FROM (SELECT page_id, concat(page_id % 5, ':', PADDED[page_id % 60; 2], ':', PADDED[page_id * 7 % 60; 2], CASE WHEN page_id % 2 = 0 THEN ',' ELSE '.' END, page_id % 97) AS stamp FROM pages) AS p",
     "T-02_timeline_defects": """SELECT transcript_id, max(CASE WHEN start_ms < 0 OR end_ms <= start_ms OR end_ms > duration_ms + 1 THEN 1 ELSE 0 END) AS out_of_range, max(CASE WHEN start_ms < before_start THEN 1 ELSE 0 END) AS non_monotonic, max(CASE WHEN start_ms < before_end THEN 1 ELSE 0 END) AS overlap
       FROM (SELECT s.*, r.duration_ms, lag(start_ms) OVER (PARTITION BY s.transcript_id ORDER BY ordinal) AS before_start, lag(end_ms) OVER (PARTITION BY s.transcript_id ORDER BY ordinal) AS before_end FROM segments AS s JOIN recordings AS r ON s.transcript_id = r.transcript_id) AS w GROUP BY transcript_id""",
-    "T-03_content_signals": """SELECT transcript_id, max(CASE WHEN length(trim(text)) < 6 AND end_ms - start_ms < 1000 THEN 1 ELSE 0 END) AS fragment, max(CASE WHEN length(text) > 60 THEN 1 ELSE 0 END) AS overlong, max(CASE WHEN text = before_text THEN 1 ELSE 0 END) AS duplicate_adjacent, max(CASE WHEN MATCHES[text; '^[,.;!?]'] THEN 1 ELSE 0 END) AS leading_mark
-      FROM (SELECT *, lag(text) OVER (PARTITION BY transcript_id ORDER BY ordinal) AS before_text FROM segments) AS w GROUP BY transcript_id""",
     "T-05_interval_merge": """WITH v AS (SELECT transcript_id, ordinal, start_ms, end_ms, max(end_ms) OVER (PARTITION BY transcript_id ORDER BY start_ms, end_ms, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM segments WHERE end_ms > start_ms AND start_ms >= 0),
       i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach + 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY transcript_id ORDER BY start_ms, end_ms, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM v),
       m AS (SELECT transcript_id, island, max(end_ms) - min(start_ms) AS ms FROM i GROUP BY transcript_id, island) SELECT transcript_id, count(*) AS spans, SUM_INT[ms] AS captured_ms FROM m GROUP BY transcript_id""",
     "T-06_longest_gap": """WITH v AS (SELECT s.transcript_id, ordinal, start_ms, end_ms, duration_ms, max(end_ms) OVER (PARTITION BY s.transcript_id ORDER BY start_ms, end_ms, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM segments AS s JOIN recordings AS r ON s.transcript_id = r.transcript_id WHERE end_ms > start_ms AND start_ms >= 0)
       SELECT transcript_id, greatest(max(greatest(start_ms - coalesce(reach, 0), 0)), max(duration_ms) - max(end_ms), 0) AS longest_gap_ms, SUM_INT[greatest(end_ms - greatest(coalesce(reach, 0), start_ms), 0)] AS union_ms FROM v GROUP BY transcript_id""",
-    "T-13_dense_text": "SELECT transcript_id, length(text) >= 1000 AS long_text, length(text) * 1000.0 / duration_ms > 15 AS dense FROM (SELECT t.transcript_id, t.text, r.duration_ms FROM transcripts AS t JOIN recordings AS r ON t.transcript_id = r.transcript_id WHERE r.duration_ms > 0) AS d",
-    "T-14_admission": """SELECT transcript_id, CASE WHEN n = 0 OR bad_order > 0 THEN 'unusable' WHEN beyond > 0 OR blank > 0 THEN 'needs-review' WHEN duration_ms <= 0 THEN 'unknown' ELSE 'usable' END AS verdict FROM
-      (SELECT w.transcript_id, count(*) AS n, COUNT_IF[end_ms < start_ms] AS bad_order, COUNT_IF[end_ms > duration_ms + 50] AS beyond, COUNT_IF[length(trim(text)) = 0] AS blank, max(duration_ms) AS duration_ms FROM segments AS w JOIN recordings AS r ON w.transcript_id = r.transcript_id GROUP BY w.transcript_id) AS a""",
     "T-17_snippets": "SELECT doc_id, CASE WHEN place = 0 THEN substr(text, 1, 120) ELSE concat(CASE WHEN place > 31 THEN '...' ELSE '' END, substr(text, greatest(place - 30, 1), 120), '...') END AS snippet FROM (SELECT doc_id, text, instr(ASCII_LOWER[text], 'license') AS place FROM documents) AS d",
     "T-19_token_estimate": "SELECT doc_id, cast(ceil(BYTES[text] / 3.0) AS bigint) AS tokens FROM documents",
     "T-20_cover_once": "SELECT transcript_id, count(*) AS n, count(*) = max(ordinal) + 1 AND min(ordinal) = 0 AND count(DISTINCT ordinal) = count(*) AS covers FROM segments GROUP BY transcript_id",

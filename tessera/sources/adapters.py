@@ -92,3 +92,24 @@ add(
     """SELECT seq, seq % 300 AS job_id, finished AS happened, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE CASE WHEN k % 19 = 0 THEN 'cancel' WHEN k % 3 = 0 THEN 'supersede' ELSE 'claim' END END AS kind,
     cast(user_id % 2 AS bigint) AS worker, CASE WHEN event_type IN ('click', 'purchase', 'error') AND k % 4 = 0 THEN k % 3 + 1 END AS fence FROM log""",
 )
+add(
+    "cues",
+    """SELECT transcript_id, ordinal, start_ms, CASE WHEN ordinal % 31 = 4 THEN start_ms + 300 ELSE end_ms END AS end_ms,
+    CASE WHEN ordinal % 29 = 3 THEN concat('，', text) WHEN ordinal % 31 = 4 THEN substr(text, 1, 4) WHEN ordinal % 37 IN (5, 6) THEN 'the same again' ELSE text END AS text,
+    CASE WHEN transcript_id % 3 <> 0 THEN cast((transcript_id * 31 + ordinal * 7) % 1000 AS double) / 1000 END AS confidence FROM segments""",
+)
+add("bursts", "SELECT transcript_id, 0 AS ordinal, 1000 AS start_ms, 1000 + length(text) * (5 + transcript_id % 11) AS end_ms, text FROM transcripts WHERE source_kind = 'asr-local'")
+add(
+    "raw_cues",
+    """SELECT transcript_id, ordinal, CASE WHEN transcript_id % 5 = 1 AND ordinal = 3 THEN cast('NaN' AS double) WHEN transcript_id % 23 = 7 AND ordinal = 2 THEN NULL ELSE cast(start_ms + 1600 AS double) / 1000 END AS start_s,
+    CASE WHEN transcript_id % 29 = 8 AND ordinal = 4 THEN 2e9 ELSE cast(end_ms + 1600 + CASE WHEN transcript_id % 2 = 0 AND end_ms < start_ms THEN start_ms - end_ms + 200 ELSE 0 END AS double) / 1000 END AS end_s,
+    CASE WHEN transcript_id % 4 = 3 THEN concat(text, chr(10), ' ', chr(10), 'x') WHEN length(trim(text)) = 0 AND transcript_id % 2 = 0 THEN 'x' ELSE text END AS text FROM segments WHERE transcript_id % 31 <> 9""",
+)
+add(
+    "coverage_facts",
+    """SELECT transcript_id, duration_ms, decoded_s, produced_s, produced_s / CASE WHEN decoded_s > 0 THEN decoded_s ELSE 1 END + CASE WHEN transcript_id % 37 = 11 THEN 0.01 ELSE 0 END AS ratio, minimum,
+    CASE WHEN transcript_id % 41 <> 12 THEN produced_s / CASE WHEN decoded_s > 0 THEN decoded_s ELSE 1 END < minimum END AS short, transcript_id % 17 = 3 AS review, transcript_id % 19 = 6 AS unresolved FROM
+    (SELECT r.transcript_id, duration_ms, CASE WHEN r.transcript_id % 13 = 5 THEN NULL ELSE cast(duration_ms AS double) / 1000 + 2 END AS decoded_s,
+    CASE WHEN r.transcript_id % 7 = 2 THEN 0.5 ELSE CASE WHEN span < cast(duration_ms AS double) / 1000 + 2 THEN span ELSE cast(duration_ms AS double) / 1000 + 2 END END AS produced_s, CASE WHEN r.transcript_id % 3 = 0 THEN 0.9 ELSE 0.2 END AS minimum
+    FROM recordings AS r LEFT JOIN (SELECT transcript_id, max(end_s) - min(start_s) AS span FROM raw_cues WHERE start_s < 1e9 AND end_s < 1e9 GROUP BY transcript_id) AS c ON c.transcript_id = r.transcript_id) AS f""",
+)

@@ -58,8 +58,3 @@ def test_canonical_json_sorts_keys_and_drops_credentials():
 
 def test_published_blocks_skip_front_matter():
     assert q.published_blocks("---\nx: 1\n---\n00:00:05\nhi\nthere\n```\n00:00:07\n```\n01:00:00\nend") == [(5, "hi there 00:00:07"), (3600, "end")]
-
-
-def test_threading_counts_what_is_lost():
-    spans, lost, loose = q.thread_characters("abc def", ["abc", "xyz", "def"])
-    assert spans == [(0, 3), (3, 3), (4, 7)] and (lost, loose) == (1, 0)
