@@ -113,3 +113,9 @@ add(
     CASE WHEN r.transcript_id % 7 = 2 THEN 0.5 ELSE CASE WHEN span < cast(duration_ms AS double) / 1000 + 2 THEN span ELSE cast(duration_ms AS double) / 1000 + 2 END END AS produced_s, CASE WHEN r.transcript_id % 3 = 0 THEN 0.9 ELSE 0.2 END AS minimum
     FROM recordings AS r LEFT JOIN (SELECT transcript_id, max(end_s) - min(start_s) AS span FROM raw_cues WHERE start_s < 1e9 AND end_s < 1e9 GROUP BY transcript_id) AS c ON c.transcript_id = r.transcript_id) AS f""",
 )
+add("object_copies", "SELECT object_id * 1000 + target_id AS copy_id, object_id, byte_size, verified AS modified FROM replicas WHERE presence <> 'released' AND object_id % 4 <> 1")
+add(
+    "object_groups",
+    """SELECT DISTINCT object_id, IDIV[object_id; 3] AS group_id FROM replicas WHERE object_id % 5 <> 2
+    UNION ALL SELECT DISTINCT object_id, IDIV[object_id; 3] + 1 AS group_id FROM replicas WHERE object_id % 10 = 3""",
+)
