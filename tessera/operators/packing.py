@@ -100,8 +100,8 @@ def batch(scratch: Scratch, copies: DataFrame, references: DataFrame, policy: Po
 
 # ----------------------------------------------------------------------------------------------- registered queries
 
-#: The driver's replicas were verified between 1992 and 1998.
-POLICIES = {"largest": Policy(915_000_000, 10_000_000, "largest", 200_000, 60), "oldest": Policy(915_000_000, 10_000_000, "oldest", 250_000, 90)}
+#: The driver's replicas were verified until November 2001.
+POLICIES = {"largest": Policy(1_005_000_000, 5_000_000, "largest", 200_000, 60), "oldest": Policy(1_005_000_000, 20_000_000, "oldest", 150_000, 50)}
 
 
 def _packed(priority: str):
