@@ -5,6 +5,9 @@ holds the (blob, rule, rule version) triples that were scanned before, and their
 unseen blob once, whatever the number of paths that hold it, and runs only the rules that the ledger
 lacks for it.  Findings are rows per blob and are joined back to all paths.
 
+A finding bears the rule version that made it, and only those of the rule versions that are asked for are answers; so a rule that was narrowed,
+widened or taken away leaves nothing of what it once found.
+
 A ``Ledger`` is a folder of runs.  A run writes what it found and what it scanned, and counts once its name stands in the
 commits; a run that was cut short is never read, and its blobs are scanned again.  The query and the stage take a ledger's folder; without one they
 keep their own for the call, so that a result never rests on an unnamed earlier run.
@@ -13,8 +16,8 @@ Only DataFrame expressions are used.  Positions come from two built-ins: ``split
 gives the text between matches and ``regexp_extract_all`` the matches, so that a running sum of their
 lengths is each match's start.
 
-Defined cases: a null id stays null; a null text is the empty text; an empty table gives no rows; repeated rows give repeated
-rows, scanned as one blob; a path with many versions has a row for each; very long texts are scanned whole; spans of two kinds may overlap, and all are kept, ordered by
+Defined cases: a null id stays null; a null text is the empty text; an empty table gives no rows; repeated rows (of one id and text) give repeated
+rows, which are scanned each and found once; a path with many versions has a row for each; very long texts are scanned whole; spans of two kinds may overlap, and all are kept, ordered by
 start and then as the kinds are listed; columns other than the id and the text are not read, whatever their names.
 """
 
@@ -79,6 +82,7 @@ def _cuts(text: Column, rule: Rule) -> Column:
         zipped,
         lambda z, i: F.struct(
             F.lit(rule.kind).alias("kind"),
+            F.lit(rule.key).alias("rule"),
             i.alias("nth"),
             F.length(z["gap"]).alias("gap"),
             F.length(z["all"]).alias("len"),
@@ -89,20 +93,20 @@ def _cuts(text: Column, rule: Rule) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, start, end) for ``blobs`` (blob, text, todo: keys of the rules to run on it)."""
-    empty = F.array().cast("array<struct<kind:string,nth:int,gap:int,len:int,counts:boolean>>")
+    """(blob, kind, rule, start, end) for ``blobs`` (blob, text, todo: keys of the rules to run on it)."""
+    empty = F.array().cast("array<struct<kind:string,rule:string,nth:int,gap:int,len:int,counts:boolean>>")
     per_rule = [F.when(F.array_contains("todo", r.key) & F.col("text").rlike(r.hint or r.pattern), _cuts(F.col("text"), r)).otherwise(empty) for r in rules]
     # A blob may come more than once: sums run within a row.
     cut = blobs.withColumn("row", F.monotonically_increasing_id()).select("blob", "row", F.explode(F.concat(*per_rule)).alias("c")).select("blob", "row", "c.*")
-    so_far = Window.partitionBy("blob", "row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("blob", "row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum((F.col("gap") + F.col("len")).cast("long")).over(so_far)
-    return cut.withColumn("end", end).where("counts").select("blob", "kind", (F.col("end") - F.col("len")).alias("start"), "end").distinct()
+    return cut.withColumn("end", end).where("counts").select("blob", "kind", "rule", (F.col("end") - F.col("len")).alias("start"), "end").distinct()
 
 
 class Ledger:
-    """Findings (blob, kind, start, end) and scanned pairs (blob, rule) in a shared folder, by committed runs."""
+    """Findings (blob, kind, rule, start, end) and scanned pairs (blob, rule) in a shared folder, by committed runs."""
 
-    FOUND, SCANNED, COMMITS = "blob string, kind string, start long, end long, run string", "blob string, rule string, run string", "run string"
+    FOUND, SCANNED, COMMITS = "blob string, kind string, rule string, start long, end long, run string", "blob string, rule string, run string", "run string"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -120,8 +124,9 @@ class Ledger:
             return []
         return sorted(r["run"] for r in self.spark.read.schema(self.COMMITS).parquet(f"{self.folder}/commits").collect())
 
-    def findings(self) -> DataFrame:
-        return self._read("found", self.FOUND).drop("run")
+    def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, kind, start, end) that these versions of rules have found, in any run."""
+        return self._read("found", self.FOUND).where(F.col("rule").isin([r.key for r in rules])).select("blob", "kind", "start", "end").distinct()
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", self.SCANNED).drop("run")
@@ -155,7 +160,7 @@ def scan_history(spark: SparkSession, paths: DataFrame, key: str, text: str, led
     # Equal rows of one path and blob are scanned alike, and counted once.
     unseen = texts.join(todo, ["path", "blob"])
     ledger.add(scan(unseen.select("blob", "text", "todo"), rules), todo.select("blob", F.explode("todo").alias("rule")))
-    return address, ledger.findings().where(F.col("kind").isin([r.kind for r in rules]))
+    return address, ledger.findings(rules)
 
 
 def query(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
