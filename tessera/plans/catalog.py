@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tessera.sources.adapters  # noqa: F401  (defines the relations)
 from tessera.functions import alignment, quality, sequences, text
-from tessera.operators import graph, hotwords, intervals, leases, packing, search
+from tessera.operators import graph, hotwords, intervals, leases, merging, packing, search
 from tessera.operators.statements import STATEMENTS
 from tessera.sources.shipping import shipped
 from tessera.streaming import jobs
@@ -13,6 +13,6 @@ from .dialect import oracle_query, spark_query
 
 QUERIES = {name: spark_query(sql) for name, sql in STATEMENTS.items()}
 ORACLE_SQL = {name: oracle_query(sql) for name, sql in STATEMENTS.items()}
-for _module in (graph, hotwords, intervals, leases, packing, search, text, quality, alignment, sequences, jobs):
+for _module in (graph, hotwords, intervals, leases, merging, packing, search, text, quality, alignment, sequences, jobs):
     QUERIES |= {name: shipped(query) for name, query in _module.QUERIES.items()}
     ORACLE_SQL |= {name: oracle_query(sql) for name, sql in _module.ORACLES.items()}

@@ -119,3 +119,19 @@ add(
     """SELECT DISTINCT object_id, IDIV[object_id; 3] AS group_id FROM replicas WHERE object_id % 5 <> 2
     UNION ALL SELECT DISTINCT object_id, IDIV[object_id; 3] + 1 AS group_id FROM replicas WHERE object_id % 10 = 3""",
 )
+# A second archive: creators under other keys or with keys of others, videos with other titles, parts and jobs that follow them.
+add("own_creators", "SELECT mid, display_name FROM creators WHERE mid % 9 <> 4")
+add("their_creators", "SELECT CASE WHEN mid % 7 = 2 THEN mid + 9000000 WHEN mid % 11 = 5 THEN mid + 1 ELSE mid END AS mid, display_name FROM creators WHERE mid % 5 <> 3 AND NOT (mid % 11 = 6 OR (mid - 1) % 11 = 5 AND (mid - 1) % 7 <> 2)")
+add("own_videos", "SELECT video_id, video_code, mid, title FROM videos WHERE video_id % 6 <> 1")
+add(
+    "their_videos",
+    """SELECT v.video_id, v.video_code, CASE WHEN v.mid % 7 = 2 THEN v.mid + 9000000 ELSE v.mid END AS mid, CASE WHEN v.video_id % 97 = 5 THEN 'another title' ELSE v.title END AS title
+    FROM (SELECT CASE WHEN video_id % 13 = 3 THEN video_id + 1000000 ELSE video_id END AS video_id, CASE WHEN video_id % 17 = 2 THEN concat(video_code, 'B') ELSE video_code END AS video_code, mid, title FROM videos WHERE video_id % 4 <> 2) AS v""",
+)
+add("own_parts", "SELECT part_id, video_id, page, status FROM parts WHERE part_id % 10 <> 7")
+add("their_parts", "SELECT part_id, CASE WHEN video_id % 13 = 3 THEN video_id + 1000000 ELSE video_id END AS video_id, page, CASE WHEN part_id % 101 = 9 THEN 'gone' ELSE status END AS status FROM parts WHERE part_id % 3 <> 1")
+add("own_jobs", "SELECT job_id, kind, part_id, status, repair_of FROM job_rows WHERE job_id % 8 <> 5")
+add("job_rows", "SELECT job_id, kind, 8 * (job_id % 300) + 1 + job_id % 3 AS part_id, status, CASE WHEN job_id > 0 THEN job_id - 1 - job_id % 3 END AS repair_of FROM jobs")
+add("their_jobs", "SELECT job_id, kind, part_id, CASE WHEN job_id % 500 = 77 THEN 'other' ELSE status END AS status, repair_of FROM job_rows WHERE job_id % 9 <> 4")
+add("own_transcripts", "SELECT transcript_id, part_id, sha FROM transcripts WHERE transcript_id % 3 <> 1")
+add("their_transcripts", "SELECT transcript_id, part_id, CASE WHEN transcript_id % 40 = 3 THEN concat(sha, 'x') ELSE sha END AS sha FROM transcripts WHERE transcript_id % 2 = 1")
