@@ -100,32 +100,6 @@ def shape_cues(units: list[tuple[int, int, str]], most: int = 60, pause_ms: int
     return [(a, b, t) for a, b, t, _ in cues]
 
 
-def token_estimate(text: str) -> int:
-    return -(-len(text.encode()) // 3)
-
-
-def plan_chunks(segments: list[tuple[int, int, str]], tokens: int = 600, segments_most: int = 40, back: float = 0.2, gap_ms: int = 1200) -> list[tuple[int, int]]:
-    """Half-open runs of segments within a budget; a run gives back up to a fifth of itself to end at a sentence or a gap."""
-    sums = [0]
-    for _, _, t in segments:
-        sums.append(sums[-1] + token_estimate(t))
-    out, at = [], 0
-    while at < len(segments):
-        low, high = at + 1, min(len(segments), at + segments_most)
-        while low < high:  # the largest run within the budget
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if sums[mid] - sums[at] <= tokens else (low, mid - 1)
-        end = low
-        if end < len(segments):
-            for k in range(end, max(at, end - int((end - at) * back) - 1), -1):
-                if segments[k - 1][2].rstrip()[-1:] in SENTENCE_ENDS and segments[k - 1][2].strip() or segments[k][0] - segments[k - 1][1] >= gap_ms:
-                    end = k
-                    break
-        out.append((at, end))
-        at = end
-    return out
-
-
 def pack_batches(sizes: list[int], bytes_most: int, objects_most: int) -> list[int]:
     """The batch of each object, in order: one that would pass a cap opens the next; an oversize one is alone."""
     out, batch, held, n = [], 0, 0, 0
@@ -196,16 +170,6 @@ def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key(_segments(spark, sf_dir), "transcript_id", shape, "transcript_id long, cue long, start_ms long, end_ms long, text string")
 
 
-def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-18."""
-
-    def chunk(rows: pd.DataFrame) -> pd.DataFrame:
-        runs = plan_chunks(list(zip(rows.start_ms, rows.end_ms, rows.text, strict=True)))
-        return pd.DataFrame({"transcript_id": rows.transcript_id.iloc[0], "chunk": range(len(runs)), "first": [r[0] for r in runs], "past": [r[1] for r in runs]})
-
-    return per_key(_segments(spark, sf_dir), "transcript_id", chunk, "transcript_id long, chunk long, first long, past long")
-
-
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-08: replicas of each target in batches."""
     replicas = relation(spark, sf_dir, "replicas").withColumnRenamed("object_id", "ordinal")
@@ -286,7 +250,6 @@ QUERIES = {
     "T-07_agreement": agreements,
     "T-08_bands": lambda spark, d: agreements(spark, d).groupBy("band").count(),
     "T-10_shaped_cues": shaped,
-    "T-18_chunk_plan": chunked,
     "L-08_batches": batched,
     "T-22_error_counts": errors,
     "T-22_error_totals": error_totals,

@@ -33,12 +33,6 @@ def test_cues_end_at_sentences_pauses_and_length():
     assert all(len(c[2]) <= 66 for c in long_) and len(long_) > 1
 
 
-def test_chunks_cover_all_segments_once():
-    segments = [(k * 1000, k * 1000 + 900, "x" * 90 + ("." if k % 3 == 0 else "")) for k in range(25)]
-    runs = q.plan_chunks(segments, tokens=200)
-    assert runs[0][0] == 0 and runs[-1][1] == 25 and all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))
-
-
 def test_batches_keep_order_and_leave_oversize_alone():
     assert q.pack_batches([5, 5, 5, 100, 1, 1], 10, 2) == [0, 0, 1, 2, 3, 3]
 
