@@ -45,8 +45,10 @@ STATEMENTS: dict[str, str] = {
     "S-14_metadata_codec": "SELECT event_id, JSON_TEXT[props; k] AS k_text, NUMBER[JSON_TEXT[props; k]] AS k, JSON_TEXT[props; absent] AS absent FROM events",
     "S-15_export_rows": "SELECT concat(p.video_code, ':p', p.page) AS work_id, coalesce(v.title, '') AS title, coalesce(DATE_TEXT[v.pubdate], '') AS published, coalesce(TEXT[p.duration_ms], '') AS duration FROM parts AS p LEFT JOIN videos AS v ON p.video_id = v.video_id WHERE p.status <> 'gone'",
     "S-16_srt_render": "SELECT transcript_id, JOINED[concat(ordinal + 1, chr(10), PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], ',', PADDED[start_ms % 1000; 3], chr(10), text, chr(10)); chr(10); ordinal] AS srt FROM segments WHERE start_ms >= 0 AND end_ms > start_ms GROUP BY transcript_id",
-    "S-16_vtt_render": """SELECT transcript_id, concat('WEBVTT', chr(10), chr(10), JOINED[concat(PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], '.', PADDED[start_ms % 1000; 3], ' --> ', PADDED[IDIV[end_ms; 3600000]; 2], ':', PADDED[IDIV[end_ms; 60000] % 60; 2], ':', PADDED[IDIV[end_ms; 1000] % 60; 2], '.', PADDED[end_ms % 1000; 3], chr(10),
-      replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)); chr(10); ordinal]) AS vtt FROM (SELECT *, max(end_ms) OVER (PARTITION BY transcript_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_end FROM segments) AS s WHERE start_ms >= 0 AND end_ms > start_ms AND start_ms >= coalesce(before_end, 0) GROUP BY transcript_id""",
+    # A cue that can't be written refuses its file; cues may overlap, but none starts before the one before it.
+    "S-16_vtt_render": """SELECT transcript_id, max(refused) AS refused, CASE WHEN max(refused) = 0 THEN concat('WEBVTT', chr(10), chr(10), JOINED[concat(PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], '.', PADDED[start_ms % 1000; 3], ' --> ', PADDED[IDIV[end_ms; 3600000]; 2], ':', PADDED[IDIV[end_ms; 60000] % 60; 2], ':', PADDED[IDIV[end_ms; 1000] % 60; 2], '.', PADDED[end_ms % 1000; 3], chr(10),
+      replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)); chr(10); ordinal]) END AS vtt FROM (SELECT transcript_id, ordinal, text, greatest(start_ms, 0) AS start_ms, greatest(end_ms, 0) AS end_ms,
+      CASE WHEN start_ms < 0 OR end_ms <= start_ms OR start_ms < coalesce(lag(start_ms) OVER (PARTITION BY transcript_id ORDER BY ordinal), 0) OR length(trim(text)) = 0 THEN 1 ELSE 0 END AS refused FROM (SELECT transcript_id, ordinal, CASE WHEN transcript_id % 2 = 0 THEN 4000 * ordinal ELSE start_ms END AS start_ms, CASE WHEN transcript_id % 2 = 0 THEN 4000 * ordinal + 5000 ELSE end_ms END AS end_ms, CASE WHEN transcript_id % 2 = 0 AND length(trim(text)) = 0 THEN '-' ELSE text END AS text FROM segments) AS c) AS s GROUP BY transcript_id""",
     "S-17_time_format": "SELECT transcript_id, ordinal, concat(PADDED[IDIV[start_ms; 3600000]; 2], ':', PADDED[IDIV[start_ms; 60000] % 60; 2], ':', PADDED[IDIV[start_ms; 1000] % 60; 2], '.', PADDED[start_ms % 1000; 3]) AS stamp FROM segments WHERE start_ms >= 0",
     "S-18_bundle_marker": "SELECT transcript_id, SHA[text] AS txt_sha, SHA[concat('---', chr(10), transcript_id, chr(10), text)] AS md_sha, length(text) AS chars FROM transcripts",
     "S-19_public_catalog": """WITH q AS (SELECT p.part_id, p.publication_id, p.published, t.sha, IDIV[p.published; 86400] AS day FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY published DESC, publication_id DESC) AS nth FROM publications) AS p JOIN transcripts AS t ON p.transcript_id = t.transcript_id WHERE nth = 1),
@@ -112,7 +114,8 @@ STATEMENTS: dict[str, str] = {
     "A-20_coverage_rollup": f"{_ALL_STATE} SELECT CASE WHEN pipeline_state = 'transcribed' THEN 'complete' WHEN status = 'gone' THEN 'defect' ELSE 'backlog' END AS category, count(*) AS n FROM state GROUP BY CASE WHEN pipeline_state = 'transcribed' THEN 'complete' WHEN status = 'gone' THEN 'defect' ELSE 'backlog' END",
     "A-21_defect_summary": "SELECT CASE WHEN end_ms <= start_ms THEN 'empty' WHEN start_ms < 0 THEN 'negative' ELSE 'sound' END AS class, count(*) AS n, count(DISTINCT transcript_id) AS transcripts_n FROM segments GROUP BY CASE WHEN end_ms <= start_ms THEN 'empty' WHEN start_ms < 0 THEN 'negative' ELSE 'sound' END",
     "A-22_transfer_summary": "SELECT presence, count(*) AS items, SUM_INT[byte_size] AS bytes FROM replicas GROUP BY presence",
-    "A-24_issue_histogram": "SELECT code, count(*) AS n, count(*) > 32 AS truncated, JOINED[CASE WHEN nth <= 32 THEN TEXT[job_id] END; ','; job_id] AS sample FROM (SELECT error_code AS code, job_id, row_number() OVER (PARTITION BY error_code ORDER BY job_id) AS nth FROM jobs WHERE error_code IS NOT NULL) AS i GROUP BY code",
+    "A-24_issue_histogram": """WITH firsts AS (SELECT code, job_id FROM (SELECT error_code AS code, job_id, row_number() OVER (PARTITION BY error_code ORDER BY job_id) AS nth FROM jobs WHERE error_code IS NOT NULL) AS i WHERE nth <= 32)
+      SELECT c.code, c.n, c.n > 32 AS truncated, s.sample FROM (SELECT error_code AS code, count(*) AS n FROM jobs WHERE error_code IS NOT NULL GROUP BY error_code) AS c JOIN (SELECT code, JOINED[TEXT[job_id]; ','; job_id] AS sample FROM firsts GROUP BY code) AS s ON c.code = s.code""",
     # Windows
     "W-01_newest_attempt": f"WITH {_NEWEST} SELECT part_id, seq, outcome, error_code FROM newest",
     "W-02_newest_for_audio": f"WITH {_NEWEST}, {_LOOKS} SELECT n.part_id, n.outcome, coalesce(looks.looks, 0) AS looks, {_ATTESTED} AS attested FROM newest AS n LEFT JOIN looks ON n.part_id = looks.part_id",
@@ -131,7 +134,6 @@ STATEMENTS: dict[str, str] = {
     "G-05_explain_jobs": "SELECT j.job_id, j.status, coalesce(e.needs, '') AS needs, coalesce(e.blockers, '') AS blockers, a.last_outcome FROM jobs AS j LEFT JOIN (SELECT edges.job_id, JOINED[TEXT[edges.needs]; ','; edges.needs] AS needs, JOINED[CASE WHEN p.status <> 'succeeded' THEN TEXT[edges.needs] END; ','; edges.needs] AS blockers FROM edges JOIN jobs AS p ON edges.needs = p.job_id GROUP BY edges.job_id) AS e ON j.job_id = e.job_id LEFT JOIN (SELECT job_id, max_by(outcome, seq) AS last_outcome FROM job_attempts GROUP BY job_id) AS a ON j.job_id = a.job_id",
     "G-12_planning_graph": "SELECT p.part_id, k.kind, concat(k.kind, ':', p.part_id) AS dedupe_key, CASE k.kind WHEN 'asr' THEN concat('audio:', p.part_id) WHEN 'proofread' THEN concat('asr:', p.part_id) WHEN 'render' THEN concat('proofread:', p.part_id) END AS needs FROM parts AS p CROSS JOIN (SELECT 'subtitle' AS kind UNION ALL SELECT 'audio' UNION ALL SELECT 'asr' UNION ALL SELECT 'proofread' UNION ALL SELECT 'render') AS k WHERE p.status <> 'gone'",
     # Orders and limits
-    "L-01_work_order": "SELECT part_id, rank_no FROM (SELECT p.part_id, cast(row_number() OVER (ORDER BY CASE WHEN a.last_at IS NULL THEN 0 ELSE 1 END, a.last_at NULLS FIRST, p.video_code, p.page) AS bigint) AS rank_no FROM parts AS p LEFT JOIN (SELECT part_id, max(finished) AS last_at FROM attempts GROUP BY part_id) AS a ON p.part_id = a.part_id WHERE p.status <> 'gone') AS w WHERE rank_no <= 1000",
     # A rank over all rows: rows before the day, counted by day, and the place within it; no window holds the table.
     "L-02_queue_order": """WITH q AS (SELECT p.part_id, p.video_code, p.page, v.pubdate FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id),
       earlier AS (SELECT pubdate, sum(n) OVER (ORDER BY pubdate DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS n_before FROM (SELECT pubdate, count(*) AS n FROM q GROUP BY pubdate) AS g)
@@ -161,7 +163,7 @@ STATEMENTS: dict[str, str] = {
     "Q-09_integrity_report": f"""WITH {_PROJECTION} SELECT defect, count(*) AS n, min(part_id) AS first_part FROM (SELECT part_id, CASE WHEN published_id IS NOT NULL AND preferred_id IS NULL THEN 'published_without_transcript' WHEN published_id IS NOT NULL AND NOT publication_current THEN 'stale_publication' WHEN status = 'meta_ok' AND pubdate IS NULL THEN 'undated' END AS defect FROM projection
       UNION ALL SELECT t.part_id, 'orphan_transcript' AS defect FROM transcripts AS t WHERE NOT EXISTS (SELECT 1 FROM parts AS p WHERE p.part_id = t.part_id)
       UNION ALL SELECT p.part_id, 'broken_publication' AS defect FROM publications AS p WHERE NOT EXISTS (SELECT 1 FROM transcripts AS t WHERE t.transcript_id = p.transcript_id)) AS d WHERE defect IS NOT NULL GROUP BY defect""",
-    "Q-10_export": f"WITH {_PREFERRED} SELECT concat(p.video_code, ':p', p.page) AS work_id, REPLACED[v.title; '[0-9]{{4,}}'; '#'] AS title, pref.sha FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id JOIN preferred AS pref ON p.part_id = pref.part_id ORDER BY p.video_code, p.page LIMIT 1000",
+    "Q-10_export": f"WITH {_PREFERRED} SELECT concat(p.video_code, ':p', p.page) AS work_id, REPLACED[v.title; '[0-9]{{4,}}'; '#'] AS title, pref.sha FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id JOIN preferred AS pref ON p.part_id = pref.part_id",
     "Q-11_workflow_status": f"""SELECT 'jobs' AS part, kind, status AS name, count(*) AS n, max(available) AS last_at FROM jobs GROUP BY kind, status
       UNION ALL SELECT 'decisions' AS part, kind, decision AS name, count(*) AS n, max(available) AS last_at FROM (SELECT kind, available, {_RETRY} AS decision FROM (SELECT j.*, coalesce(r.n, 0) AS repaired FROM jobs AS j LEFT JOIN (SELECT repair_of, count(*) AS n FROM jobs WHERE repair_of IS NOT NULL GROUP BY repair_of) AS r ON j.job_id = r.repair_of) AS q) AS d GROUP BY kind, decision
       UNION ALL SELECT 'current_failures' AS part, kind, error_code AS name, count(*) AS n, max(available) AS last_at FROM jobs WHERE status = 'failed' GROUP BY kind, error_code
@@ -197,7 +199,8 @@ STATEMENTS: dict[str, str] = {
     "T-30_bundle_identity": "SELECT page_id, GROUP_OF[url; '/([a-z]{2})/'; 1] AS section, GROUP_OF[url; '/([a-z]{2})/'; 1] = GROUP_OF[html; '<html lang=\"([a-z]{2})\"'; 1] AS agrees FROM pages",
     "T-31_usage": "SELECT event_id, coalesce(NUMBER[JSON_TEXT[props; tokens]], NUMBER[JSON_TEXT[props; k]], 0) AS tokens FROM events",
     "X-01_redact_text": "SELECT doc_id, REPLACED[REPLACED[text; 'https?://[^\\s]+'; '[url]']; '(?i)(password|passwd|secret|token|api_?key)[\"\\x27]?\\s*[:=]\\s*[\"\\x27]?[A-Za-z0-9+/_.=-]+'; '[credential]'] AS clean FROM documents",
-    "X-02_redact_export": "SELECT page_id, REPLACED[url; '[?&]utm_[a-z]+=[^&#]*'; ''] AS clean FROM pages",
+    "X-02_redact_export": """SELECT doc_id, SHA[clean] AS clean_sha, length(clean) AS clean_chars FROM (SELECT doc_id, REPLACED[REPLACED[REPLACED[said; '(?i)(?:sessdata|access[_-]?token|authorization|cookie|token|signature|sign|deadline)\\s*(?:=|:)\\s*[^\\s,;]+'; '[redacted]']; '(?i)https?://[^\\s"\\x27]+(?:sign|deadline|token|auth)[^\\s"\\x27]*'; '[redacted]'];
+      '(?is)Traceback \\(most recent call last\\):.*'; '[redacted]'] AS clean FROM (SELECT doc_id, concat(text, CASE doc_id % 5 WHEN 0 THEN ' see https://cdn.example.org/a?auth_key=1&x=2 and go' WHEN 1 THEN ' Cookie: abc=1; rest' WHEN 2 THEN concat(' Traceback (most recent call last):', chr(10), ' in secret') WHEN 3 THEN ' an ordinary https://example.org/page stays' ELSE '' END) AS said FROM documents) AS d) AS c""",
     # State
     "M-01_upsert": "SELECT coalesce(n.video_id, v.video_id) AS video_id, coalesce(n.title, v.title) AS title, greatest(coalesce(n.seen_at, 0), v.pubdate) AS updated FROM videos AS v FULL JOIN (SELECT video_id, max_by(title, seq) AS title, max(seen_at) AS seen_at FROM observations WHERE title IS NOT NULL GROUP BY video_id) AS n ON v.video_id = n.video_id",
     "M-02_insert_absent": "SELECT dedupe_key FROM (SELECT concat(kind, ':', part_id) AS dedupe_key FROM jobs WHERE job_id % 2 = 1) AS n EXCEPT SELECT concat(kind, ':', part_id) AS dedupe_key FROM jobs WHERE job_id % 2 = 0",
@@ -226,7 +229,6 @@ STATEMENTS: dict[str, str] = {
     "V-04_object_state": "SELECT object_id, bool_or(presence = 'present') AS durable, COUNT_IF[presence <> 'released'] = 6 AS complete FROM replicas GROUP BY object_id",
     "V-05_dependency_repair": "SELECT e.job_id, e.needs FROM edges AS e JOIN jobs AS a ON e.job_id = a.job_id JOIN jobs AS b ON e.needs = b.job_id WHERE a.kind IN ('audio', 'asr') AND b.kind = 'subtitle' AND a.status IN ('queued', 'failed')",
     "V-06_threshold_gate": "SELECT kind, SORTED_SET[reason] AS reasons FROM (SELECT kind, 'failures' AS reason FROM jobs GROUP BY kind HAVING COUNT_IF[status = 'failed'] > 10 UNION ALL SELECT kind, 'queue' AS reason FROM jobs GROUP BY kind HAVING COUNT_IF[status = 'queued'] > 10) AS g GROUP BY kind",
-    "V-07_progress": "SELECT run_id, n, coalesce(n > before_n, TRUE) AS progressed FROM (SELECT run_id, n, lag(n) OVER (ORDER BY run_id) AS before_n FROM (SELECT run_id, count(DISTINCT part_id) AS n FROM attempts GROUP BY run_id) AS c) AS w",
     "V-08_observation_closure": "SELECT o.seq FROM observations AS o WHERE o.video_id IN (SELECT video_id FROM videos WHERE mid % 3 = 0)",
     "V-09_retry_guard": f"SELECT kind, decision, count(*) AS n FROM (SELECT kind, CASE WHEN kind NOT IN ('asr', 'audio') THEN 'not_allowed' ELSE {_RETRY} END AS decision FROM (SELECT j.*, 0 AS repaired FROM jobs AS j) AS q) AS d GROUP BY kind, decision",
     "V-10_package_retention": "SELECT r.run_id, n.run_id IS NOT NULL OR r.started >= (SELECT max(started) FROM runs) - 86400 AS kept FROM runs AS r LEFT JOIN (SELECT run_id FROM runs ORDER BY started DESC, run_id DESC LIMIT 10) AS n ON r.run_id = n.run_id",
@@ -237,7 +239,7 @@ STATEMENTS: dict[str, str] = {
     "V-16_deadlines": "SELECT part_id, least(7200000, greatest(600000, 120000 + duration_ms * 3)) AS timeout_ms FROM parts",
     "V-17_caption_choice": "SELECT part_id, min_by(transcript_id, cast(length(text) AS bigint) * 1000000 + transcript_id) AS transcript_id FROM transcripts WHERE length(trim(text)) > 0 AND source_kind <> 'asr-local' GROUP BY part_id",
     "V-20_reference_conflicts": "SELECT page, count(DISTINCT sha) AS shas FROM (SELECT part_id % 50 AS page, sha FROM transcripts UNION ALL SELECT audio_id AS page, sha FROM audio_objects) AS r GROUP BY page HAVING count(DISTINCT sha) > 1",
-    "V-12_field_projection": "SELECT o.video_id, v.title AS title, o.newest_seq, o.newest_seq IS NULL OR v.video_id IS NULL AS unbound FROM (SELECT video_id, max(CASE WHEN state = 'present' THEN seq END) AS newest_seq FROM observations GROUP BY video_id) AS o LEFT JOIN videos AS v ON o.video_id = v.video_id WHERE o.video_id < 256",
+    "V-12_field_projection": "SELECT o.video_id, v.title AS title, o.newest_seq, o.newest_seq IS NULL OR v.video_id IS NULL AS unbound FROM (SELECT video_id, max(CASE WHEN state = 'present' THEN seq END) AS newest_seq FROM observations GROUP BY video_id) AS o LEFT JOIN videos AS v ON o.video_id = v.video_id",
     "V-18_chain_recovery": "SELECT j.job_id, SHA[concat(j.job_id, ':', coalesce(TEXT[r.job_id], ''), ':', j.status)] AS plan_id, r.job_id IS NULL AS missing_base FROM jobs AS j LEFT JOIN jobs AS r ON j.repair_of = r.job_id WHERE j.repair_of IS NOT NULL",
     "V-19_sample_evidence": "SELECT t.sha, count(*) AS requests, count(p.publication_id) AS answered, count(DISTINCT t.part_id) AS part_n FROM transcripts AS t LEFT JOIN publications AS p ON t.transcript_id = p.transcript_id GROUP BY t.sha",
     "S-20_coverage_sink": f"{_ALL_STATE} SELECT concat(pipeline_state, ',', TEXT[count(*)]) AS csv_line FROM state GROUP BY pipeline_state",

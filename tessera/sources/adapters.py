@@ -103,7 +103,7 @@ add(
     "raw_cues",
     """SELECT transcript_id, ordinal, CASE WHEN transcript_id % 5 = 1 AND ordinal = 3 THEN cast('NaN' AS double) WHEN transcript_id % 23 = 7 AND ordinal = 2 THEN NULL ELSE cast(start_ms + 1600 AS double) / 1000 END AS start_s,
     CASE WHEN transcript_id % 29 = 8 AND ordinal = 4 THEN 2e9 ELSE cast(end_ms + 1600 + CASE WHEN transcript_id % 2 = 0 AND end_ms < start_ms THEN start_ms - end_ms + 200 ELSE 0 END AS double) / 1000 END AS end_s,
-    CASE WHEN transcript_id % 4 = 3 THEN concat(text, chr(10), ' ', chr(10), 'x') WHEN length(trim(text)) = 0 AND transcript_id % 2 = 0 THEN 'x' ELSE text END AS text FROM segments WHERE transcript_id % 31 <> 9""",
+    CASE WHEN transcript_id % 4 = 3 THEN concat(text, chr(10), ' ', chr(10), 'x') WHEN length(trim(text)) = 0 AND transcript_id % 2 = 0 THEN 'x' ELSE text END AS text FROM segments""",
 )
 add(
     "coverage_facts",
@@ -111,7 +111,7 @@ add(
     CASE WHEN transcript_id % 41 <> 12 THEN produced_s / CASE WHEN decoded_s > 0 THEN decoded_s ELSE 1 END < minimum END AS short, transcript_id % 17 = 3 AS review, transcript_id % 19 = 6 AS unresolved FROM
     (SELECT r.transcript_id, duration_ms, CASE WHEN r.transcript_id % 13 = 5 THEN NULL ELSE cast(duration_ms AS double) / 1000 + 2 END AS decoded_s,
     CASE WHEN r.transcript_id % 7 = 2 THEN 0.5 ELSE CASE WHEN span < cast(duration_ms AS double) / 1000 + 2 THEN span ELSE cast(duration_ms AS double) / 1000 + 2 END END AS produced_s, CASE WHEN r.transcript_id % 3 = 0 THEN 0.9 ELSE 0.2 END AS minimum
-    FROM recordings AS r LEFT JOIN (SELECT transcript_id, max(end_s) - min(start_s) AS span FROM raw_cues WHERE start_s < 1e9 AND end_s < 1e9 GROUP BY transcript_id) AS c ON c.transcript_id = r.transcript_id) AS f""",
+    FROM (SELECT transcript_id, duration_ms FROM recordings UNION ALL SELECT transcript_id + 100000000 AS transcript_id, duration_ms FROM recordings WHERE transcript_id % 31 = 9) AS r LEFT JOIN (SELECT transcript_id, max(end_s) - min(start_s) AS span FROM raw_cues WHERE start_s < 1e9 AND end_s < 1e9 GROUP BY transcript_id) AS c ON c.transcript_id = r.transcript_id) AS f""",
 )
 add("object_copies", "SELECT object_id * 1000 + target_id AS copy_id, object_id, byte_size, verified AS modified FROM replicas WHERE presence <> 'released' AND object_id % 4 <> 1")
 add(
@@ -135,3 +135,8 @@ add("job_rows", "SELECT job_id, kind, 8 * (job_id % 300) + 1 + job_id % 3 AS par
 add("their_jobs", "SELECT job_id, kind, part_id, CASE WHEN job_id % 500 = 77 THEN 'other' ELSE status END AS status, repair_of FROM job_rows WHERE job_id % 9 <> 4")
 add("own_transcripts", "SELECT transcript_id, part_id, sha FROM transcripts WHERE transcript_id % 3 <> 1")
 add("their_transcripts", "SELECT transcript_id, part_id, CASE WHEN transcript_id % 40 = 3 THEN concat(sha, 'x') ELSE sha END AS sha FROM transcripts WHERE transcript_id % 2 = 1")
+add(
+    "retry_jobs",
+    """SELECT job_id, status, CASE job_id % 11 WHEN 0 THEN 'provider_http_429' WHEN 1 THEN 'provider_http_402' WHEN 2 THEN 'other_http_404' WHEN 3 THEN 'asr_quality_unusable' WHEN 4 THEN 'lease_expired' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'never_seen'
+    WHEN 7 THEN NULL ELSE 'transport_error' END AS error_code, retries AS attempts, available, CASE WHEN job_id % 6 <> 1 THEN created + 90000000 END AS finished FROM jobs""",
+)
