@@ -100,15 +100,24 @@ def shape_cues(units: list[tuple[int, int, str]], most: int = 60, pause_ms: int
     return [(a, b, t) for a, b, t, _ in cues]
 
 
+class Packer:
+    """Puts sizes into batches in order: one that would pass a cap opens the next; an oversize one is alone."""
+
+    def __init__(self, bytes_most: int, objects_most: int):
+        self.bytes_most, self.objects_most = bytes_most, objects_most
+        self.batch = self.held = self.n = 0
+
+    def put(self, size: int) -> int:
+        if self.n and (self.held + size > self.bytes_most or self.n >= self.objects_most):
+            self.batch, self.held, self.n = self.batch + 1, 0, 0
+        self.held, self.n = self.held + size, self.n + 1
+        return self.batch
+
+
 def pack_batches(sizes: list[int], bytes_most: int, objects_most: int) -> list[int]:
-    """The batch of each object, in order: one that would pass a cap opens the next; an oversize one is alone."""
-    out, batch, held, n = [], 0, 0, 0
-    for size in sizes:
-        if n and (held + size > bytes_most or n >= objects_most):
-            batch, held, n = batch + 1, 0, 0
-        out.append(batch)
-        held, n = held + size, n + 1
-    return out
+    """The batch of each object, in order."""
+    packer = Packer(bytes_most, objects_most)
+    return [packer.put(size) for size in sizes]
 
 
 def merge_marked(rows: list[tuple[int, str, str, str, str]]) -> list[tuple[int, str]]:
@@ -170,14 +179,25 @@ def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key(_segments(spark, sf_dir), "transcript_id", shape, "transcript_id long, cue long, start_ms long, end_ms long, text string")
 
 
+#: Bytes and objects of a batch.
+BATCH_BYTES, BATCH_OBJECTS = 20_000, 16
+
+
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-08: replicas of each target in batches."""
-    replicas = relation(spark, sf_dir, "replicas").withColumnRenamed("object_id", "ordinal")
+    """L-08: replicas of each target in batches, as a stream that holds the open batch's sums of one target."""
 
-    def batch(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"target_id": rows.target_id, "object_id": rows.ordinal, "batch": pack_batches(rows.byte_size.tolist(), 20_000, 16)})
+    def pack(frames):
+        target, packer = None, Packer(BATCH_BYTES, BATCH_OBJECTS)
+        for df in frames:
+            batches = []
+            for key, size in zip(df.target_id, df.byte_size, strict=True):
+                if key != target:
+                    target, packer = key, Packer(BATCH_BYTES, BATCH_OBJECTS)
+                batches.append(packer.put(size))
+            yield pd.DataFrame({"target_id": df.target_id, "object_id": df.object_id, "batch": batches})
 
-    return per_key(replicas.select("target_id", "ordinal", "byte_size"), "target_id", batch, "target_id long, object_id long, batch long")
+    replicas = relation(spark, sf_dir, "replicas").select("target_id", "object_id", "byte_size")
+    return replicas.repartition("target_id").sortWithinPartitions("target_id", "object_id").mapInPandas(pack, "target_id long, object_id long, batch long")
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,5 +278,9 @@ QUERIES = {
     "S-12_markdown_blocks": markdown_blocks,
 }
 ORACLES = {
+    "L-08_batches": f"""WITH RECURSIVE numbered AS (SELECT target_id, object_id, byte_size, row_number() OVER (PARTITION BY target_id ORDER BY object_id) AS k FROM replicas),
+        walk AS (SELECT target_id, object_id, k, 0::bigint AS batch, byte_size AS held, 1::bigint AS n FROM numbered WHERE k = 1
+        UNION ALL SELECT x.target_id, x.object_id, x.k, CASE WHEN w.held + x.byte_size > {BATCH_BYTES} OR w.n >= {BATCH_OBJECTS} THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.held + x.byte_size > {BATCH_BYTES} OR w.n >= {BATCH_OBJECTS} THEN x.byte_size ELSE w.held + x.byte_size END,
+        CASE WHEN w.held + x.byte_size > {BATCH_BYTES} OR w.n >= {BATCH_OBJECTS} THEN 1 ELSE w.n + 1 END FROM walk AS w JOIN numbered AS x ON x.target_id = w.target_id AND x.k = w.k + 1) SELECT target_id, object_id, batch FROM walk""",
     "T-23_canonical_identity": "SELECT event_id, concat('{\"k\":', JSON_TEXT[props; k], '}') AS canonical, SHA[concat('{\"k\":', JSON_TEXT[props; k], '}')] AS identity FROM events",
 }

@@ -92,18 +92,25 @@ def downstream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("jobs_n"), F.bool_or(F.col("status") == "queued").alias("live"), F.max("available").alias("last_at"))
 
 
-def dependency_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-06 from every job: each job with itself and all jobs that it needs."""
-    jobs = relation(spark, sf_dir, "jobs").select(F.col("job_id").alias("seed"), F.col("job_id").alias("node"))
+def _roots(spark: SparkSession, sf_dir: str, roots: DataFrame | None) -> DataFrame:
+    """(seed, node) of the jobs to start from: those of ``roots`` (job_id), or every job."""
+    jobs = relation(spark, sf_dir, "jobs").select("job_id")
+    jobs = jobs if roots is None else jobs.join(roots.select("job_id").distinct(), "job_id", "left_semi")
+    return jobs.select(F.col("job_id").alias("seed"), F.col("job_id").alias("node"))
+
+
+def dependency_closures(spark: SparkSession, sf_dir: str, roots: DataFrame | None = None) -> DataFrame:
+    """G-06: each chosen job with itself and all jobs that it needs."""
+    jobs = _roots(spark, sf_dir, roots)
     needs = relation(spark, sf_dir, "edges").select(F.col("job_id").alias("src"), F.col("needs").alias("dst"))
     with Scratch(spark) as s:
         reached = transitive_closure(s, needs, jobs)
     return reached.unionByName(jobs).distinct().select(F.col("seed").alias("root_id"), F.col("node").alias("job_id"))
 
 
-def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U-03: each job with all jobs that follow from it; pairs are made once, however many ways lead there."""
-    jobs = relation(spark, sf_dir, "jobs").select(F.col("job_id").alias("seed"), F.col("job_id").alias("node"))
+def dependents(spark: SparkSession, sf_dir: str, roots: DataFrame | None = None) -> DataFrame:
+    """U-03: each chosen job with all jobs that follow from it; pairs are made once, however many ways lead there."""
+    jobs = _roots(spark, sf_dir, roots)
     with Scratch(spark) as s:
         reached = transitive_closure(s, _edges(spark, sf_dir), jobs)
     return reached.distinct().select(F.col("seed").alias("root_id"), F.col("node").alias("job_id"))
