@@ -10,10 +10,12 @@ import difflib
 import hashlib
 import json
 import math
+import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,11 +134,36 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def drop_sensitive(value):
-    """A nested value without keys that name credentials."""
+#: Keys that are not exported, by name, by ending, by beginning, and by what they hold.
+SENSITIVE_KEYS = frozenset(
+    """sessdata cookie cookies url signed_url stream_url audio_url video_url cover_url api_url raw_url play_url custom_url traceback exception error_trace stack_trace
+    token access_token secret password authorization auth""".split()
+)
+SENSITIVE_ENDS, SENSITIVE_STARTS, SENSITIVE_PARTS = ("_url", "_cookie", "_token", "_secret", "_trace", "_exception", "url"), ("cookie", "token", "sessdata", "secret", "auth"), ("sessdata", "traceback")
+#: What is not shown inside texts.
+CREDENTIALS = re.compile(r"(?i)(?:sessdata|access[_-]?token|authorization|cookie|token|signature|sign|deadline)\s*(?:=|:)\s*[^\s,;]+")
+SIGNED_URLS = re.compile(r"(?i)https?://[^\s\"\']+(?:sign|deadline|token|auth)[^\s\"\']*")
+TRACEBACKS = re.compile(r"(?is)Traceback \(most recent call last\):.*")
+
+
+def sensitive(key: str) -> bool:
+    key = key.lower().strip()
+    return key in SENSITIVE_KEYS or key.endswith(SENSITIVE_ENDS) or key.startswith(SENSITIVE_STARTS) or any(p in key for p in SENSITIVE_PARTS)
+
+
+def sanitized(value):
+    """A nested value without sensitive keys at any depth; texts that are links go, and credentials, signed links and tracebacks inside texts."""
     if isinstance(value, dict):
-        return {k: drop_sensitive(v) for k, v in value.items() if not any(w in k.lower() for w in ("token", "secret", "password", "cookie", "authorization"))}
-    return [drop_sensitive(v) for v in value] if isinstance(value, list) else value
+        return {k: sanitized(v) for k, v in value.items() if not sensitive(str(k))}
+    if isinstance(value, list):
+        return [sanitized(v) for v in value]
+    if not isinstance(value, str):
+        return value
+    if value.startswith(("http://", "https://")):
+        return "[redacted]"
+    for pattern in (CREDENTIALS, SIGNED_URLS, TRACEBACKS):
+        value = pattern.sub("[redacted]", value)
+    return value
 
 
 def published_blocks(markdown: str) -> list[tuple[int, str]]:
@@ -160,21 +187,51 @@ def published_blocks(markdown: str) -> list[tuple[int, str]]:
 
 
 def per_key(df: DataFrame, key: str, function, schema: str) -> DataFrame:
-    """``function`` on the rows of each key, ordered by ordinal; a key is one transcript, so a group is bounded by it."""
-    return df.groupBy(key).applyInPandas(lambda rows: function(rows.sort_values("ordinal")), schema)
+    """``function`` on the rows of each key, as tuples of the other columns by ordinal; it gives tuples of the other columns of ``schema``.
+
+    Partitions are sorted by key and gone through as a stream, many keys a batch; one key's rows, a transcript's, are in hand at a time.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    columns = [c for c in df.columns if c != key]
+
+    def read(batches):
+        at, held, out = None, [], []
+
+        def done():
+            out.extend((at, *row) for row in function(held))
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            for k, *row in zip(*(b.column(c).to_pylist() for c in (key, *columns)), strict=True):
+                if held and k != at:
+                    done()
+                    held.clear()
+                at = k
+                held.append(tuple(row))
+            if out:
+                yield batch()
+                out.clear()
+        if held:
+            done()
+        if out:
+            yield batch()
+
+    return df.repartition(key).sortWithinPartitions(key, "ordinal").mapInArrow(read, schema)
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "segments")
+    return relation(spark, sf_dir, "segments").select("transcript_id", "ordinal", "start_ms", "end_ms", "text")
 
 
 def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-10."""
 
-    def shape(rows: pd.DataFrame) -> pd.DataFrame:
-        units = [(a, b, w) for a, b, t in zip(rows.start_ms, rows.end_ms, rows.text, strict=True) for w in t.split()]
-        cues = shape_cues(units)
-        return pd.DataFrame({"transcript_id": rows.transcript_id.iloc[0], "cue": range(len(cues)), "start_ms": [c[0] for c in cues], "end_ms": [c[1] for c in cues], "text": [c[2] for c in cues]})
+    def shape(rows: list[tuple]) -> list[tuple]:
+        return [(k, *cue) for k, cue in enumerate(shape_cues([(a, b, w) for _, a, b, t in rows for w in t.split()]))]
 
     return per_key(_segments(spark, sf_dir), "transcript_id", shape, "transcript_id long, cue long, start_ms long, end_ms long, text string")
 
@@ -237,11 +294,12 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-28: each turn as the caption, and the next one as what was heard."""
     marks = ["keep", "use-sub", "use-asr", "custom"]
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        made = merge_marked([(k + 1, marks[k % 4], t, h, f"own {k}") for k, (t, h) in enumerate(zip(rows.text, [*rows.text[1:], ""], strict=True))])
-        return pd.DataFrame({"conv_id": rows.conv_id.iloc[0], "number": [m[0] for m in made], "text": [m[1] for m in made]})
+    def merge(rows: list[tuple]) -> list[tuple]:
+        texts = [t for _, t in rows]
+        return merge_marked([(k + 1, marks[k % 4], t, h, f"own {k}") for k, (t, h) in enumerate(zip(texts, [*texts[1:], ""], strict=True))])
 
-    return per_key(relation(spark, sf_dir, "turns").withColumnRenamed("turn", "ordinal"), "conv_id", merge, "conv_id long, number long, text string")
+    turns = relation(spark, sf_dir, "turns").select("conv_id", F.col("turn").alias("ordinal"), "text")
+    return per_key(turns, "conv_id", merge, "conv_id long, number long, text string")
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +307,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def form(batches):
         for df in batches:
-            made = [canonical_json(drop_sensitive(json.loads(p or "{}") | {"api_token": "x"})) for p in df.props]
+            made = [canonical_json(sanitized(json.loads(p or "{}") | {"api_token": "x"})) for p in df.props]
             yield pd.DataFrame({"event_id": df.event_id, "canonical": made, "identity": [hashlib.sha256(m.encode()).hexdigest() for m in made]})
 
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props").mapInPandas(form, "event_id long, canonical string, identity string")
@@ -258,14 +316,28 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-12: transcripts published as markdown, and read back."""
 
-    def read(rows: pd.DataFrame) -> pd.DataFrame:
-        heads = [f"{max(0, int(a)) // 3600000:02d}:{max(0, int(a)) // 60000 % 60:02d}:{max(0, int(a)) // 1000 % 60:02d}\n{t}\n" for a, t in zip(rows.start_ms, rows.text, strict=True)]
+    def read(rows: list[tuple]) -> list[tuple]:
+        heads = [f"{max(0, a) // 3600000:02d}:{max(0, a) // 60000 % 60:02d}:{max(0, a) // 1000 % 60:02d}\n{t}\n" for _, a, _, t in rows]
         blocks = published_blocks("---\ntitle: x\n---\n" + "\n".join(heads))
-        return pd.DataFrame({"transcript_id": rows.transcript_id.iloc[0], "block": range(len(blocks)), "second": [b[0] for b in blocks], "chars": [len(b[1]) for b in blocks]})
+        return [(k, second, len(text)) for k, (second, text) in enumerate(blocks)]
 
     return per_key(_segments(spark, sf_dir), "transcript_id", read, "transcript_id long, block long, second long, chars long")
 
 
+def sanitised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-04: events as nested documents, without sensitive keys and texts at any depth."""
+
+    def form(batches):
+        for df in batches:
+            yield pd.DataFrame({"event_id": df.event_id, "exported": [canonical_json(sanitized(json.loads(d))) for d in df.document]})
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("long")
+    inner = F.struct(k.alias("k"), F.lit("x").alias("Api_Token"), F.array(F.struct(F.lit("https://example.org/a").alias("link"), F.lit("y").alias("cover_url"), F.concat(F.lit("kept; cookie: abc, "), k.cast("string")).alias("said"))).alias("items"))
+    document = F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), inner.alias("payload"), F.lit("z").alias("session_trace"), F.lit("w").alias("Authorization2")))
+    return events.select("event_id", document.alias("document")).mapInPandas(form, "event_id long, exported string")
+
+
 QUERIES = {
     "T-07_agreement": agreements,
     "T-08_bands": lambda spark, d: agreements(spark, d).groupBy("band").count(),
@@ -276,8 +348,10 @@ QUERIES = {
     "T-23_canonical_identity": canonical,
     "T-28_marked_merge": merged,
     "S-12_markdown_blocks": markdown_blocks,
+    "X-04_sanitised_events": sanitised_events,
 }
 ORACLES = {
+    "X-04_sanitised_events": """SELECT event_id, concat('{"event_id":', event_id, ',"kind":"', event_type, '","payload":{"items":[{"link":"[redacted]","said":"kept; [redacted], ', JSON_TEXT[props; k], '"}],"k":', JSON_TEXT[props; k], '}}') AS exported FROM events""",
     "L-08_batches": f"""WITH RECURSIVE numbered AS (SELECT target_id, object_id, byte_size, row_number() OVER (PARTITION BY target_id ORDER BY object_id) AS k FROM replicas),
         walk AS (SELECT target_id, object_id, k, 0::bigint AS batch, byte_size AS held, 1::bigint AS n FROM numbered WHERE k = 1
         UNION ALL SELECT x.target_id, x.object_id, x.k, CASE WHEN w.held + x.byte_size > {BATCH_BYTES} OR w.n >= {BATCH_OBJECTS} THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.held + x.byte_size > {BATCH_BYTES} OR w.n >= {BATCH_OBJECTS} THEN x.byte_size ELSE w.held + x.byte_size END,

@@ -47,7 +47,17 @@ def test_merge_needs_contiguous_numbers():
 
 
 def test_canonical_json_sorts_keys_and_drops_credentials():
-    assert q.canonical_json(q.drop_sensitive({"b": 1, "a": [{"api_token": 2, "é": 3}]})) == '{"a":[{"é":3}],"b":1}'
+    assert q.canonical_json(q.sanitized({"b": 1, "a": [{"api_token": 2, "é": 3}]})) == '{"a":[{"é":3}],"b":1}'
+
+
+def test_sensitive_keys_by_name_beginning_end_and_part():
+    assert all(map(q.sensitive, ("URL", " Cookie ", "stream_url", "thumburl", "x_trace", "authority", "my_sessdata_1", "a-traceback", "tokens", "secretary")))
+    assert not any(map(q.sensitive, ("title", "urls", "my_cookies", "passwords", "trace", "curl_args")))
+
+
+def test_texts_are_redacted_at_any_depth():
+    value = {"a": [{"b": "https://x.example/y"}, "see https://x.example/y", "sign=1 and https://x.example/?auth=2 end"], "c": "Traceback (most recent call last):\n  all", "d": 5, "e": None}
+    assert q.sanitized(value) == {"a": [{"b": "[redacted]"}, "see https://x.example/y", "[redacted] and [redacted] end"], "c": "[redacted]", "d": 5, "e": None}
 
 
 def test_published_blocks_skip_front_matter():
