@@ -137,6 +137,31 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_itself.unionByName(by_hand)
 
 
+def failed_page(jobs: DataFrame, decided: DataFrame, attempts: DataFrame, replacements: DataFrame, after: int | None = None, limit: int | None = None) -> DataFrame:
+    """Failed jobs with their decision, newest attempt and replacements, by job_id; those past ``after``, and the first ``limit`` of them, or all.
+
+    ``attempts``: (job_id, seq, finished, outcome); ``replacements``: (job_id, by_id, status).
+    """
+    failed = jobs.where("status = 'failed'").select("job_id", "kind", "error_code")
+    failed = failed if after is None else failed.where(F.col("job_id") > after)
+    failed = failed if limit is None else failed.orderBy("job_id").limit(limit)
+    newest = attempts.groupBy("job_id").agg(F.count("*").alias("attempts_n"), F.max_by("outcome", F.struct("finished", "seq")).alias("last_outcome"), F.max("finished").alias("last_at"))
+    stands = replacements.groupBy("job_id").agg(F.count("*").alias("replacements_n"), F.min(F.when(F.col("status").isin(*ACTIVE), F.col("by_id"))).alias("active_id"))
+    out = failed.join(decided, "job_id").join(newest, "job_id", "left").join(stands, "job_id", "left")
+    none = F.lit(0).cast("long")
+    return out.select("job_id", "kind", "error_code", "category", "reason", "next_at", F.coalesce("attempts_n", none).alias("attempts_n"), "last_outcome", "last_at", F.coalesce("replacements_n", none).alias("replacements_n"), "active_id")
+
+
+def failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-11: all failed jobs with what became of them."""
+    from tessera.plans.dialect import spark_query
+
+    jobs = spark_query("SELECT r.*, j.kind FROM retry_jobs AS r JOIN jobs AS j ON j.job_id = r.job_id")(spark, sf_dir)
+    replaced = spark_query("SELECT repair_of AS job_id, job_id AS by_id, status FROM jobs WHERE repair_of IS NOT NULL")(spark, sf_dir)
+    decided = decide(jobs.drop("kind"), defaults(spark), NOW, jobs.where("job_id % 41 = 0"), spark_query(_LEDGER)(spark, sf_dir), replaced)
+    return failed_page(jobs, decided, relation(spark, sf_dir, "job_attempts"), replaced)
+
+
 def _policies_sql() -> str:
     of = _categories()
     rows = [(code, *of[line.split()[0]]) for line in CODES.split("\n") if line for code in line.split()[1:]]
@@ -154,5 +179,11 @@ _SQL = f"""WITH named(code, category, retry_policy, automatic, max_attempts, bac
     reasoned AS (SELECT *, CASE WHEN status <> 'failed' THEN 'not_failed' WHEN job_id % 41 = 0 THEN 'retry_hold' WHEN job_id IN (SELECT job_id FROM ({_REPLACED}) AS r WHERE status IN ('queued', 'running', 'succeeded')) THEN 'replacement_exists'
         WHEN asked = 'automatic' AND NOT automatic THEN 'policy_denied' WHEN asked = 'manual' AND retry_policy NOT IN ('automatic', 'manual') THEN 'manual_override_required' WHEN used >= budget THEN 'budget_exhausted' WHEN next_at > {NOW} THEN 'backoff' ELSE 'eligible' END AS reason FROM asked)
     SELECT job_id, asked, category, reason, reason = 'eligible' AS allowed, next_at, used AS retries, budget FROM reasoned"""
-QUERIES = {"Z-03_retry_decisions": decisions}
-ORACLES = {"Z-03_retry_decisions": _SQL}
+QUERIES = {"Z-03_retry_decisions": decisions, "Q-11_failed_jobs": failed_jobs}
+ORACLES = {
+    "Z-03_retry_decisions": _SQL,
+    "Q-11_failed_jobs": f"""WITH decided AS ({_SQL}), a AS (SELECT job_id, count(*) AS attempts_n, arg_max(outcome, (finished, seq)) AS last_outcome, max(finished) AS last_at FROM job_attempts GROUP BY job_id),
+        s AS (SELECT repair_of AS job_id, count(*) AS replacements_n, min(CASE WHEN status IN ('queued', 'running', 'succeeded') THEN job_id END) AS active_id FROM jobs WHERE repair_of IS NOT NULL GROUP BY repair_of)
+        SELECT j.job_id, k.kind, j.error_code, d.category, d.reason, d.next_at, coalesce(attempts_n, 0) AS attempts_n, last_outcome, last_at, coalesce(replacements_n, 0) AS replacements_n, active_id
+        FROM retry_jobs AS j JOIN jobs AS k ON k.job_id = j.job_id JOIN decided AS d ON d.job_id = j.job_id AND d.asked = 'automatic' LEFT JOIN a ON a.job_id = j.job_id LEFT JOIN s ON s.job_id = j.job_id WHERE j.status = 'failed'""",
+}
