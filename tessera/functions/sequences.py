@@ -55,23 +55,48 @@ def agreement(a: str, b: str, exact_up_to: int = 20_000, windows: int = 10, size
     return total / n * 2 * len(short) / (len(short) + len(long_)), "windowed"
 
 
-def error_counts(reference: str, heard: str) -> tuple[int, int, int]:
-    """Substitutions, deletions and insertions of a least edit; ties prefer substitutions, then deletions."""
+#: Half the width of the first band of the table of edits.
+BAND = 64
+
+
+def error_counts(reference: str, heard: str, band: int = BAND) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of a least edit; ties prefer substitutions, then deletions.
+
+    Only a band of the table is made, twice as wide each time, until the edit fits it: whatever is tied with a least edit lies in the band as well.  So texts that are
+    alike cost their length times their distance, in memory of a band.
+    """
     a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (reference, heard))
-    at = np.arange(len(b) + 1)
-    cost, deleted, inserted = at.copy(), np.zeros(len(b) + 1, np.int64), at.copy()
+    band = max(1, band, abs(len(a) - len(b)))
+    while True:
+        total, deleted, inserted = _banded(a, b, band)
+        if total <= band:
+            return total - deleted - inserted, deleted, inserted
+        band *= 2
+
+
+def _banded(a: np.ndarray, b: np.ndarray, band: int) -> tuple[int, int, int]:
+    """(edits, deletions, insertions) by the cells of the table that are at most ``band`` off its diagonal."""
+    far = len(a) + len(b) + 1
+    at = np.arange(min(len(b), band) + 1)
+    cost, deleted, inserted, low = at.copy(), np.zeros(len(at), np.int64), at.copy(), 0
     for i, r in enumerate(a, 1):
+        first, last = max(0, i - band), min(len(b), i + band)
         # Steps from the row above, without insertions: along the diagonal unless a deletion costs less.
-        best, x, y = cost + 1, deleted + 1, inserted.copy()
-        diagonal = cost[:-1] + (b != r)
-        ok = diagonal <= best[1:]
-        best[1:][ok], x[1:][ok], y[1:][ok] = diagonal[ok], deleted[:-1][ok], inserted[:-1][ok]
+        best, x, y = np.full(last - first + 1, far), np.zeros(last - first + 1, np.int64), np.zeros(last - first + 1, np.int64)
+        n, skip = min(last, low + len(cost) - 1) - first + 1, first - low
+        best[:n], x[:n], y[:n] = cost[skip : skip + n] + 1, deleted[skip : skip + n] + 1, inserted[skip : skip + n]
+        head = max(first, low + 1)  # the first column with a cell to its upper left
+        come = slice(head - 1 - low, last - low)
+        diagonal = cost[come] + (b[head - 1 : last] != r)
+        into = slice(head - first, head - first + len(diagonal))
+        ok = diagonal <= best[into]
+        best[into][ok], x[into][ok], y[into][ok] = diagonal[ok], deleted[come][ok], inserted[come][ok]
         # Insertions run on from the last place where they do not cost less.
+        at = np.arange(len(best))
         cost = np.minimum.accumulate(best - at) + at
         start = np.maximum.accumulate(np.where(best == cost, at, 0))
-        deleted, inserted = x[start], y[start] + at - start
-    total, d, n = int(cost[-1]), int(deleted[-1]), int(inserted[-1])
-    return total - d - n, d, n
+        deleted, inserted, low = x[start], y[start] + at - start, first
+    return int(cost[-1]), int(deleted[-1]), int(inserted[-1])
 
 
 def shape_cues(units: list[tuple[int, int, str]], most: int = 60, pause_ms: int = 1000, least: int = 6, least_ms: int = 1000) -> list[tuple[int, int, str]]:

@@ -37,6 +37,22 @@ def test_error_counts_trace_like_the_table():
         assert q.error_counts(a, b) == edits_by_table(a, b)
 
 
+def test_error_counts_are_the_same_in_any_band():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choices("abü", k=rng.randrange(40)))
+        b = "".join(c for c in a if rng.random() < 0.8) + "".join(rng.choices("abü", k=rng.randrange(6))) if rng.random() < 0.7 else "".join(rng.choices("abü", k=rng.randrange(40)))
+        want = edits_by_table(a, b)
+        assert all(q.error_counts(a, b, band) == want for band in (1, 2, 3, 64))
+
+
+def test_long_texts_that_are_alike_are_cheap():
+    rng = random.Random(4)
+    a = "".join(rng.choices("abcdefgh ", k=60_000))
+    b = a[:20_000] + "x" + a[20_001:40_000] + a[40_003:] + "tail"
+    assert q.error_counts(a, b) == (1, 3, 4)
+
+
 A = "a b" * 200 + "tail one é"
 B = "a b" * 200 + "other tail two"
 LONG = "".join(random.Random(4).choices("abcdefgh", k=20_500))
