@@ -140,3 +140,16 @@ add(
     """SELECT job_id, status, CASE job_id % 11 WHEN 0 THEN 'provider_http_429' WHEN 1 THEN 'provider_http_402' WHEN 2 THEN 'other_http_404' WHEN 3 THEN 'asr_quality_unusable' WHEN 4 THEN 'lease_expired' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'never_seen'
     WHEN 7 THEN NULL ELSE 'transport_error' END AS error_code, retries AS attempts, available, CASE WHEN job_id % 6 <> 1 THEN created + 90000000 END AS finished FROM jobs""",
 )
+add(
+    "run_evidence",
+    """SELECT run_id, n AS campaign_item_count, CASE WHEN run_id % 19 = 4 THEN n - 1 ELSE n + 5 END AS campaign_denominator, CASE WHEN run_id % 17 = 3 THEN n ELSE CASE WHEN run_id % 19 = 4 THEN n - 1 ELSE n + 5 END END AS reconciliation_denominator,
+    CASE WHEN run_id % 23 = 5 THEN NULL ELSE last_at - first_at END AS age_seconds, n * 3600.0 / greatest(last_at - first_at, 1) AS throughput_items_per_hour, errors * 1.0 / n + CASE WHEN run_id % 29 = 6 THEN 1 ELSE 0 END AS api_risk_rate,
+    cast(total * 1000 AS bigint) AS peak_disk_bytes, stored * 1.0 / n AS reclaim_rate, n - users AS duplicate_work_count, users AS max_owner_count,
+    run_id % 6 <> 5 AS crash_restart_passed, CASE WHEN run_id % 7 <> 6 THEN TRUE END AS checkpoint_reconciled, run_id % 8 <> 7 AS risk_taxonomy_unchanged, CASE run_id % 5 WHEN 0 THEN 'archive,index' WHEN 1 THEN 'ledger' ELSE 'index,archive,ledger' END AS isolated
+    FROM (SELECT run_id, count(*) AS n, min(finished) AS first_at, max(finished) AS last_at, COUNT_IF[event_type = 'error'] AS errors, COUNT_IF[event_type IN ('purchase', 'click')] AS stored, count(DISTINCT user_id) AS users, sum(value) AS total FROM log GROUP BY run_id) AS r""",
+)
+add(
+    "run_thresholds",
+    """SELECT run_id, CASE WHEN run_id % 31 = 7 THEN NULL ELSE 40 END AS min_campaign_item_count, 20000 + run_id % 3 * 400000 AS max_evidence_age_seconds, CASE WHEN run_id % 37 = 8 THEN 0.0 ELSE 5.0 END AS min_throughput_items_per_hour, 0.25 AS max_api_risk_rate,
+    5000000 AS max_peak_disk_bytes, 0.4 AS min_reclaim_rate, 30 AS max_duplicate_work_count, 30 AS allowed_owner_count FROM (SELECT DISTINCT run_id FROM log) AS r WHERE run_id % 13 <> 9""",
+)
