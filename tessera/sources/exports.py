@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.statements import STATEMENTS
 from tessera.plans.dialect import relation, spark_query
 
 from .scratch import Scratch
@@ -131,6 +132,20 @@ def bundle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("transcript_id", "member", F.octet_length("content").cast("long").alias("bytes"), F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"))
 
 
+#: The columns of a coverage report, pinned.
+COVERAGE = {"status": "string", "works": "long", "with_text": "long", "published_n": "long", "current_n": "long", "stale_n": "long"}
+
+
+def coverage(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark_query(STATEMENTS["Q-08_coverage_report"])(spark, sf_dir)
+        path = export(rows, Scratch(spark).path("coverage", keep=True), kind, [*COVERAGE], files=1)
+        return imported(spark, path, kind, ", ".join(f"{c} {t}" for c, t in COVERAGE.items()))
+
+    run.__doc__ = f"S-20: the coverage report as a {kind} file, read back."
+    return run
+
+
 _STAMP = "PADDED[IDIV[{0}; 3600000]; 2], ':', PADDED[IDIV[{0}; 60000] % 60; 2], ':', PADDED[IDIV[{0}; 1000] % 60; 2], '{1}', PADDED[{0} % 1000; 3]".format
 _BUNDLES = f"""WITH lines_of AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY ordinal) AS k FROM segments WHERE start_ms >= 0 AND end_ms > start_ms AND length(trim(text)) > 0),
     c AS (SELECT transcript_id, string_agg(concat(k, chr(10), {_STAMP("start_ms", ",")}, ' --> ', {_STAMP("end_ms", ",")}, chr(10), text, chr(10)), chr(10) ORDER BY ordinal) AS srt,
@@ -140,10 +155,11 @@ _BUNDLES = f"""WITH lines_of AS (SELECT *, row_number() OVER (PARTITION BY trans
         FROM transcripts AS t JOIN a ON a.transcript_id = t.transcript_id LEFT JOIN c ON c.transcript_id = t.transcript_id),
     w AS (SELECT *, concat({", chr(10), ".join(f"sha256({x}), '  {x}'" for x in MEMBERS)}) AS bundle FROM m), e AS ({" UNION ALL ".join(f"SELECT transcript_id, '{x}' AS member, {x} AS content FROM w" for x in (*MEMBERS, MARKER))})
     SELECT transcript_id, member, strlen(content) AS bytes, sha256(content) AS sha256 FROM e"""
-QUERIES = {"S-18_bundles": bundle_digests, "S-15_export_csv": exported("csv"), "S-15_export_json": exported("json"), "S-16_srt_files": srt_files}
+QUERIES = {f"S-20_coverage_{kind}": coverage(kind) for kind in FORMATS} | {"S-18_bundles": bundle_digests, "S-15_export_csv": exported("csv"), "S-15_export_json": exported("json"), "S-16_srt_files": srt_files}
 _ORACLE = """SELECT concat(p.video_code, ':p', p.page) AS work_id, concat(v.title, CASE WHEN p.part_id % 7 = 0 THEN concat(', "quoted"', chr(10), 'second line') ELSE '' END) AS title, CASE WHEN p.part_id % 3 = 0 THEN NULL ELSE SHA[p.video_code] END AS sha,
     concat('["', p.status, '","', v.state, '"]') AS tags, p.duration_ms, CASE WHEN p.part_id % 4 = 0 THEN NULL ELSE 'kept' END AS note FROM parts AS p JOIN videos AS v ON p.video_id = v.video_id"""
 ORACLES = {
+    **{f"S-20_coverage_{kind}": STATEMENTS["Q-08_coverage_report"] for kind in FORMATS},
     "S-18_bundles": _BUNDLES,
     "S-15_export_csv": _ORACLE,
     "S-15_export_json": _ORACLE,
