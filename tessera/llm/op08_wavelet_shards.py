@@ -56,7 +56,7 @@ class WaveletMatrix:
             packed = np.packbits(on, bitorder="little")
             planes.append(packed)
             ones.append(cls._directory(packed))
-            rest = np.concatenate([rest[~on], rest[on]])
+            rest = np.concatenate([np.compress(~on, rest), np.compress(on, rest)])
         return cls(len(ids), planes, ones)
 
     @staticmethod
