@@ -69,14 +69,14 @@ class SnapshotChain:
     def _name(manifest: dict) -> str:
         return hashlib.sha256(json.dumps({k: v for k, v in manifest.items() if k != "name"}, sort_keys=True).encode()).hexdigest()
 
-    def save(self, tables: dict[str, tuple[DataFrame, str]]) -> dict:
-        """Adds a package that brings the chain to these tables, each with its key column; returns its manifest."""
+    def save(self, tables: dict[str, tuple[DataFrame, str | list[str]]]) -> dict:
+        """Adds a package that brings the chain to these tables, each with its key, a column or several; returns its manifest."""
         before = self.manifests()
         if before and set(before[-1]["tables"]) != set(tables):
             raise ValueError("a chain keeps its tables")
         folder, held = f"{self.path}/packages/{len(before)}-{uuid.uuid4().hex}", {}
         for name, (df, key) in tables.items():
-            hashed = df.withColumn(KEY, F.col(key).cast("string")).withColumn(HASH, row_hash(df))
+            hashed = df.withColumn(KEY, F.col(key).cast("string") if isinstance(key, str) else F.to_json(F.struct(*key))).withColumn(HASH, row_hash(df))
             old = self._hashes(before, name) if before else None
             if old is None:
                 changed, gone = hashed, self.spark.createDataFrame([], f"{KEY} string")
@@ -142,12 +142,14 @@ class SnapshotChain:
 
 
 def replayed_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-21: videos saved in three states, and what the chain gives after the second and the third."""
+    """S-21: videos saved in three states, and what the chain gives after the second and the third.
+
+    Their moved ids can be those of other videos, whose codes differ, so the key is both."""
     columns = ["video_id", "video_code", "mid", "title"]
     with Scratch(spark) as s:
         chain = SnapshotChain(spark, s.path("chain", keep=True))
         for name in ("own_videos", "their_videos", "videos"):
-            chain.save({"videos": (relation(spark, sf_dir, name).select(*columns), "video_id")})
+            chain.save({"videos": (relation(spark, sf_dir, name).select(*columns), ["video_id", "video_code"])})
     states = [chain.materialise(k)["videos"].withColumn("package", F.lit(k)) for k in (1, 2)]
     return states[0].unionByName(states[1])
 
