@@ -55,23 +55,81 @@ def agreement(a: str, b: str, exact_up_to: int = 20_000, windows: int = 10, size
     return total / n * 2 * len(short) / (len(short) + len(long_)), "windowed"
 
 
-#: Half the width of the first band of the table of edits.
-BAND = 64
+#: Half the width of the band of the table of edits that is tried for texts over so many characters.
+BAND, LONG = 64, 20_000
 
 
 def error_counts(reference: str, heard: str, band: int = BAND) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of a least edit; ties prefer substitutions, then deletions.
 
-    Only a band of the table is made, twice as wide each time, until the edit fits it: whatever is tied with a least edit lies in the band as well.  So texts that are
-    alike cost their length times their distance, in memory of a band.
+    Of long texts a band of the table is tried first: where the edit fits it, whatever is tied with a least edit lies in the band as well, so long texts that are alike cost
+    their length.  Otherwise the whole table is made as differences of neighbours, a column of it in the bits of a few integers.
     """
-    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (reference, heard))
-    band = max(1, band, abs(len(a) - len(b)))
-    while True:
+    if min(len(reference), len(heard)) > LONG and abs(len(reference) - len(heard)) <= band:
+        a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (reference, heard))
         total, deleted, inserted = _banded(a, b, band)
         if total <= band:
             return total - deleted - inserted, deleted, inserted
-        band *= 2
+    return _by_bits(reference, heard)
+
+
+def _by_bits(reference: str, heard: str) -> tuple[int, int, int]:
+    """The counts by Myers' columns of bits and the way back through them.
+
+    The longer text stands along the bits.  Columns are kept at the starts of blocks, and a block's columns are made again when the way back comes to it, so memory is that
+    of some square root of their number.
+    """
+    turned = len(reference) < len(heard)
+    down, along = (heard, reference) if turned else (reference, heard)
+    places: dict[str, int] = {}
+    for k, c in enumerate(down):
+        places[c] = places.get(c, 0) | 1 << k
+    mask = (1 << len(down)) - 1
+
+    def columns(start: tuple[int, int], text: str):
+        """(level, kept, up, less) for each character: where the step along the diagonal costs nothing, where a deletion may end, and where a column grows and falls."""
+        up, less = start
+        for c in text:
+            equal = places.get(c, 0)
+            level = ((((equal & up) + up) ^ up) | equal | less) & mask
+            grown = less | mask & ~(level | up)
+            fallen = up & level
+            shifted = grown << 1 | 1
+            up, less = (fallen << 1 | ~(level | shifted)) & mask, shifted & level & mask
+            yield level, grown if turned else up, up, less
+
+    size = max(1, math.isqrt(len(along)))
+    starts = [(mask, 0)]
+    for k, (_, _, up, less) in enumerate(columns(starts[0], along[: (len(along) - 1) // size * size]), 1):
+        if k % size == 0:
+            starts.append((up, less))
+    i, counts = len(down), [0, 0, 0]
+    for block in range(len(starts) - 1, -1, -1):
+        if not along:
+            break
+        text = along[block * size : (block + 1) * size]
+        made = [(level, kept) for level, kept, _, _ in columns(starts[block], text)]
+        j = len(text)
+        while j and i:
+            if down[i - 1] == text[j - 1]:
+                i, j = i - 1, j - 1
+                continue
+            level, kept = made[j - 1]
+            if not level >> i - 1 & 1:
+                counts[0] += 1
+                i, j = i - 1, j - 1
+            elif bool(kept >> i - 1 & 1) == turned:
+                counts[1 if turned else 2] += 1
+                j -= 1
+            else:
+                counts[2 if turned else 1] += 1
+                i -= 1
+        if not i:
+            left = block * size + j
+            counts[1 if turned else 2] += left
+            return tuple(counts)
+    counts[2 if turned else 1] += i
+    return tuple(counts)
 
 
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> tuple[int, int, int]:
@@ -300,14 +358,14 @@ def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-22: the three counts by a table of edits, and their sum by the built-in distance."""
+    """T-22: the three counts by a table of edits; pairs are dealt out, since they are few MB and much work."""
 
     def count(batches):
         for df in batches:
             got = [error_counts(a, b) for a, b in zip(df.text, df.other, strict=True)]
             yield pd.DataFrame({"conv_id": df.conv_id, "turn": df.turn, "substitutions": [g[0] for g in got], "deletions": [g[1] for g in got], "insertions": [g[2] for g in got]})
 
-    return _compared(spark, sf_dir).mapInPandas(count, "conv_id long, turn long, substitutions long, deletions long, insertions long")
+    return _compared(spark, sf_dir).repartition("conv_id", "turn").mapInPandas(count, "conv_id long, turn long, substitutions long, deletions long, insertions long")
 
 
 def error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
