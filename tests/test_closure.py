@@ -58,7 +58,7 @@ def recorded(monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("name", ["G-02_reachable_parts", "G-03_downstream_state", "A-23_lateness_clock", "G-06_dependency_closure", "U-03_recursive_union"])
+@pytest.mark.parametrize("name", ["G-02_reachable_parts", "G-03_downstream_state", "A-23_lateness_clock", "G-06_dependency_closure", "U-03_recursive_union", "G-01_blocked_by_cancelled"])
 def test_written_tables_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "FEW", 0, raising=False)
     plans = recorded(monkeypatch)
